@@ -6,7 +6,7 @@ import base64
 
 import public_tokenizers
 import tiktoken
-from tiktoken.registry import ENCODINGS
+import tiktoken.registry
 
 #: The same vocabulary and merges as byte_bpe_50k.json, in the form that encodes fastest.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def encoding(path: str) -> tiktoken.Encoding:
     """One encoding a worker process and file; special tokens' strings are ordinary text."""
-    if path not in ENCODINGS:
-        ENCODINGS[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
-    return ENCODINGS[path]
+    known = tiktoken.registry.ENCODINGS
+    if path not in known:
+        known[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+    return known[path]
