@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, stage, table
 from .graph import components
 
-N_HASHES, TREES, DEPTH, SMALL, EST = 96, 12, 8, 32, 0.60
+N_HASHES, TREES, DEPTH, SMALL, EST = 96, 12, 12, 32, 0.60
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(1, 2**63, N_HASHES, dtype=np.uint64)
 _ODD = _RNG.integers(1, 2**63, N_HASHES, dtype=np.uint64) | np.uint64(1)
@@ -168,17 +168,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     comps = components(links)
 
     rows = _with_components(large.select("id", "node"), comps, "id", "comp")
+    large = stage(rows.join(nodes(rows).select("node"), "node", "left_semi"), "large")
     deeper = []
     for level in range(2, DEPTH + 1):
-        rows = stage(rows.join(nodes(rows).select("node"), "node", "left_semi").join(classes.select("id", "sig"), "id").select("id", "comp", F.explode(_children(F.col("node"), False, N_HASHES)).alias("node")), f"level{level}")
-        if rows.isEmpty():
+        if large.isEmpty():
             break
-        members = stage(rows.join(nodes(rows), "node"), "members")
+        rows = large.join(classes.select("id", "sig"), "id").select("id", "comp", F.explode(_children(F.col("node"), False, N_HASHES)).alias("node"))
+        members = stage(rows.join(nodes(rows), "node"), f"level{level}")
         large = members.where(F.col("n") > SMALL)
         deeper += [_pairs_of_small(members.where(F.col("n") <= SMALL)), _pivot_pairs(large)]
-        rows = large.select("id", "comp", "node")
+        large = large.select("id", "comp", "node")
     else:
-        left = rows.select("node", F.col("id").alias("a"), F.col("comp").alias("ca")).join(rows.select("node", F.col("id").alias("b"), F.col("comp").alias("cb")), "node").where("a < b and ca != cb")
+        left = large.select("node", F.col("id").alias("a"), F.col("comp").alias("ca")).join(large.select("node", F.col("id").alias("b"), F.col("comp").alias("cb")), "node").where("a < b and ca != cb")
         deeper.append(left.select("a", "b"))
     if deeper:
         more = deeper[0]

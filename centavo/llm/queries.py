@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import chosen_path, mil_quality, packing, quality_rules
+from . import chat_views, chosen_path, hmm_lm, merge_replay, mil_quality, packing, pq_dedup, quality_rules, separator_scan, warc
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_quality_classifier": mil_quality.query,
+    "op3_chat_formatting": chat_views.query,
+    "op4_warc": warc.query,
+    "op5_byte_bpe": merge_replay.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_token_counts": separator_scan.query,
+    "op8_embedding_dedup": pq_dedup.query,
+    "op9_lm_scoring": hmm_lm.query,
     "op10_minhash_dedup": chosen_path.query,
 }
-ORACLES = {"op6_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op3_chat_formatting": chat_views.ORACLE, "op4_warc": warc.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
