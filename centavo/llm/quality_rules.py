@@ -11,6 +11,7 @@ Null and empty texts: no words, hence rejected by the word count. Null ids, repe
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,83 +72,78 @@ def _runs(placed: Column) -> Column:
     return F.filter(placed, lambda e, j: F.coalesce(at(j + 1) == e["h"], F.lit(False)) | F.coalesce(at(j - 1) == e["h"], F.lit(False)))
 
 
-#: Measures by name: what they need first, and their column from the text and those.
-MEASURES = {
-    "__words": ((), lambda t: words(t)),
-    "n_words": (("__words",), lambda t: F.size("__words").cast("long")),
-    "word_chars": ((), word_chars),
-    "n_symbols": ((), n_symbols),
-    "n_upper": ((), lambda t: F.length(F.regexp_replace(t, "[^A-Z\u00c0-\u00de]+", "")).cast("long")),
-    "__lines": ((), lambda t: worded_lines(t)),
-    "n_lines": (("__lines",), lambda t: F.size("__lines").cast("long")),
-    "n_dup_lines": (("__lines",), lambda t: (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")),
-    "__hashes": (("__words",), lambda t: windows(F.col("__words"))),
-    "__sorted": (("__hashes",), lambda t: F.sort_array("__hashes")),
-    "__repeated": (("__sorted",), lambda t: F.array_distinct(F.filter("__sorted", lambda h, j: F.coalesce(F.get(F.col("__sorted"), j + 1) == h, F.lit(False))))),
-    "n_repeat_words": (("__hashes", "__repeated"), lambda t: repeat_words(F.col("__hashes"), F.col("__repeated"))),
-}
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates a value once and gives it to the body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-#: Rules by name: the measures they need and when they reject.
-RULES = {
-    "few_words": (("n_words",), lambda: F.col("n_words") < LEAST_WORDS),
-    "repeats": (("n_words", "n_repeat_words"), lambda: 100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words")),
-    "symbols": (("n_words", "n_symbols"), lambda: 100 * F.col("n_symbols") > MOST_SYMBOL_PERCENT * F.col("n_words")),
-    "capitals": (("word_chars", "n_upper"), lambda: 100 * F.col("n_upper") > MOST_UPPER_PERCENT * F.col("word_chars")),
-    "dup_lines": (("n_lines", "n_dup_lines"), lambda: 100 * F.col("n_dup_lines") > MOST_DUP_LINE_PERCENT * F.col("n_lines")),
-    "word_length": (("n_words", "word_chars"), lambda: ~F.col("word_chars").between(MEAN_WORD_CHARS[0] * F.col("n_words"), MEAN_WORD_CHARS[1] * F.col("n_words"))),
-}
-BASE = ("few_words", "repeats")
+
+def repeated_windows(hashes: Column) -> Column:
+    """Hashes that occur twice or more."""
+    return let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda h, j: F.coalesce(F.get(s, j + 1) == h, F.lit(False)))))
+
+
+def n_repeat_words(held: Column) -> Column:
+    return let(windows(held), lambda h: let(repeated_windows(h), lambda r: repeat_words(h, r)))
+
+
+def n_upper(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, "[^A-Z\u00c0-\u00de]+", ""))
 
 
-def measure(df: DataFrame, names: tuple[str, ...], text: str, only: Column | None = None) -> DataFrame:
-    """Adds measures (and what they need) that are missing; only: rows for which they are evaluated."""
-    for name in names:
-        if name not in df.columns:
-            needs, make = MEASURES[name]
-            df = measure(df, needs, text, only)
-            value = make(_text(text))
-            df = df.withColumn(name, value if only is None else F.when(only, value))
-    return df
+def _size(text: Column) -> Column:
+    return F.size(words(text))
+
+
+#: Rules by name: true for a text that is rejected. Each reads the text alone, so whatever order they stand in, one CASE runs them lazily.
+RULES: dict[str, Callable[[Column], Column]] = {
+    "few_words": lambda t: _size(t) < LEAST_WORDS,
+    "repeats": lambda t: let(words(t), lambda w: 100 * n_repeat_words(w) > MOST_REPEAT_PERCENT * F.size(w)),
+    "symbols": lambda t: 100 * n_symbols(t) > MOST_SYMBOL_PERCENT * _size(t),
+    "capitals": lambda t: 100 * n_upper(t) > MOST_UPPER_PERCENT * word_chars(t),
+    "dup_lines": lambda t: let(worded_lines(t), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > MOST_DUP_LINE_PERCENT * F.size(x)),
+    "word_length": lambda t: let(_size(t), lambda n: ~word_chars(t).between(MEAN_WORD_CHARS[0] * n, MEAN_WORD_CHARS[1] * n)),
+}
+BASE = ("few_words", "repeats")
 
 
 def plan_cascade(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rules ordered by rejections per second of work, each timed alone on one bounded sample."""
-    sample = stage(docs.select(F.col(text).alias("text")).limit(sample_rows), "rule-sample")
+    sample = stage(docs.select(_text(text).alias("text")).limit(sample_rows), "rule-sample")
     sample.agg(F.sum(F.length("text"))).collect()
     worth = {}
-    for name, (needs, reject) in RULES.items():
+    for name, reject in RULES.items():
         began = time.perf_counter()
-        share = measure(sample, needs, "text").agg(F.avg(reject().cast("double"))).collect()[0][0] or 0.0
+        share = sample.agg(F.avg(reject(F.col("text")).cast("double"))).collect()[0][0] or 0.0
         worth[name] = share / max(time.perf_counter() - began, 1e-6)
     return sorted(RULES, key=lambda name: -worth[name])
 
 
-def cascade(docs: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """Adds rejected_by: the first rule in the order that rejects, or null. A rule's measures are evaluated only for rows that passed the rules before it."""
-    extra = [c for c in docs.columns]
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in extra]).alias("__row"), F.col(text).alias("__text"), F.lit(None).cast("string").alias("rejected_by"))
+def rejected_by(order: list[str], text: Column, first: Column | None = None) -> Column:
+    """The first rule in the order that rejects, or null; later rules are not evaluated for that text. first: a verdict known before."""
+    case = F.when(first, F.lit("base")) if first is not None else F
     for name in order:
-        needs, reject = RULES[name]
-        df = measure(df, needs, "__text", F.col("rejected_by").isNull())
-        df = df.withColumn("rejected_by", F.when(F.col("rejected_by").isNotNull(), F.col("rejected_by")).when(reject(), F.lit(name)))
-    return df.select("__row.*", F.col("rejected_by").alias("__rejected_by"))
+        case = case.when(RULES[name](text), F.lit(name))
+    return case
+
+
+def cascade(docs: DataFrame, order: list[str], text: str = "text") -> DataFrame:
+    """Adds __rejected_by to the documents' columns."""
+    return docs.withColumn("__rejected_by", rejected_by(order, _text(text)))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their columns."""
-    return cascade(docs, plan_cascade(docs, text), text).where("__rejected_by is null").drop("__rejected_by")
+    return docs.where(rejected_by(plan_cascade(docs, text), _text(text)).isNull())
 
 
 def report(docs: DataFrame, order: list[str], id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: every measure, the base verdict, and the cascade's verdict in its order."""
-    df = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("__text"))
-    df = measure(df, ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), "__text")
-    df = df.withColumn("base_failed", RULES["few_words"][1]() | RULES["repeats"][1]()).withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")))
-    for name in [x for x in order if x not in BASE]:
-        needs, reject = RULES[name]
-        df = measure(df, needs, "__text", F.col("rejected_by").isNull())
-        df = df.withColumn("rejected_by", F.when(F.col("rejected_by").isNotNull(), F.col("rejected_by")).when(reject(), F.lit(name)))
-    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rejected_by").isNull().alias("kept"))
+    t = F.col("__text")
+    df = docs.select(F.col(id_column).alias("doc_id"), _text(text).alias("__text")).withColumn("__words", words(t))
+    df = df.select("doc_id", "__text", F.size("__words").cast("long").alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), let(worded_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), n_repeat_words(F.col("__words")).cast("long").alias("n_repeat_words"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
+    df = df.withColumn("base_failed", failed)
+    return df.withColumn("kept", rejected_by([x for x in order if x not in BASE], t, F.col("base_failed")).isNull()).drop("__text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
