@@ -62,7 +62,7 @@ def repeat_words(hashes: Column, repeated: Column) -> Column:
     """Words in windows found twice or more. Few repeated windows are looked up; many go through one sort by (hash, place)."""
     few = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(repeated, F.get(hashes, i)))
     placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    many = F.sort_array(F.transform(_runs(placed), lambda e: e["i"]))
+    many = let(placed, lambda p: F.sort_array(F.transform(_runs(p), lambda e: e["i"])))  # a lambda would evaluate an unbound array for every element
     return F.when(F.size(repeated) == 0, F.lit(0).cast("long")).when(F.size(repeated) <= FEW, covered(few)).otherwise(covered(many))
 
 
