@@ -35,8 +35,8 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, SPACE, "")).cast("long")
+def word_chars(held: Column) -> Column:
+    return F.length(F.array_join(held, "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
@@ -77,31 +77,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeated_windows(hashes: Column) -> Column:
-    """Hashes that occur twice or more."""
-    return let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda h, j: F.coalesce(F.get(s, j + 1) == h, F.lit(False)))))
+def repeated_windows(ordered: Column) -> Column:
+    """Hashes that occur twice or more, of a sorted and bound array."""
+    return F.array_distinct(F.filter(ordered, lambda h, j: F.coalesce(F.get(ordered, j + 1) == h, F.lit(False))))
 
 
 def n_repeat_words(held: Column) -> Column:
-    return let(windows(held), lambda h: let(repeated_windows(h), lambda r: repeat_words(h, r)))
+    return let(windows(held), lambda h: let(let(F.sort_array(h), repeated_windows), lambda r: repeat_words(h, r)))
 
 
 def n_upper(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^A-Z\u00c0-\u00de]+", ""))
 
 
-def _size(text: Column) -> Column:
-    return F.size(words(text))
+def n_dup(lines: Column) -> Column:
+    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-#: Rules by name: true for a text that is rejected. Each reads the text alone, so whatever order they stand in, one CASE runs them lazily.
-RULES: dict[str, Callable[[Column], Column]] = {
-    "few_words": lambda t: _size(t) < LEAST_WORDS,
-    "repeats": lambda t: let(words(t), lambda w: 100 * n_repeat_words(w) > MOST_REPEAT_PERCENT * F.size(w)),
-    "symbols": lambda t: 100 * n_symbols(t) > MOST_SYMBOL_PERCENT * _size(t),
-    "capitals": lambda t: 100 * n_upper(t) > MOST_UPPER_PERCENT * word_chars(t),
-    "dup_lines": lambda t: let(worded_lines(t), lambda x: 100 * (F.size(x) - F.size(F.array_distinct(x))) > MOST_DUP_LINE_PERCENT * F.size(x)),
-    "word_length": lambda t: let(_size(t), lambda n: ~word_chars(t).between(MEAN_WORD_CHARS[0] * n, MEAN_WORD_CHARS[1] * n)),
+Measures = dict[str, Callable[[], Column]]
+
+
+def measures(text: Column, held: Column) -> Measures:
+    """Each measure of a text and its words, written out where a rule asks for it."""
+    return {
+        "n_words": lambda: F.size(held).cast("long"),
+        "n_repeat_words": lambda: n_repeat_words(held),
+        "n_symbols": lambda: n_symbols(text),
+        "n_upper": lambda: n_upper(text),
+        "word_chars": lambda: word_chars(held),
+        "lines": lambda: let(worded_lines(text), lambda x: F.struct(F.size(x).alias("n"), n_dup(x).alias("dup"))),
+    }
+
+
+#: Rules by name: true for a text that is rejected.
+RULES: dict[str, Callable[[Measures], Column]] = {
+    "few_words": lambda m: m["n_words"]() < LEAST_WORDS,
+    "repeats": lambda m: 100 * m["n_repeat_words"]() > MOST_REPEAT_PERCENT * m["n_words"](),
+    "symbols": lambda m: 100 * m["n_symbols"]() > MOST_SYMBOL_PERCENT * m["n_words"](),
+    "capitals": lambda m: let(m["word_chars"](), lambda n: 100 * m["n_upper"]() > MOST_UPPER_PERCENT * n),
+    "dup_lines": lambda m: let(m["lines"](), lambda x: 100 * x["dup"] > MOST_DUP_LINE_PERCENT * x["n"]),
+    "word_length": lambda m: let(m["word_chars"](), lambda n: ~n.between(MEAN_WORD_CHARS[0] * m["n_words"](), MEAN_WORD_CHARS[1] * m["n_words"]())),
 }
 BASE = ("few_words", "repeats")
 
@@ -113,37 +128,44 @@ def plan_cascade(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_
     worth = {}
     for name, reject in RULES.items():
         began = time.perf_counter()
-        share = sample.agg(F.avg(reject(F.col("text")).cast("double"))).collect()[0][0] or 0.0
+        share = sample.agg(F.avg(let(words(F.col("text")), lambda w: reject(measures(F.col("text"), w))).cast("double"))).collect()[0][0] or 0.0
         worth[name] = share / max(time.perf_counter() - began, 1e-6)
     return sorted(RULES, key=lambda name: -worth[name])
 
 
-def rejected_by(order: list[str], text: Column, first: Column | None = None) -> Column:
+def rejected_by(order: list[str], held: Measures, first: Column | None = None) -> Column:
     """The first rule in the order that rejects, or null; later rules are not evaluated for that text. first: a verdict known before."""
     case = F.when(first, F.lit("base")) if first is not None else F
     for name in order:
-        case = case.when(RULES[name](text), F.lit(name))
+        case = case.when(RULES[name](held), F.lit(name))
     return case
 
 
+def _verdict(order: list[str], text: Column) -> Column:
+    """The words are split once; the optimizer would write an alias out for every rule, so they are bound."""
+    return let(words(text), lambda w: rejected_by(order, measures(text, w)))
+
+
 def cascade(docs: DataFrame, order: list[str], text: str = "text") -> DataFrame:
     """Adds __rejected_by to the documents' columns."""
-    return docs.withColumn("__rejected_by", rejected_by(order, _text(text)))
+    return docs.withColumn("__rejected_by", _verdict(order, _text(text)))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their columns."""
-    return docs.where(rejected_by(plan_cascade(docs, text), _text(text)).isNull())
+    return docs.where(_verdict(plan_cascade(docs, text), _text(text)).isNull())
 
 
 def report(docs: DataFrame, order: list[str], id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: every measure, the base verdict, and the cascade's verdict in its order."""
-    t = F.col("__text")
-    df = docs.select(F.col(id_column).alias("doc_id"), _text(text).alias("__text")).withColumn("__words", words(t))
-    df = df.select("doc_id", "__text", F.size("__words").cast("long").alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), let(worded_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), n_repeat_words(F.col("__words")).cast("long").alias("n_repeat_words"))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
-    df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", rejected_by([x for x in order if x not in BASE], t, F.col("base_failed")).isNull()).drop("__text")
+    t, col = F.col("__text"), lambda name: lambda: F.col(name)
+    df = docs.select(F.col(id_column).alias("doc_id"), _text(text).alias("__text")).withColumn("__words", words(t)).withColumn("__hashes", windows(F.col("__words")))
+    df = df.withColumn("__sorted", F.sort_array("__hashes")).withColumn("__repeated", repeated_windows(F.col("__sorted"))).withColumn("__lines", worded_lines(t))
+    measured = {"n_words": F.size("__words").cast("long"), "word_chars": word_chars(F.col("__words")), "n_symbols": n_symbols(t), "n_dup_lines": n_dup(F.col("__lines")), "n_repeat_words": repeat_words(F.col("__hashes"), F.col("__repeated"))}
+    df = df.select("doc_id", "__text", F.size("__lines").alias("__n_lines"), *[c.alias(name) for name, c in measured.items()])
+    held = {name: col(name) for name in measured} | {"n_upper": lambda: n_upper(t), "lines": lambda: F.struct(F.col("__n_lines").alias("n"), F.col("n_dup_lines").alias("dup"))}
+    df = df.withColumn("base_failed", RULES["few_words"](held) | RULES["repeats"](held))
+    return df.withColumn("kept", rejected_by([x for x in order if x not in BASE], held, F.col("base_failed")).isNull()).drop("__text", "__n_lines")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
