@@ -125,8 +125,10 @@ def _pairs_of_small(members: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(members: DataFrame) -> DataFrame:
-    ends = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b"))))
-    return members.select(ends.alias("p")).select("p.a", "p.b").where("a < b")
+    """Every member with the node's first and last; pairs within a component are not made at all."""
+    low = F.when(F.col("lo.comp") != F.col("comp"), F.struct(F.col("lo.id").alias("a"), F.col("id").alias("b")))
+    high = F.when(F.col("hi.comp") != F.col("comp"), F.struct(F.col("id").alias("a"), F.col("hi.id").alias("b")))
+    return members.select(F.explode(F.array_compact(F.array(low, high))).alias("p")).select("p.a", "p.b").where("a < b")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     classes = stage(usable.groupBy("digest").agg(F.min(F.struct("id", "sig")).alias("r")).select("digest", "r.id", "r.sig"), "classes")
 
     def nodes(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("n > 1 and c0 != c1").drop("c0", "c1")
+        return rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("id", "comp")).alias("lo"), F.max(F.struct("id", "comp")).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("n > 1 and c0 != c1").drop("c0", "c1")
 
     rows = classes.select("id", F.col("id").alias("comp"), F.explode(_children(F.lit(0), True, N_HASHES)).alias("node"))
     members = stage(rows.join(nodes(rows), "node"), "members")
