@@ -8,6 +8,9 @@ two pivots (linear) and branch on. Pairs of one verified component need no compa
 near copies is not compared pair by pair; only nodes that hold two components or more branch on. What is still large
 after DEPTH levels is compared across its components without a cap.
 
+A text in a large node that owns too many shingles (no other text of the large nodes has them) to be similar to any leaves the
+join, and a pair that the shared shingles or the set sizes rule out is not compared: both bounds are exact.
+
 Links are confirmed on full sets. Sketches only discard pairs whose estimate is under EST (five standard deviations under
 80 %). Components are exact once every pair between different components is found; a pair at exactly 80 % shares a small
 node with probability above 0.9999 over all trees.
@@ -131,9 +134,29 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     return members.select(F.explode(F.array_compact(F.array(low, high))).alias("p")).select("p.a", "p.b").where("a < b")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    sigs = classes.select("id", "sig")
-    both = pairs.distinct().join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("s")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("t")), "b")
+def shared_shingles(classes: DataFrame, members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The classes of members (id, comp), with their comp; shared becomes the number of shingles that another component has."""
+    out = pa.schema([("comp", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(k)
+        for batch in batches:
+            for comp, text in zip(batch.column("comp").to_pylist(), batch.column("text"), strict=True):
+                s = shingle(text.as_py())
+                yield pa.RecordBatch.from_pydict({"comp": [comp] * len(s), "digest": [xxhash.xxh3_128_digest(s.tobytes())] * len(s), "shingle": s.view(np.int64)}, schema=out)
+
+    some = members.select("id", "comp").distinct()
+    held = texts.join(some, "id").select("comp", "text").mapInArrow(run, "comp long, digest binary, shingle long").distinct()
+    per = held.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    own = held.join(per.where("lo = hi"), "shingle", "left_semi").groupBy("digest").agg(F.count("*").alias("own"))
+    return classes.join(some, "id").join(own, "digest", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).select(*classes.columns, "comp")
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sketches look similar enough and whose sizes and shared shingles allow the similarity."""
+    side = lambda i, s: classes.select(F.col("id").alias(i), F.col("sig").alias(s), F.col("n").alias(f"n{i}"), F.col("shared").alias(f"s{i}"))
+    both = pairs.distinct().join(side("a", "s"), "a").join(side("b", "t"), "b")
+    both = both.where(F.least("sa", "sb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
     est = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
     return both.select("a", "b", est.alias("est")).where(F.col("est") >= round(EST * N_HASHES))
 
@@ -151,15 +174,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     known = stage(sketch(docs, id_column, text_column, k), "sketch")
     usable = known.where("n_shingles > 0 and id is not null")
-    classes = stage(usable.groupBy("digest").agg(F.min(F.struct("id", "sig")).alias("r")).select("digest", "r.id", "r.sig"), "classes")
+    classes = stage(usable.groupBy("digest").agg(F.min(F.struct("id", "sig", F.col("n_shingles").alias("n"))).alias("r")).select("digest", "r.id", "r.sig", "r.n", F.col("r.n").alias("shared")), "classes")
 
-    def nodes(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("id", "comp")).alias("lo"), F.max(F.struct("id", "comp")).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("n > 1 and c0 != c1").drop("c0", "c1")
+    def nodes(rows: DataFrame, *more: F.Column) -> DataFrame:
+        return rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("id", "comp")).alias("lo"), F.max(F.struct("id", "comp")).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *more).where("n > 1 and c0 != c1").drop("c0", "c1")
 
     rows = classes.select("id", F.col("id").alias("comp"), F.explode(_children(F.lit(0), True, N_HASHES)).alias("node"))
     members = stage(rows.join(nodes(rows), "node"), "members")
     large = members.where(F.col("n") > SMALL)
-    cand = stage(_estimated(_pairs_of_small(members.where(F.col("n") <= SMALL)).unionByName(_pivot_pairs(large)), classes), "candidates")
+    cand = stage(_estimated(_pairs_of_small(members.where(F.col("n") <= SMALL)).unionByName(_pivot_pairs(large)), classes, percent), "candidates")
 
     # Confirm the best link of every class first: what these connect needs no further pair.
     best = cand.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select("m.a", "b")
@@ -171,12 +194,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     rows = _with_components(large.select("id", "node"), comps, "id", "comp")
     large = stage(rows.join(nodes(rows).select("node"), "node", "left_semi"), "large")
+    hot = stage(shared_shingles(classes, large, texts, k).where(F.col("shared") * 100 >= F.col("n") * percent), "hot")
+
+    def possible(rows: DataFrame) -> DataFrame:
+        """Members that can have a partner in their node: by its smallest size and by its largest number of shared shingles."""
+        bounds = nodes(rows, F.min("size").alias("least"), F.max("shared").alias("most"))
+        both = F.least("shared", "most") * (100 + percent) * 100 >= (F.col("size") * 100 + F.greatest(F.col("least") * 100, F.col("size") * percent)) * percent
+        return rows.join(bounds, "node").where(both).drop("least", "most")
+
+    sized = hot.select("id", "sig", F.col("n").alias("size"), "shared")
+    for _ in range(2):
+        rows = possible(large.select("id", "comp", "node").join(sized.drop("sig"), "id")).select("id", "comp", "node")
+        large = stage(rows, "large")
     deeper = []
     for level in range(2, DEPTH + 1):
         if large.isEmpty():
             break
-        rows = large.join(classes.select("id", "sig"), "id").select("id", "comp", F.explode(_children(F.col("node"), False, N_HASHES)).alias("node"))
-        members = stage(rows.join(nodes(rows), "node"), f"level{level}")
+        rows = large.join(sized, "id").select("id", "comp", "size", "shared", F.explode(_children(F.col("node"), False, N_HASHES)).alias("node"))
+        members = stage(possible(rows).drop("size", "shared"), f"level{level}")
         large = members.where(F.col("n") > SMALL)
         deeper += [_pairs_of_small(members.where(F.col("n") <= SMALL)), _pivot_pairs(large)]
         large = large.select("id", "comp", "node")
@@ -187,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         more = deeper[0]
         for x in deeper[1:]:
             more = more.unionByName(x)
-        more = stage(_across(_estimated(more, classes), comps), "deeper")
+        more = stage(_across(_estimated(more, hot, percent), comps), "deeper")
         links = links.unionByName(verify(more, texts, k, percent))
         comps = components(links)
 
