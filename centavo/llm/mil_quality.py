@@ -24,17 +24,27 @@ from .common import held_out, small_batches, table
 PASSAGE, HASHED, HIDDEN, GATE = 64, 16, 24, 12
 SAMPLE_DOCS, EPOCHS, RATE, DECAY, SEED = 6000, 250, 0.02, 1e-4, 7
 SHAPES = 12
-_CACHE_WORDS = 150_000
+_CACHE_WORDS, BLOCK = 150_000, 64
 _MARKS = set("#*$%&<>")
 
 
-def word_features(word: str) -> list[float]:
-    letters = [c for c in word if c.isalpha()]
-    upper = sum(c.isupper() for c in letters)
-    seed = xxhash.xxh3_64_intdigest(word.lower().encode(errors="replace"))
-    hashed = [1.0 if seed >> i & 1 else -1.0 for i in range(HASHED)]
-    shape = [len(letters) > 1 and upper == len(letters), upper > 0, not letters, "!" in word, "|" in word, any(c in _MARKS for c in word), any(c.isdigit() for c in word), word[-1] in ".,;:?", "http" in word or "@" in word, min(len(word), 40) / 10, len(word) > 20]
-    return [*map(float, shape), 0.0, *hashed]
+def _marked(word: str) -> tuple[float, ...]:
+    letters, upper = sum(map(str.isalpha, word)), sum(map(str.isupper, word))
+    digits = any(map(str.isdigit, word))
+    return (letters > 1 and upper == letters, upper > 0, not letters, "!" in word, "|" in word, not _MARKS.isdisjoint(word), digits, word[-1] in ".,;:?", "http" in word or "@" in word)
+
+
+def word_features(words: list[str]) -> np.ndarray:
+    """A row a word: its shape (the last is the place of repeats) and a hashed vector of signs."""
+    out = np.zeros((len(words), SHAPES + HASHED), np.float32)
+    marked = [i for i, w in enumerate(words) if not (w.isalpha() and w.islower()) or "http" in w]
+    if marked:
+        out[marked, : SHAPES - 3] = np.array([_marked(words[i]) for i in marked], np.float32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    out[:, SHAPES - 3], out[:, SHAPES - 2] = np.minimum(lengths, 40) / 10, lengths > 20
+    seeds = np.array([xxhash.xxh3_64_intdigest(w.lower().encode(errors="replace")) for w in words], np.uint64)
+    out[:, SHAPES:] = ((seeds[:, None] >> np.arange(HASHED, dtype=np.uint64)) & np.uint64(1)) * 2.0 - 1
+    return out
 
 
 class Encoder:
@@ -50,18 +60,27 @@ class Encoder:
         known = self.known
         if len(known) > _CACHE_WORDS:
             known.clear()
-        for w in words:
-            if w not in known:
-                n = known[w] = len(known)
-                if n >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[n] = word_features(w)
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        x = self.table[ids]
-        x[1:, SHAPES - 1] = ids[1:] == ids[:-1]
-        starts = np.arange(0, len(words), PASSAGE)
-        sizes = np.diff(np.append(starts, len(words)))[:, None]
-        return np.add.reduceat(x, starts, axis=0) / sizes
+        if new := list(set(words).difference(known)):
+            at = len(known)
+            known.update(zip(new, range(at, at + len(new)), strict=True))
+            while len(known) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at : len(known)] = word_features(new)
+        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        whole = len(ids) // PASSAGE
+        parts = [ids[: whole * PASSAGE].reshape(whole, PASSAGE), ids[whole * PASSAGE :].reshape(1, -1)]
+        out = np.concatenate([self.means(x) for x in parts if x.size])
+        again = np.append(False, ids[1:] == ids[:-1])
+        starts = np.arange(0, len(ids), PASSAGE)
+        out[:, SHAPES - 1] = np.add.reduceat(again, starts, dtype=np.float32) / np.minimum(len(ids) - starts, PASSAGE)
+        return out
+
+    def means(self, ids: np.ndarray) -> np.ndarray:
+        """The mean features of rows of word numbers, BLOCK rows at a time."""
+        total = np.zeros((len(ids), SHAPES + HASHED), np.float32)
+        for at in range(0, len(ids), BLOCK):
+            total[at : at + BLOCK] = np.ones(ids.shape[1], np.float32) @ self.table[ids[at : at + BLOCK]]
+        return total / ids.shape[1]
 
 
 def forward(p: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
@@ -74,26 +93,26 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dict
     e = np.exp(e - np.maximum.reduceat(e, starts)[bag])
     att = e / np.add.reduceat(e, starts)[bag]
     z = np.add.reduceat(att[:, None] * h, starts, axis=0)
-    logit = np.clip(z @ p["c"] + p["d"], -30, 30)
+    logit = np.clip((z @ p["c"] + p["d"]).astype(np.float64), -30, 30)
     return {"bag": bag, "h": h, "t": t, "s": s, "att": att, "z": z, "score": 1 / (1 + np.exp(-logit))}
 
 
 def train(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
     """Full-batch Adam; the two classes weigh the same."""
-    x = np.concatenate(bags).astype(np.float64)
+    x = np.concatenate(bags)
     starts = np.cumsum([0] + [len(b) for b in bags])[:-1]
     rng = np.random.default_rng(SEED)
-    new = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-    p = {"w": new(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "v": new(HIDDEN, GATE), "u": new(HIDDEN, GATE), "a": new(GATE), "c": new(HIDDEN), "d": np.zeros(())}
+    new = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
+    p = {"w": new(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN, np.float32), "v": new(HIDDEN, GATE), "u": new(HIDDEN, GATE), "a": new(GATE), "c": new(HIDDEN), "d": np.zeros((), np.float32)}
     fixed = {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 1e-3}
     xn = (x - fixed["mean"]) / fixed["scale"]
-    y = labels.astype(float)
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    y = labels.astype(np.float32)
+    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, EPOCHS + 1):
         f = forward(p | fixed, x, starts)
         bag, h, t, s, att = f["bag"], f["h"], f["t"], f["s"], f["att"]
-        g = weight * (f["score"] - y)
+        g = weight * (f["score"].astype(np.float32) - y)
         gz = g[:, None] * p["c"]
         ga = (gz[bag] * h).sum(axis=1)
         ge = att * (ga - np.add.reduceat(att * ga, starts)[bag])
