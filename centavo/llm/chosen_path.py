@@ -135,21 +135,22 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
 
 
 def shared_shingles(classes: DataFrame, members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The classes of members (id, comp), with their comp; shared becomes the number of shingles that another component has."""
-    out = pa.schema([("comp", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64())])
+    """The classes of members' ids; shared becomes the number of their shingles that a second one of them has."""
+    out = pa.schema([("key", pa.int64()), ("shingle", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
         for batch in batches:
-            for comp, text in zip(batch.column("comp").to_pylist(), batch.column("text"), strict=True):
+            for text in batch.column("text"):
                 s = shingle(text.as_py())
-                yield pa.RecordBatch.from_pydict({"comp": [comp] * len(s), "digest": [xxhash.xxh3_128_digest(s.tobytes())] * len(s), "shingle": s.view(np.int64)}, schema=out)
-
-    some = members.select("id", "comp").distinct()
-    held = texts.join(some, "id").select("comp", "text").mapInArrow(run, "comp long, digest binary, shingle long").distinct()
-    per = held.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    own = held.join(per.where("lo = hi"), "shingle", "left_semi").groupBy("digest").agg(F.count("*").alias("own"))
-    return classes.join(some, "id").join(own, "digest", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).select(*classes.columns, "comp")
+                key = np.uint64(xxhash.xxh64_intdigest(xxhash.xxh3_128_digest(s.tobytes()), seed=42)).astype(np.int64)  # as Spark's xxhash64 of the digest
+                yield pa.RecordBatch.from_pydict({"key": np.full(len(s), key), "shingle": s.view(np.int64)}, schema=out)
+
+    some = members.select("id").distinct()
+    held = texts.join(some, "id", "left_semi").select("text").mapInArrow(run, "key long, shingle long")
+    own = held.groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key = last").groupBy("key").agg(F.count("*").alias("own"))
+    rows = classes.join(some, "id", "left_semi").withColumn("key", F.xxhash64("digest"))
+    return rows.join(own, "key", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).select(*classes.columns)
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
