@@ -2,13 +2,15 @@
 
 Vectors that lie within half the link angle of a leader form a ball: any two of its members are linked, so a large group of
 near copies is counted without its pairs. Balls are formed in bounded blocks of the coarse lists. Ball leaders are indexed:
-coarse inverted lists, the residual coded in SUBSPACES codes of CODES words. Every leader searches its PROBES nearest lists; asymmetric
+coarse inverted lists, the residual coded in SUBSPACES codes of CODES words. Every leader is compared with every list that can
+hold a partner: lists are left out by exact bounds alone (distances from the list's centroid, the plane between two
+centroids, the radii of the balls). Lists are dealt in blocks of about SEARCH_ROWS leaders, and two blocks meet once. In a block, asymmetric
 distances from per-query tables discard what cannot be near even given the stored coding error, and the
 true cosine in double precision decides. Two balls whose angle and radii settle all their members' pairs are
-linked or dropped as wholes; the rest are compared member by member.
+linked or dropped as wholes, and such links leave a block as counts and as a spanning forest, not as pairs; the rest are compared member by member.
 
-Centroids and codebooks are fitted on at most SAMPLE vectors; all rows are indexed. Every link returned has a cosine of at least LINK. What
-probing may miss is a pair whose two leaders fall in lists that neither probes (recall is tested; 1.0 for tight groups, above 0.9 at the bound itself).
+Centroids and codebooks are fitted on at most SAMPLE vectors; all rows are indexed. Links are exactly the pairs with a cosine of at least LINK (recall 1):
+where the bounds exclude no list (vectors without clusters), all leaders meet, in time that grows with the square of their number.
 
 Null, zero and non-finite vectors link with nothing; vectors of another length than most are compared with none. Null ids pass through without a component. Repeated ids are vectors of their own.
 """
@@ -26,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import stage, table
 from .graph import components
 
-LINK, SUBSPACES, CODES, PROBES = 0.9, 8, 64, 24
+LINK, SUBSPACES, CODES = 0.9, 8, 64
 SAMPLE, MOST_LISTS, ROUNDS = 16384, 1024, 8
-BLOCK_ROWS = 2048
+BLOCK_ROWS, SEARCH_ROWS, QUERY_BLOCKS = 2048, 4096, 4
 ANGLE = float(np.arccos(LINK))
-EPS = 1e-9
+EPS, SLACK = 1e-9, 1e-6
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -90,30 +92,80 @@ def balls(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rid": rid, "vec_id": block["vec_id"].to_numpy(), "list": block["list"].to_numpy(), "ball": rid[leader], "angle": angle, "x": block["x"].to_numpy()})
 
 
+def join_trees(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots of a forest (root[root] is root) after the edges i, j joined its trees."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def reachable(x: np.ndarray, own: np.ndarray, radius: np.ndarray, coarse: np.ndarray, gaps: np.ndarray, stats: dict[str, np.ndarray]) -> np.ndarray:
+    """Which lists can hold a leader whose ball has a link with the ball of x (of list own): no list with one is left out."""
+    square = np.maximum(1 + (coarse * coarse).sum(axis=1) - 2 * x @ coarse.T, 0)
+    far = np.sqrt(square)
+    least = np.maximum(far - stats["most"], stats["least"] - far)
+    gap = gaps[own]
+    plane = np.divide(square - square[np.arange(len(x)), own][:, None], 2 * gap, out=np.zeros_like(square), where=gap > SLACK)
+    chord = 2 * np.sin(np.minimum(ANGLE + radius[:, None] + stats["radius"], np.pi) / 2)
+    return (np.maximum(least, plane) <= chord + SLACK) & (stats["size"] > 0)
+
+
 def search(model: dict) -> object:
-    """Cogrouped step: a block of indexed leaders against a block of queries."""
+    """Cogrouped step: a block of indexed leaders against queries. Rows: (0, ball, null, links of each member), (1, id, id: an edge of a component), (2, ball, ball: to compare by members)."""
     def run(key: tuple, indexed: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
+        out = [np.empty((0, 4), np.int64)]
         if len(indexed) and len(queries):
-            which = int(key[0])
             x, q = unit(indexed["x"]), unit(queries["x"])
-            codes, error = encode(x, np.full(len(x), which), model)
-            ids, radius, other, reach = indexed["ball"].to_numpy(), indexed["radius"].to_numpy(), queries["ball"].to_numpy(), queries["radius"].to_numpy()
+            lists, n = indexed["list"].to_numpy(), len(x)
+            codes, error = encode(x, lists, model)
+            near = model["coarse"][lists] + np.concatenate([b[c] for b, c in zip(model["books"], codes.T, strict=True)], axis=1)
+            norm = (near * near).sum(axis=1)
+            side = lambda name: (indexed[name].to_numpy(), queries[name].to_numpy())
+            (ids, other), (radius, reach), (size, others), (named, known) = side("ball"), side("radius"), side("size"), side("named")
+            here = queries["own"].to_numpy() == int(key[0])
+            links, theirs, root = np.zeros(n, np.int64), np.zeros(len(q), np.int64), np.arange(n + len(q))
             for at in range(0, len(q), 256):
-                part = q[at : at + 256]
-                rest = np.array_split(part - model["coarse"][which], len(model["books"]), axis=1)
-                far = np.zeros((len(part), len(x)))
-                for r, book, code in zip(rest, model["books"], codes.T, strict=True):
-                    tab = ((r[:, None, :] - book[None]) ** 2).sum(axis=2)
-                    far += tab[:, code]
-                most = np.minimum(ANGLE + radius[None] + reach[at : at + 256, None] + EPS, np.pi)
-                i, j = np.nonzero(np.sqrt(far) <= 2 * np.sin(most / 2) + error[None] + EPS)
-                keep = other[at + i] != ids[j]
+                part, r = q[at : at + 256], reach[at : at + 256, None]
+                dot = (part @ model["coarse"].T)[:, lists]
+                for p, book, code in zip(np.array_split(part, len(model["books"]), axis=1), model["books"], codes.T, strict=True):
+                    dot += (p @ book.T)[:, code]
+                chord = 2 * (np.sin((ANGLE + r) / 2) * np.cos(radius / 2) + np.cos((ANGLE + r) / 2) * np.sin(radius / 2))
+                close = 1 - 2 * dot + norm <= (chord + error + SLACK) ** 2
+                close &= ~here[at : at + 256, None] | (other[at : at + 256, None] < ids)
+                i, j = np.nonzero(close)
+                if not len(i):
+                    continue
+                some = np.flatnonzero(close.any(axis=0))
+                cos = np.zeros(close.shape)
+                cos[:, some] = part @ x[some].T
+                keep = cos[i, j] >= np.cos(ANGLE + r[i, 0] + radius[j]) - EPS
                 i, j = i[keep], j[keep]
-                cos = np.einsum("ij,ij->i", part[i], x[j])
-                good = cos >= np.cos(most[i, j])
-                found += zip(np.minimum(other[at + i], ids[j])[good].tolist(), np.maximum(other[at + i], ids[j])[good].tolist(), strict=True)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+                cos = cos[i, j]
+                edge = np.flatnonzero(np.abs(cos - LINK) < EPS)  # the same sum for either order
+                cos[edge] = np.einsum("ij,ij->i", part[i[edge]], x[j[edge]])
+                angle, both = np.arccos(np.clip(cos, -1, 1)), r[i, 0] + radius[j]
+                i = i + at
+                single = (others[i] == 1) & (size[j] == 1)
+                whole = np.where(single, cos >= LINK, angle + both < ANGLE - 1e-6)
+                undecided = ~single & ~whole & (angle - both <= ANGLE + 1e-6)
+                out.append(np.stack([np.full(undecided.sum(), 2), other[i[undecided]], ids[j[undecided]], np.zeros(undecided.sum(), np.int64)], axis=1))
+                i, j = i[whole], j[whole]
+                np.add.at(links, j, others[i])
+                np.add.at(theirs, i, size[j])
+                keep = named[j] & known[i]
+                root = join_trees(root, j[keep], n + i[keep])
+            least = np.concatenate(side("least"))
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            out.append(np.stack([np.ones(len(tied), np.int64), least[tied], least[root[tied]], np.zeros(len(tied), np.int64)], axis=1))
+            for balls_, count in ((ids, links), (other, theirs)):
+                out.append(np.stack([np.zeros((count > 0).sum(), np.int64), balls_[count > 0], np.zeros((count > 0).sum(), np.int64), count[count > 0]], axis=1))
+        return pd.DataFrame(np.concatenate(out), columns=["kind", "a", "b", "n"])
 
     return run
 
@@ -134,6 +186,7 @@ def _cosines(pairs: DataFrame, vectors: DataFrame, left: str, right: str) -> Dat
 
 def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id) a vector, of all vectors."""
+    spark = rows.sparkSession
     rows = stage(rows.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("x")), "vectors")
     fine = F.coalesce(F.size("x") > 0, F.lit(False)) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
     good = rows.where(fine)
@@ -142,7 +195,7 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     good = good.where(F.size("x") == widths["w"]).select("rid", "vec_id", F.transform("x", lambda v: v / F.array_max(F.transform("x", F.abs))).alias("x"))
     model = fit(good, widths["count"])
-    n_lists, probes = len(model["coarse"]), min(PROBES, len(model["coarse"]))
+    n_lists = len(model["coarse"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,15 +203,6 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
                 near = nearest(unit(batch.column("x").to_pylist()), model["coarse"])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("rid", "vec_id", "x")], pa.array(near, pa.int32())], names=["rid", "vec_id", "x", "list"])
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = unit(batch.column("x").to_pylist())
-                score = x @ model["coarse"].T - (model["coarse"] ** 2).sum(axis=1) / 2
-                best = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < n_lists else np.tile(np.arange(n_lists), (len(x), 1))
-                who = np.repeat(np.arange(len(x)), probes)
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel(), pa.int32()), *[batch.column(c).take(pa.array(who)) for c in ("ball", "radius", "x")]], names=["list", "ball", "radius", "x"])
-
     placed = stage(good.mapInArrow(place, "rid long, vec_id long, x array<double>, list int"), "placed")
 
     def salts(df: DataFrame, size: int) -> DataFrame:
@@ -170,29 +214,64 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
 
     members = stage(dealt(placed, salts(placed, BLOCK_ROWS), "rid", "salt").groupBy("list", "salt").applyInPandas(balls, "rid long, vec_id long, list int, ball long, angle double, x array<double>"), "members")
     sizes = members.groupBy("ball").agg(F.count("*").alias("size"), F.max("angle").alias("radius"), F.min("vec_id").alias("least"))
-    leaders = stage(members.where("rid = ball").select("ball", "list", "x").join(sizes, "ball"), "leaders")
-    asked = leaders.select("ball", "radius", "x").mapInArrow(probe, "list int, ball long, radius double, x array<double>")
-    index = dealt(leaders.select("list", "ball", "radius", "x"), salts(leaders, BLOCK_ROWS), "ball", "isalt")
-    per = leaders.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n"))
-    asked_salts = max(1, -(-leaders.count() * probes // (n_lists * 4 * BLOCK_ROWS)))
-    asked = asked.withColumn("qsalt", F.pmod(F.xxhash64("ball"), F.lit(asked_salts)).cast("int")).join(F.broadcast(per), "list").withColumn("isalt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    index = index.withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.lit(asked_salts - 1))))
-    keys = ["list", "isalt", "qsalt"]
-    near = index.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search(model), "a long, b long")
-    pairs = stage(_cosines(near.distinct(), leaders.withColumnRenamed("ball", "rid"), "a", "b"), "pairs")
-
-    side = lambda n: leaders.select(F.col("ball").alias(n), F.col("radius").alias(f"r{n}"), F.col("size").alias(f"s{n}"), F.col("least").alias(f"l{n}"))
-    pairs = stage(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("reach", F.col("ra") + F.col("rb")).withColumn("angle", F.acos(F.least("cos", F.lit(1.0)))), "ball-pairs")
-    single = (F.col("sa") == 1) & (F.col("sb") == 1)
-    whole = pairs.where(F.when(single, F.col("cos") >= LINK).otherwise(F.col("angle") + F.col("reach") < ANGLE - 1e-6))
-    open_ = pairs.where(~single & (F.col("angle") + F.col("reach") >= ANGLE - 1e-6) & (F.col("angle") - F.col("reach") <= ANGLE + 1e-6))
+    leaders = members.where("rid = ball").select("ball", "list", "x").join(sizes, "ball")
+
+    def offset(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                off = np.linalg.norm(unit(batch.column("x").to_pylist()) - model["coarse"][batch.column("list").to_numpy()], axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(off)], names=[*batch.schema.names, "off"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in leaders.schema.fields)
+    leaders = stage(leaders.mapInArrow(offset, kinds + ", off double"), "leaders")
+    stats = {"size": np.zeros(n_lists, np.int64), **{k: np.zeros(n_lists) for k in ("radius", "least", "most")}}
+    for r in leaders.groupBy("list").agg(F.count("*").alias("n"), F.max("radius"), F.min("off"), F.max("off")).collect():
+        for name, value in zip(stats, r[1:], strict=True):
+            stats[name][r["list"]] = value
+
+    # Lists side by side along their main direction fill blocks; a list that is larger than a block gets several.
+    mean = model["coarse"] - model["coarse"].mean(axis=0)
+    blocks, last, room = {}, -1, 0
+    for which in np.argsort(mean @ np.linalg.svd(mean, full_matrices=False)[2][0], kind="stable").tolist():
+        size = int(stats["size"][which])
+        parts = -(-size // SEARCH_ROWS)
+        if parts == 1:
+            if size > room:
+                last, room = last + 1, SEARCH_ROWS
+            blocks[which], room = (last, 1), room - size
+        elif parts:
+            blocks[which], last, room = (last + 1, parts), last + parts, 0
+    held_in = np.zeros((n_lists, last + 1), np.float32)
+    for which, (first, parts) in blocks.items():
+        held_in[which, first : first + parts] = 1
+    at = F.broadcast(spark.createDataFrame([(which, *x) for which, x in blocks.items()], "list int, first int, parts int"))
+    ready = leaders.join(at, "list").select("list", "ball", "radius", "size", F.coalesce("least", F.lit(0)).alias("least"), F.col("least").isNotNull().alias("named"), "x", (F.col("first") + F.pmod(F.xxhash64("ball"), F.col("parts"))).cast("int").alias("own"))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps = np.stack([np.linalg.norm(model["coarse"] - c, axis=1) for c in model["coarse"]])
+        for whole_batch in batches:
+            for start in range(0, whole_batch.num_rows, 1024):
+                batch = whole_batch.slice(start, 1024)
+                own = batch.column("own").to_numpy()
+                lists = reachable(unit(batch.column("x").to_pylist()), batch.column("list").to_numpy(), batch.column("radius").to_numpy(), model["coarse"], gaps, stats)
+                who, block = np.nonzero((lists.astype(np.float32) @ held_in > 0) & (np.arange(last + 1) >= own[:, None]))
+                taken = [batch.column(c).take(pa.array(who)) for c in batch.schema.names]
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *taken], names=["block", *batch.schema.names])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema.fields)
+    asked = ready.mapInArrow(probe, "block int, " + kinds).withColumn("from", F.floor(F.col("own") / QUERY_BLOCKS).cast("int")).drop("list")
+    index = ready.withColumnRenamed("own", "block").withColumn("from", F.explode(F.sequence(F.lit(0), F.floor(F.col("block") / QUERY_BLOCKS).cast("int"))))
+    found = stage(index.groupBy("block", "from").cogroup(asked.groupBy("block", "from")).applyInPandas(search(model), "kind long, a long, b long, n long"), "found")
+    side = lambda n: leaders.select(F.col("ball").alias(n), F.col("least").alias(f"l{n}"))
+    open_ = found.where("kind = 2").select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    edges = found.where("kind = 1").select("a", "b")
     held = lambda n, m: members.select(F.col("ball").alias(n), F.col("rid").alias(m))
     between = open_.select("a", "b", "la", "lb").join(held("a", "p"), "a").join(held("b", "q"), "b")
     between = stage(_cosines(between, members, "p", "q").where(F.col("cos") >= LINK), "member-links")
 
-    by_ball = whole.select(F.col("a").alias("ball"), F.col("sb").alias("n")).unionByName(whole.select(F.col("b").alias("ball"), F.col("sa").alias("n"))).groupBy("ball").agg(F.sum("n").alias("far"))
+    by_ball = found.where("kind = 0").groupBy(F.col("a").alias("ball")).agg(F.sum("n").alias("far"))
     by_row = between.select(F.col("p").alias("rid")).unionByName(between.select(F.col("q").alias("rid"))).groupBy("rid").agg(F.count("*").alias("some"))
-    comps = components(whole.select(F.col("la").alias("a"), F.col("lb").alias("b")).unionByName(between.select(F.col("la").alias("a"), F.col("lb").alias("b"))).where("a is not null and b is not null"))
+    comps = components(edges.unionByName(between.select(F.col("la").alias("a"), F.col("lb").alias("b"))).where("a is not null and b is not null"))
     by_leader = leaders.select("ball", "size", "least").join(by_ball, "ball", "left").join(comps, F.col("least") == F.col("id"), "left").select("ball", "size", "far", F.coalesce("component", "least").alias("component"))
     known = members.select("rid", "ball").join(by_leader, "ball").join(by_row, "rid", "left").select("rid", (F.col("size") - 1 + F.coalesce("far", F.lit(0)) + F.coalesce("some", F.lit(0))).alias("n_links"), "component")
     out = rows.select("rid", "vec_id").join(known, "rid", "left")
