@@ -31,6 +31,14 @@ select ccy as base, 'CAD' as quote, as_of,
 from (select distinct cast(o_orderdate as date) as as_of from orders) d
 cross join (select 'USD' as ccy union all select 'TZS' as ccy) c
 where day(as_of) not between 8 and 18
+""",
+    "d_fx_rate_daily": """
+select ccy as base, 'CAD' as quote, as_of,
+ cast(case ccy when 'USD' then cast(1.25 as decimal(18,8)) + cast(month(as_of) as decimal(4,0)) * cast(0.01 as decimal(10,8))
+      else cast(0.00054 as decimal(18,8)) + cast(month(as_of) as decimal(4,0)) * cast(0.00001 as decimal(10,8)) end as decimal(18,8)) as rate,
+ 'synthetic' as source
+from (select distinct cast(o_orderdate as date) as as_of from orders) d
+cross join (select 'USD' as ccy union all select 'TZS' as ccy) c
 """,
     "d_txn": """
 with b as (
@@ -78,7 +86,7 @@ from supplier cross join (select distinct l_linenumber + 0 as i from lineitem un
 }
 
 _SOURCES = ("customer", "supplier", "part", "orders", "lineitem")
-_NEEDS = {"d_account": (), "d_merchant": (), "d_category": (), "d_fx_rate": (), "d_txn": ("d_account",), "d_statement": ("d_txn",), "d_recurring_txn": ()}
+_NEEDS = {"d_account": (), "d_merchant": (), "d_category": (), "d_fx_rate": (), "d_fx_rate_daily": (), "d_txn": ("d_account",), "d_statement": ("d_txn",), "d_recurring_txn": ()}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,11 +15,11 @@ BASE, AS_OF = "CAD", "1998-11-15"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical transactions: account facts, flow and base value."""
+def transactions(spark: SparkSession, sf_dir: str, rates: str = "d_fx_rate") -> DataFrame:
+    """Canonical transactions: account facts, flow and base value by one of the rate tables."""
     view = lambda name: fixtures.view(spark, sf_dir, name)
     rows = view("d_txn").join(view("d_account").select("account_id", "kind", "market_code", "display_name"), "account_id")
-    return fx.stamp(rows.withColumn("flow_type", flow(F.col("direction"), F.col("kind"), F.col("amount_native"))), view("d_fx_rate"), BASE)
+    return fx.stamp(rows.withColumn("flow_type", flow(F.col("direction"), F.col("kind"), F.col("amount_native"))), view(rates), BASE)
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +101,8 @@ QUERIES: dict[str, Query] = {
     "agg_monthly": lambda s, d: cube.monthly(transactions(s, d)),
     "agg_coverage": lambda s, d: cube.coverage(transactions(s, d)),
     "agg_cashflow": lambda s, d: cube.cashflow(transactions(s, d)),
-    "agg_seasonality": lambda s, d: cube.seasonality(cube.monthly(transactions(s, d).where("day(booked_date) < 8")).where("dimension_type = 'ledger'"), F.lit(AS_OF).cast("date")),
-    "agg_movers": lambda s, d: (lambda c: cube.movers(c, c.where("dimension_type = 'ledger'"), F.lit(AS_OF).cast("date")))(cube.monthly(transactions(s, d).where("day(booked_date) < 8"))),
+    "agg_seasonality": lambda s, d: cube.seasonality(cube.monthly(transactions(s, d, "d_fx_rate_daily")).where("dimension_type = 'ledger'"), F.lit(AS_OF).cast("date")),
+    "agg_movers": lambda s, d: (lambda c: cube.movers(c, c.where("dimension_type = 'ledger'"), F.lit(AS_OF).cast("date")))(cube.monthly(transactions(s, d, "d_fx_rate_daily"))),
     "agg_compare": lambda s, d: cube.compare_years(transactions(s, d), "1997-01-01", "1997-12-31"),
     "agg_reconcile": lambda s, d: _checked(s, d).select("statement_id", "difference", "balance_status"),
     "job_coverage_status": lambda s, d: _checked(s, d).select("statement_id", "covered_until", "reconcile_status"),

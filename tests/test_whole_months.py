@@ -1,0 +1,18 @@
+"""Monthly queries against their SQL over all days of a month."""
+
+import pytest
+from test_registry import SF, duck, rows  # noqa: F401
+
+from centavo import fixtures
+from centavo.plans import registry
+
+
+@pytest.mark.parametrize("name", ["agg_seasonality", "agg_movers"])
+def test_every_day_of_a_month_counts(spark, duck, name):  # noqa: F811
+    sql = registry.ORACLES[name].replace(fixtures.VIEWS["d_fx_rate"].strip(), fixtures.VIEWS["d_fx_rate_daily"].strip())
+    sql = sql.replace("(select * from txn where day(booked_date) < 8)", "txn")
+    # Exact half-up: the division of the registered SQL is in floating point and rounds 33860.895 down.
+    sql = sql.replace("round(cast(total as decimal(20,4)) / len(s), 2)", "sign(total) * ((cast(abs(total) * 100 as bigint) * 2 + len(s)) // (2 * len(s))) * cast(0.01 as decimal(3,2))")
+    assert "< 8" not in sql and "/ len(s)," not in sql
+    ours, theirs = registry.QUERIES[name](spark, SF).toPandas(), duck.sql(sql).df()
+    assert len(ours) and rows(ours) == rows(theirs)
