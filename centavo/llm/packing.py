@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stage, table
-from .tokens import BYTE_BPE, encoding
+from .tokens import BYTE_BPE, encode_added, encoding
 
 CAPACITY, GRAIN, END_ID = 2048, 8, 1
 #: Pieces that one salt of a length class should hold, and salts at least.
@@ -31,13 +31,13 @@ MOST_STEPS = 400
 GAP = 0.00001
 
 
-def cut(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = BYTE_BPE, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """A row a piece: full pieces first, then the rest. with_ids adds the ids themselves."""
+def cut(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = BYTE_BPE, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
+    """A row a piece: full pieces first, then the rest. with_ids adds the ids themselves; added encodes the strings of added tokens as these tokens."""
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encode_added(vocabulary) if added else encoding(vocabulary).encode_ordinary
         for batch in small_batches(batches, "text", 8 << 20):
             out: list[list] = [[] for _ in fields]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -176,8 +176,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
     return placed.select(*pieces.columns, "sequence_id", "offset").unionByName(whole)
 
 
-def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
-    return pack(stage(cut(docs, id_column, text_column, with_ids=with_ids), "pieces"))
+def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
+    return pack(stage(cut(docs, id_column, text_column, with_ids=with_ids, added=added), "pieces"))
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
@@ -188,4 +188,4 @@ def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> D
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), added=True)

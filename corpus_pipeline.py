@@ -21,7 +21,7 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, added=True)
 
 
 STAGES = [("quality rules", _rules), ("quality classifier", _classifier), ("near duplicates", _near_duplicates), ("packing", _packing)]

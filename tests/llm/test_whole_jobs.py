@@ -1,8 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import zlib
+
+import corpus_pipeline
 import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
-from centavo.llm import pq_dedup
+from centavo.llm import packing, pq_dedup
 
 
 def test_links_of_a_hot_third_over_many_lists(spark, monkeypatch):
@@ -24,3 +29,16 @@ def test_links_of_a_hot_third_over_many_lists(spark, monkeypatch):
     got = {r["vec_id"]: r["n_links"] for r in pq_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
     assert lists[0] > 200 and links.sum() > 300_000
     assert [got[i] for i in range(len(x))] == links.sum(axis=1).tolist()
+
+
+def test_packing_encodes_added_tokens(spark, tmp_path):
+    """The query and the pipeline's stage give the ids of a default Tokenizer."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n\n<|endoftext|><|endoftext|>  y z", "<|endoftext|", "it's\t<|endoftext|>'s 12", "Été  ", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    ids = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, packing.END_ID] for t in texts]
+    assert ids[0] == [64, 220, 50256, 275, 1]
+    for packed in (packing.query(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path))):
+        got = {r["doc_id"]: (r["ids_crc32"], r["doc_tokens"]) for r in packed.collect()}
+        assert got == {i: (zlib.crc32(np.array(x, "<u4").tobytes()), len(x)) for i, x in enumerate(ids)}
