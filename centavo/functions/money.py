@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MONEY, TOTAL, RATE = "decimal(14,2)", "decimal(18,2)", "decimal(18,8)"
 
@@ -39,10 +43,15 @@ def exact_median(values: Column) -> Column:
     return F.when(n == 0, None).when(n % 2 == 1, mid).otherwise(F.round((F.get(s, (n / 2 - 1).cast("int")) + F.get(s, (n / 2).cast("int"))) / 2, 2)).cast(TOTAL)
 
 
+@F.arrow_udf(StringType())
+def plain_description(texts: pa.Array) -> pa.Array:
+    """NFKC and case folding, runs of (any) white space as one space, none at the ends."""
+    return pa.array([x if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()) for x in texts.to_pylist()], pa.string())
+
+
 def dedup_hash(account: Column, booked: Column, amount: Column, currency: Column, description: Column, reference: Column) -> Column:
     """Identity of a transaction: sha-256 of its parts joined by the unit separator."""
-    text = F.trim(F.regexp_replace(F.lower(description), r"\s+", " "))
-    return F.sha2(F.concat_ws("\x1f", account, booked.cast("string"), amount.cast(MONEY).cast("string"), F.upper(currency), text, F.trim(F.coalesce(reference, F.lit("")))), 256)
+    return F.sha2(F.concat_ws("\x1f", account, booked.cast("string"), amount.cast(MONEY).cast("string"), F.upper(currency), plain_description(description), F.regexp_replace(F.coalesce(reference, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")), 256)
 
 
 def percent_change(now: Column, before: Column) -> Column:
