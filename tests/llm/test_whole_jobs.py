@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from centavo.llm import packing, pq_dedup
+from centavo.llm import chosen_path, packing, pq_dedup
 
 
 def test_links_of_a_hot_third_over_many_lists(spark, monkeypatch):
@@ -42,3 +42,24 @@ def test_packing_encodes_added_tokens(spark, tmp_path):
     for packed in (packing.query(spark, str(tmp_path)), dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(tmp_path))):
         got = {r["doc_id"]: (r["ids_crc32"], r["doc_tokens"]) for r in packed.collect()}
         assert got == {i: (zlib.crc32(np.array(x, "<u4").tobytes()), len(x)) for i, x in enumerate(ids)}
+
+
+def test_pairs_just_over_the_bound_in_a_large_group(spark):
+    """Near misses of one text, each with one partner just over 80 %: no such link may be lost in the levels."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(250):
+        mine = list(base)
+        for at in rng.choice(400, 48, replace=False):
+            mine[at] = f"x{i}-{at}"
+        other = list(mine)
+        for at in rng.choice(400, 43, replace=False):
+            other[at] = f"y{i}-{at}"
+        rows += [(2 * i, " ".join(mine)), (2 * i + 1, " ".join(other))]
+    sets = [set(t.split()) for _, t in rows]
+    share = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    assert all(0.8 <= share[2 * i][2 * i + 1] < 0.81 for i in range(250))
+    assert sum(x >= 0.8 for line in share for x in line) == 1000  # a text with itself and with its partner
+    got = {r["id"]: r["component"] for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()}
+    assert got == {i: i // 2 * 2 for i in range(500)}
