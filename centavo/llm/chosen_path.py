@@ -1,39 +1,43 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-Every text becomes its set of distinct shingles and a sketch of N_HASHES minwise values. Equal sets collapse to one class
-(smallest id). Each of TREES independent trees branches a class by minwise tokens that the node's own hash selects: one
-token, and a second at one node in four (1.25 in expectation, the inverse of the similarity, so a similar pair is expected to
-share a branch at every level). Nodes of at most SMALL classes are compared exhaustively; larger ones yield pairs with
-two pivots (linear) and branch on. Pairs of one verified component need no comparison any more, so a large group of
-near copies is not compared pair by pair; only nodes that hold two components or more branch on. What is still large
-after DEPTH levels is compared across its components exhaustively, in blocks of BLOCK rows, without a cap: branching at 1.25 is
-critical for a pair at 80 %, which more trees lose with every level.
-
-A text in a large node that owns too many shingles (no other text of the large nodes has them) to be similar to any leaves the
-join, and a pair that the shared shingles or the set sizes rule out is not compared: both bounds are exact.
+Every text becomes its set of distinct shingles and a sketch of N_HASHES minwise values (16 bits each, and 4 bits each to
+estimate with). Equal sets collapse to one class (smallest id). Each of TREES independent trees branches a class by minwise
+tokens that the node's own hash selects: one token, and a second at one node in four (1.25 in expectation, the inverse of the
+similarity, so a similar pair is expected to share a branch at every level). Root nodes of at most SMALL classes are compared
+exhaustively; larger ones yield pairs with two pivots (linear). Best estimates are confirmed first, which makes a large group of
+near copies one component.
+
+Pairs of one component need no comparison any more. A larger node is finished as soon as at most SMALL of its members lie
+outside its largest component: these meet all others of the node, in blocks of BLOCK rows, and the members of the component never
+meet one another. Only nodes of many components branch on, each level by another token. What is left after DEPTH levels is compared
+across components exhaustively, in blocks, without a cap: branching at 1.25 is critical for a pair at 80 %, which
+more trees lose with every level.
 
 Links are confirmed on full sets. Sketches only discard pairs whose estimate is under EST (five standard deviations under
 80 %). Components are exact once every pair between different components is found. A pair at exactly 80 % is computed to miss all
 trees with probability 5.5e-8 at level 2 and, averaged over the sketch values that the trees share, 1.6e-4 at level 4, the deepest.
 
-Null or wordless texts: empty set, linked with nothing. Null ids: kept, component null. Repeated ids and rows pass through.
+Null or wordless texts: empty set, linked with nothing, a component each. Null ids: kept, in the component of an equal set, else null.
+Repeated ids count as one document that has either set. Repeated rows pass through. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, table
+from .common import Stages, small_batches, stage, table
 from .graph import components
 
 N_HASHES, TREES, DEPTH, SMALL, EST, BLOCK = 96, 12, 4, 32, 0.60, 2048
+#: Bits of the filter that leaves texts without a candidate at home: a broadcast of 4 MB, whatever the input.
+FILTER_BITS = 1 << 25
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(1, 2**63, N_HASHES, dtype=np.uint64)
 _ODD = _RNG.integers(1, 2**63, N_HASHES, dtype=np.uint64) | np.uint64(1)
@@ -67,29 +71,63 @@ class Shingler:
 
 
 def minwise(hashes: np.ndarray) -> np.ndarray:
+    """The low 16 bits of the minwise values."""
     best = np.full(N_HASHES, 2**32 - 1, np.uint64)
     for at in range(0, len(hashes), 1024):
         part = (hashes[at : at + 1024, None] ^ _XOR) * _ODD
         best = np.minimum(best, (part >> np.uint64(32)).min(axis=0))
-    return best.astype(np.uint32).view(np.int32)
+    return best.astype("<u2")
+
+
+def nibbles(sig: np.ndarray) -> bytes:
+    """Four bits of each value."""
+    low = (sig & 15).astype(np.uint8)
+    return (low[0::2] | low[1::2] << 4).tobytes()
+
+
+#: Fewest equal nibbles of a pair at EST: unequal values agree in one of sixteen.
+_FEWEST = round((EST + (1 - EST) / 16) * N_HASHES)
+
+
+def similar(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sketches (rows of nibbles) and set sizes allow the similarity; equal nibbles."""
+    apart = x ^ y
+    equal = ((apart & 15) == 0).sum(axis=1) + ((apart & 240) == 0).sum(axis=1)
+    return (equal >= _FEWEST) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)), equal
 
 
 def sketch(docs: DataFrame, id_column: str, text_column: str, k: int) -> DataFrame:
-    """(id, n_shingles, digest, sig) a document."""
-    out = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    """(id, n_shingles, digest, sig, bits) a document."""
+    out = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
         for batch in small_batches(batches, "text", 16 << 20):
-            sizes, digests, sigs = [], [], []
+            sizes, digests, sigs, bits = [], [], [], []
             for text in batch.column("text"):
                 s = shingle(text.as_py())
+                sig = minwise(s) if len(s) else None
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(minwise(s) if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_shingles": sizes, "digest": digests, "sig": sigs}, schema=out)
+                sigs.append(sig.tobytes() if len(s) else None)
+                bits.append(nibbles(sig) if len(s) else None)
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n_shingles": sizes, "digest": digests, "sig": sigs, "bits": bits}, schema=out)
 
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, sig array<int>")
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, n_shingles long, digest binary, sig binary, bits binary")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts whose id is in a pair, and few others: a filter of fixed size goes to the texts, so that most need no shuffle."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    marks = pairs.select(F.explode(F.array(at("a"), at("b"))).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
+    bit = F.bitmap_bit_position(at("id"))
+    byte = F.conv(F.hex(F.substring("map", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return texts.join(F.broadcast(marks), F.bitmap_bucket_number(at("id")) == F.col("bucket")).where(marked).select("id", "text")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -99,100 +137,113 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
         shingle, last, mine = Shingler(k), None, None
         for batch in batches:
             keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
-                if a != last:
-                    last, mine = a, shingle(x.as_py())
-                other = shingle(y.as_py())
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                if x != last:
+                    last, mine = x, shingle(x)
+                other = shingle(y)
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 keep.append(100 * both >= percent * (len(mine) + len(other) - both) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select("id", "text")
+    texts = wanted(docs, pairs)
     joined = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-    return stage(joined.mapInArrow(run, "a long, b long"), "links")
+    return joined.mapInArrow(run, "a long, b long")
+
 
+def _token(at: F.Column) -> F.Column:
+    return F.substring("sig", 2 * at + 1, F.lit(2))
 
-def _children(node: F.Column, roots: bool, n_hashes: int) -> F.Column:
-    """Keys of the children: tokens selected by the node's own hash."""
-    if roots:
+
+def _children(node: F.Column | None) -> F.Column:
+    """Keys of the children: tokens selected by the node's own hash; of the roots (None), by the tree."""
+    if node is None:
         picks = [(t, i) for t in range(TREES) for i in range(1 + (t % 4 == 3))]
-        return F.array(*[F.xxhash64(F.lit(t), F.lit(i), F.get("sig", F.lit((5 * t + i) % n_hashes))) for t, i in picks])
-    pick = lambda i: F.pmod(F.xxhash64(node, F.lit(i)), F.lit(n_hashes)).cast("int")
-    one = F.xxhash64(node, pick(0), F.get("sig", pick(0)))
-    two = F.xxhash64(node, pick(1), F.get("sig", pick(1)))
+        return F.array(*[F.xxhash64(F.lit(t), F.lit(i), _token(F.lit((5 * t + i) % N_HASHES))) for t, i in picks])
+    pick = lambda i: F.pmod(F.xxhash64(node, F.lit(i)), F.lit(N_HASHES)).cast("int")
+    one, two = (F.xxhash64(node, pick(i), _token(pick(i))) for i in (0, 1))
     return F.when(F.pmod(F.xxhash64(node, F.lit(2)), F.lit(4)) == 0, F.array_distinct(F.array(one, two))).otherwise(F.array(one))
 
 
-def _pairs_of_small(members: DataFrame) -> DataFrame:
-    held = members.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("id", "comp"))).alias("m"))
-    pair = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, SMALL), lambda y: y["comp"] != x["comp"]), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    return held.select(F.explode(pair).alias("p")).select("p.a", "p.b")
+_PAIRS = "a long, b long, est int"
+_PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.int32())])
+
+
+def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b, est) across the components of nodes with at most SMALL members (node, id, comp, n, bits), as far as sketches allow."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            node, ids, comp, n = (t.column(c).to_numpy() for c in ("node", "id", "comp", "n"))
+            bits, found = _matrix(t.column("bits"), N_HASHES // 2), [np.empty((0, 3), np.int64)]
+            for d in range(1, min(SMALL, len(node))):  # rows are sorted: a node's pairs lie less than SMALL rows apart
+                i = np.flatnonzero((node[:-d] == node[d:]) & (comp[:-d] != comp[d:]))
+                for at in range(0, len(i), 65536):
+                    p = i[at : at + 65536]
+                    fits, equal = similar(bits[p], bits[p + d], n[p], n[p + d], percent)
+                    p = p[fits]
+                    found.append(np.stack([np.minimum(ids[p], ids[p + d]), np.maximum(ids[p], ids[p + d]), equal[fits]], axis=1))
+            a, b, est = np.concatenate(found).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(est.astype(np.int32))], schema=_PAIR_SCHEMA)
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if left is None else pa.concat_tables([left, t])
+            if len(t):
+                node = t.column("node").to_numpy()
+                whole = int(np.flatnonzero(node != node[-1])[-1]) + 1 if node[0] != node[-1] else 0
+                left = t.slice(whole)
+                yield pairs(t.slice(0, whole))
+        if left is not None:
+            yield pairs(left)
 
-def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """Every member with the node's first and last; pairs within a component are not made at all."""
-    low = F.when(F.col("lo.comp") != F.col("comp"), F.struct(F.col("lo.id").alias("a"), F.col("id").alias("b")))
-    high = F.when(F.col("hi.comp") != F.col("comp"), F.struct(F.col("id").alias("a"), F.col("hi.id").alias("b")))
-    return members.select(F.explode(F.array_compact(F.array(low, high))).alias("p")).select("p.a", "p.b").where("a < b")
+    return members.select("node", "id", "comp", "n", "bits").repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, _PAIRS)
 
 
 def _pairs_of_large(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) across the components of a node (id, comp, node, sig, size, shared) that sketches, sizes and shared shingles allow.
+    """The same for larger nodes, of (node, top, tops, others, id, comp, n, bits).
 
     Rows of a node's largest component are dealt in blocks of their own, which never meet one another."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]
-        x, y = (np.stack(s["sig"].to_numpy()) if len(s) else np.empty((0, N_HASHES), np.int32) for s in (left, right))
-        at = lambda s, name: s[name].to_numpy()
-        found = [np.empty((0, 2), np.int64)]
-        for i in range(len(left)):
-            fits = np.minimum(at(left, "shared")[i], at(right, "shared")) * (100 + percent) >= (at(left, "size")[i] + at(right, "size")) * percent
-            fits &= at(left, "comp")[i] != at(right, "comp")
-            if key[1] == key[2]:
-                fits &= at(left, "id")[i] < at(right, "id")
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        block = t.column("block").to_numpy()
+        sides = []
+        for which in (key[1].as_py(), key[2].as_py()):
+            part = t.filter(pa.array(block == which))
+            sides.append((*(part.column(c).to_numpy() for c in ("id", "comp", "n")), _matrix(part.column("bits"), N_HASHES // 2)))
+        (ids, comp, n, bits), (others, theirs, m, y) = sides
+        found = [np.empty((0, 3), np.int64)]
+        for i in range(len(ids)):
+            fits = comp[i] != theirs
+            if key[1].as_py() == key[2].as_py():
+                fits &= ids[i] < others
             j = np.flatnonzero(fits)
-            j = j[(y[j] == x[i]).sum(axis=1) >= round(EST * N_HASHES)]
-            a, b = np.full(len(j), at(left, "id")[i]), at(right, "id")[j]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
-
-    per = members.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("tops"), F.sum("n").alias("all"))
-    per = per.select("node", "top", F.ceil((F.col("all") - F.col("tops")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("tops") / BLOCK).cast("int").alias("same")).where("others > 0")
-    rows = members.join(per, "node")
+            fits, equal = similar(bits[i][None], y[j], n[i], m[j], percent)
+            j = j[fits]
+            found.append(np.stack([np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j]), equal[fits]], axis=1))
+        a, b, est = np.concatenate(found).T
+        return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(est.astype(np.int32))], schema=_PAIR_SCHEMA)
+
     top = F.col("comp") == F.col("top")
-    rows = rows.withColumn("block", F.when(top, F.col("others") + F.pmod(F.xxhash64("id"), F.col("same"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))).cast("int"))
-    meets = F.sequence(F.lit(0), F.when(top, F.col("others")).otherwise(F.col("others") + F.col("same")) - 1)
-    rows = rows.select("node", "id", "comp", "sig", "size", "shared", "block", F.explode(meets).alias("with"))
-    rows = rows.withColumn("lo", F.least("block", "with")).withColumn("hi", F.greatest("block", "with")).drop("with")
-    return rows.groupBy("node", "lo", "hi").applyInPandas(run, "a long, b long")
+    other, same = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("tops") / BLOCK).cast("int")
+    block = F.when(top, other + F.pmod(F.xxhash64("id"), same)).otherwise(F.pmod(F.xxhash64("id"), other)).cast("int")
+    meets = F.sequence(F.lit(0), F.when(top, other).otherwise(other + same) - 1)
+    rows = members.select("node", "id", "comp", "n", "bits", block.alias("block"), F.explode(meets).alias("with"))
+    return rows.groupBy("node", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).applyInArrow(run, _PAIRS)
 
 
-def shared_shingles(classes: DataFrame, members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The classes of members (id, comp), with their comp; shared becomes the number of shingles that another component has."""
-    out = pa.schema([("comp", pa.int64()), ("digest", pa.binary()), ("shingle", pa.int64())])
+def _estimated(pairs: DataFrame, narrow: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those, with est, that sketches and sizes allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(k)
         for batch in batches:
-            for comp, text in zip(batch.column("comp").to_pylist(), batch.column("text"), strict=True):
-                s = shingle(text.as_py())
-                yield pa.RecordBatch.from_pydict({"comp": [comp] * len(s), "digest": [xxhash.xxh3_128_digest(s.tobytes())] * len(s), "shingle": s.view(np.int64)}, schema=out)
-
-    some = members.select("id", "comp").distinct()
-    held = texts.join(some, "id").select("comp", "text").mapInArrow(run, "comp long, digest binary, shingle long").distinct()
-    per = held.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    own = held.join(per.where("lo = hi"), "shingle", "left_semi").groupBy("digest").agg(F.count("*").alias("own"))
-    return classes.join(some, "id").join(own, "digest", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).select(*classes.columns, "comp")
-
+            if batch.num_rows:
+                fits, equal = similar(*(_matrix(batch.column(c), N_HASHES // 2) for c in ("x", "y")), batch.column("n").to_numpy(), batch.column("m").to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(equal.astype(np.int32))], schema=_PAIR_SCHEMA).filter(pa.array(fits))
 
-def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches look similar enough and whose sizes and shared shingles allow the similarity."""
-    side = lambda i, s: classes.select(F.col("id").alias(i), F.col("sig").alias(s), F.col("n").alias(f"n{i}"), F.col("shared").alias(f"s{i}"))
-    both = pairs.distinct().join(side("a", "s"), "a").join(side("b", "t"), "b")
-    both = both.where(F.least("sa", "sb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-    est = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return both.select("a", "b", est.alias("est")).where(F.col("est") >= round(EST * N_HASHES))
+    both = pairs.distinct().join(narrow.select(F.col("id").alias("a"), "n", F.col("bits").alias("x")), "a").join(narrow.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(run, _PAIRS)
 
 
 def _with_components(df: DataFrame, comps: DataFrame, column: str, name: str) -> DataFrame:
@@ -200,7 +251,7 @@ def _with_components(df: DataFrame, comps: DataFrame, column: str, name: str) ->
 
 
 def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    return _with_components(_with_components(pairs, comps, "a", "ca"), comps, "b", "cb").where("ca != cb").select(*pairs.columns)
+    return _with_components(_with_components(pairs, comps, "a", "ca"), comps, "b", "cb").where("ca != cb").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -208,56 +259,41 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     known = stage(sketch(docs, id_column, text_column, k), "sketch")
     usable = known.where("n_shingles > 0 and id is not null")
-    classes = stage(usable.groupBy("digest").agg(F.min(F.struct("id", "sig", F.col("n_shingles").alias("n"))).alias("r")).select("digest", "r.id", "r.sig", "r.n", F.col("r.n").alias("shared")), "classes")
-
-    def nodes(rows: DataFrame, *more: F.Column) -> DataFrame:
-        return rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("id", "comp")).alias("lo"), F.max(F.struct("id", "comp")).alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *more).where("n > 1 and c0 != c1").drop("c0", "c1")
-
-    rows = classes.select("id", F.col("id").alias("comp"), F.explode(_children(F.lit(0), True, N_HASHES)).alias("node"))
-    members = stage(rows.join(nodes(rows), "node"), "members")
-    large = members.where(F.col("n") > SMALL)
-    cand = stage(_estimated(_pairs_of_small(members.where(F.col("n") <= SMALL)).unionByName(_pivot_pairs(large)), classes, percent), "candidates")
-
-    # Confirm the best link of every class first: what these connect needs no further pair.
-    best = cand.groupBy("b").agg(F.max(F.struct("est", "a")).alias("m")).select("m.a", "b")
-    best = best.unionByName(cand.groupBy("a").agg(F.max(F.struct("est", "b")).alias("m")).select("a", "m.b")).distinct()
-    links = verify(best, texts, k, percent)
-    comps = components(links)
-    links = links.unionByName(verify(_across(cand, comps), texts, k, percent))
-    comps = components(links)
-
-    rows = _with_components(large.select("id", "node"), comps, "id", "comp")
-    large = stage(rows.join(nodes(rows).select("node"), "node", "left_semi"), "large")
-    hot = stage(shared_shingles(classes, large, texts, k).where(F.col("shared") * 100 >= F.col("n") * percent), "hot")
-
-    def possible(rows: DataFrame) -> DataFrame:
-        """Members that can have a partner in their node: by its smallest size and by its largest number of shared shingles."""
-        bounds = nodes(rows, F.min("size").alias("least"), F.max("shared").alias("most"))
-        both = F.least("shared", "most") * (100 + percent) * 100 >= (F.col("size") * 100 + F.greatest(F.col("least") * 100, F.col("size") * percent)) * percent
-        return rows.join(bounds, "node").where(both).drop("least", "most")
-
-    sized = hot.select("id", "sig", F.col("n").alias("size"), "shared")
-    for _ in range(2):
-        rows = possible(large.select("id", "comp", "node").join(sized.drop("sig"), "id")).select("id", "comp", "node")
-        large = stage(rows, "large")
-    deeper = []
-    for level in range(2, DEPTH + 1):
-        if large.isEmpty():
-            break
-        rows = large.join(sized, "id").select("id", "comp", "size", "shared", F.explode(_children(F.col("node"), False, N_HASHES)).alias("node"))
-        members = stage(possible(rows).drop("size", "shared"), f"level{level}")
-        large = members.where(F.col("n") > SMALL)
-        deeper += [_pairs_of_small(members.where(F.col("n") <= SMALL)), _pivot_pairs(large)]
-        large = large.select("id", "comp", "node")
-    else:
-        deeper.append(_pairs_of_large(large.join(sized, "id"), percent))
-    if deeper:
-        more = deeper[0]
-        for x in deeper[1:]:
-            more = more.unionByName(x)
-        more = stage(_across(_estimated(more, hot, percent), comps), "deeper")
-        links = links.unionByName(verify(more, texts, k, percent))
-        comps = components(links)
+    classes = stage(usable.groupBy("digest").agg(F.min(F.struct("id", "sig", "bits", F.col("n_shingles").alias("n"))).alias("r")).select("digest", "r.*"), "classes")
+    narrow = classes.select("id", "n", "bits")
+
+    with Stages(docs.sparkSession) as held:
+        rows = classes.select("id", F.explode(_children(None)).alias("node"))
+        members = held(rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node"), "members")
+        large = members.where(F.col("size") > SMALL).select("node", "id")
+        ends = large.join(large.groupBy("node").agg(F.min("id").alias("lo"), F.max("id").alias("hi")), "node")
+        pivot = ends.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b")
+        small = members.where(F.col("size") <= SMALL).join(narrow, "id").withColumn("comp", F.col("id"))
+        found = _pairs_of_small(small, percent).unionByName(_estimated(pivot, narrow, percent))
+        cand = held(found.groupBy("a", "b").agg(F.max("est").alias("est")), "candidates")
+
+        # Confirm the best link of every class first: what these connect needs no further pair.
+        ends = cand.select(F.explode(F.array(F.struct("a", F.col("b").alias("o")), F.struct(F.col("b").alias("a"), F.col("a").alias("o")))).alias("p"), "est").select("p.*", "est")
+        best = ends.groupBy("a").agg(F.max(F.struct("est", "o")).alias("m")).select(F.least("a", "m.o").alias("a"), F.greatest("a", "m.o").alias("b")).distinct()
+        links = held(verify(held(best, "best"), texts, k, percent), "links")
+        comps = components(links, held)
+        rest = held(_across(cand, comps), "rest")
+        links = links.unionByName(held(verify(rest, texts, k, percent), "links"))
+        comps = components(links, held)
+
+        rows, deeper = held(_with_components(large, comps, "id", "comp"), "level1"), []
+        for level in range(1, DEPTH + 1):
+            per = rows.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("tops"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+            rows = held(rows.join(per, "node"), "nodes")
+            small, done = F.col("others") + F.col("tops") <= SMALL, (F.col("others") <= SMALL) | F.lit(level == DEPTH)
+            deeper.append(_pairs_of_small(rows.where(small).join(narrow, "id"), percent))
+            deeper.append(_pairs_of_large(rows.where(~small & done).join(narrow, "id"), percent))
+            rows = held(rows.where(~small & ~done).join(classes.select("id", "sig"), "id").select("id", "comp", F.explode(_children(F.col("node"))).alias("node")), "level")
+            if rows.isEmpty():
+                break
+        more = held(functools.reduce(DataFrame.unionByName, deeper).select("a", "b").distinct(), "deeper")
+        links = links.unionByName(held(verify(more, texts, k, percent), "links"))
+        comps = held.keep(components(links, held))
 
     by_class = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = known.select("id", "n_shingles", "digest").join(by_class, "digest", "left")

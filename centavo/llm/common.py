@@ -38,6 +38,43 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Staged tables of one job: inside the with-block each call stages a table; at its end all but the kept ones are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((read, path))
+        return read
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A staged table that outlives the block."""
+        self.tables = [x for x in self.tables if x[0] is not df]
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a staged table that nothing reads any more."""
+        for _, path in [x for x in self.tables if x[0] is df]:
+            delete(self.spark, path)
+        self.keep(df)
+
+    def __exit__(self, *failed: object) -> None:
+        for _, path in self.tables:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import Stages, stage, table
 from .graph import components
 
 LINK, SUBSPACES, CODES = 0.9, 8, 64
@@ -271,7 +271,8 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
 
     by_ball = found.where("kind = 0").groupBy(F.col("a").alias("ball")).agg(F.sum("n").alias("far"))
     by_row = between.select(F.col("p").alias("rid")).unionByName(between.select(F.col("q").alias("rid"))).groupBy("rid").agg(F.count("*").alias("some"))
-    comps = components(edges.unionByName(between.select(F.col("la").alias("a"), F.col("lb").alias("b"))).where("a is not null and b is not null"))
+    with Stages(spark) as held:
+        comps = held.keep(components(edges.unionByName(between.select(F.col("la").alias("a"), F.col("lb").alias("b"))).where("a is not null and b is not null"), held))
     by_leader = leaders.select("ball", "size", "least").join(by_ball, "ball", "left").join(comps, F.col("least") == F.col("id"), "left").select("ball", "size", "far", F.coalesce("component", "least").alias("component"))
     known = members.select("rid", "ball").join(by_leader, "ball").join(by_row, "rid", "left").select("rid", (F.col("size") - 1 + F.coalesce("far", F.lit(0)) + F.coalesce("some", F.lit(0))).alias("n_links"), "component")
     out = rows.select("rid", "vec_id").join(known, "rid", "left")
