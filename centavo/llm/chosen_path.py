@@ -9,7 +9,9 @@ near copies one component.
 
 Pairs of one component need no comparison any more. A larger node is finished as soon as at most SMALL of its members lie
 outside its largest component: these meet all others of the node, in blocks of BLOCK rows, and the members of the component never
-meet one another. Only nodes of many components branch on, each level by another token. What is left after DEPTH levels is compared
+meet one another. An outsider hands on its best partner in the component alone; if that pair fails and others are possible, the
+outsider meets all members of the component on full sets, in blocks of CHUNK by MEMBERS, up to its first link: near misses of a large group
+never become a table of pairs. Only nodes of many components branch on, each level by another token. What is left after DEPTH levels is compared
 across components exhaustively, in blocks, without a cap: branching at 1.25 is critical for a pair at 80 %, which
 more trees lose with every level.
 
@@ -36,6 +38,7 @@ from .common import Stages, small_batches, stage, table
 from .graph import components
 
 N_HASHES, TREES, DEPTH, SMALL, EST, BLOCK = 96, 12, 4, 32, 0.60, 2048
+CHUNK, MEMBERS = 256, 1024
 #: Bits of the filter that leaves texts without a candidate at home: a broadcast of 4 MB, whatever the input.
 FILTER_BITS = 1 << 25
 _RNG = np.random.default_rng(20)
@@ -201,36 +204,81 @@ def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
     return members.select("node", "id", "comp", "n", "bits").repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, _PAIRS)
 
 
+_FOUND = pa.schema([*_PAIR_SCHEMA, ("x", pa.int64()), ("top", pa.int64())])
+
+
 def _pairs_of_large(members: DataFrame, percent: int) -> DataFrame:
-    """The same for larger nodes, of (node, top, tops, others, id, comp, n, bits).
+    """The same for larger nodes, of (node, top, tops, others, id, comp, n, bits). Of an outsider's partners in a block of the largest component
+    only the best is named; if there are more, x and top say which outsider has them in which component.
 
     Rows of a node's largest component are dealt in blocks of their own, which never meet one another."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         block = t.column("block").to_numpy()
+        lo, hi = key[1].as_py(), key[2].as_py()
         sides = []
-        for which in (key[1].as_py(), key[2].as_py()):
+        for which in (lo, hi):
             part = t.filter(pa.array(block == which))
             sides.append((*(part.column(c).to_numpy() for c in ("id", "comp", "n")), _matrix(part.column("bits"), N_HASHES // 2)))
         (ids, comp, n, bits), (others, theirs, m, y) = sides
-        found = [np.empty((0, 3), np.int64)]
+        top, inside = t.column("top")[0].as_py(), hi >= -(-t.column("others")[0].as_py() // BLOCK)
+        out: list[tuple] = []
         for i in range(len(ids)):
             fits = comp[i] != theirs
-            if key[1].as_py() == key[2].as_py():
+            if lo == hi:
                 fits &= ids[i] < others
             j = np.flatnonzero(fits)
             fits, equal = similar(bits[i][None], y[j], n[i], m[j], percent)
-            j = j[fits]
-            found.append(np.stack([np.minimum(ids[i], others[j]), np.maximum(ids[i], others[j]), equal[fits]], axis=1))
-        a, b, est = np.concatenate(found).T
-        return pa.Table.from_arrays([pa.array(a), pa.array(b), pa.array(est.astype(np.int32))], schema=_PAIR_SCHEMA)
+            j, equal = j[fits], equal[fits]
+            if inside and len(j):
+                best = equal.argmax()
+                more = len(j) > 1
+                j, equal = j[best : best + 1], equal[best : best + 1]
+            else:
+                more = False
+            out += [(min(ids[i], b), max(ids[i], b), e, ids[i] if more else None, top if more else None) for b, e in zip(others[j].tolist(), equal.tolist(), strict=True)]
+        return pa.Table.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(_FOUND)], schema=_FOUND)
 
     top = F.col("comp") == F.col("top")
     other, same = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("tops") / BLOCK).cast("int")
     block = F.when(top, other + F.pmod(F.xxhash64("id"), same)).otherwise(F.pmod(F.xxhash64("id"), other)).cast("int")
     meets = F.sequence(F.lit(0), F.when(top, other).otherwise(other + same) - 1)
-    rows = members.select("node", "id", "comp", "n", "bits", block.alias("block"), F.explode(meets).alias("with"))
-    return rows.groupBy("node", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).applyInArrow(run, _PAIRS)
+    rows = members.select("node", "id", "comp", "top", "others", "n", "bits", block.alias("block"), F.explode(meets).alias("with"))
+    return rows.groupBy("node", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).applyInArrow(run, _PAIRS + ", x long, top long")
+
+
+def _against_components(ask: DataFrame, comps: DataFrame, narrow: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """ask: (x, comp). One link (a, b) of x with a member of the component, if there is any."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        shingle, sets, found = Shingler(k), {}, []
+        if len(left) and len(right):
+            ids, n, bits, text = right.column("id").to_numpy(), right.column("n").to_numpy(), _matrix(right.column("bits"), N_HASHES // 2), right.column("text")
+            for x, size, sketch_, said in zip(left.column("id").to_pylist(), left.column("n").to_pylist(), _matrix(left.column("bits"), N_HASHES // 2), left.column("text").to_pylist(), strict=True):
+                fits, equal = similar(sketch_[None], bits, size, n, percent)
+                j = np.flatnonzero(fits)
+                mine = shingle(said) if len(j) else None
+                for at in j[np.argsort(-equal[j], kind="stable")].tolist():
+                    if at not in sets:
+                        sets[at] = shingle(text[at].as_py())
+                    both = len(np.intersect1d(mine, sets[at], assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(sets[at]) - both):
+                        found.append((min(x, int(ids[at])), max(x, int(ids[at]))))
+                        break
+        return pa.Table.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+    held = comps.join(ask.select(F.col("comp").alias("component")).distinct(), "component").select(F.col("component").alias("comp"), "id")
+    sizes = held.groupBy("comp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).join(ask.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "comp")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    deal = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    asked = ask.withColumnRenamed("x", "id")
+    ids = asked.select("id").unionByName(held.select("id")).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    full = wanted(texts, ids).join(narrow, "id")
+    left = asked.join(sizes, "comp").join(full, "id").select("comp", "id", "n", "bits", "text", deal("chunks").alias("chunk"), each("blocks").alias("block"))
+    right = held.join(sizes, "comp").join(full, "id").select("comp", "id", "n", "bits", "text", deal("blocks").alias("block"), each("chunks").alias("chunk"))
+    right = right.toDF(*right.columns)  # new names for the columns that both sides have from one table
+    keys = ["comp", "chunk", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long").distinct()
 
 
 def _estimated(pairs: DataFrame, narrow: DataFrame, percent: int) -> DataFrame:
@@ -286,13 +334,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             per = rows.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.max("n").alias("tops"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
             rows = held(rows.join(per, "node"), "nodes")
             small, done = F.col("others") + F.col("tops") <= SMALL, (F.col("others") <= SMALL) | F.lit(level == DEPTH)
-            deeper.append(_pairs_of_small(rows.where(small).join(narrow, "id"), percent))
+            none = F.lit(None).cast("long")
+            deeper.append(_pairs_of_small(rows.where(small).join(narrow, "id"), percent).select("*", none.alias("x"), none.alias("top")))
             deeper.append(_pairs_of_large(rows.where(~small & done).join(narrow, "id"), percent))
             rows = held(rows.where(~small & ~done).join(classes.select("id", "sig"), "id").select("id", "comp", F.explode(_children(F.col("node"))).alias("node")), "level")
             if rows.isEmpty():
                 break
-        more = held(functools.reduce(DataFrame.unionByName, deeper).select("a", "b").distinct(), "deeper")
-        links = links.unionByName(held(verify(more, texts, k, percent), "links"))
+        more = held(functools.reduce(DataFrame.unionByName, deeper).groupBy("a", "b", "x", "top").agg(F.max("est").alias("est")), "deeper")
+        links = links.unionByName(held(verify(held(more.select("a", "b").distinct(), "more"), texts, k, percent), "links"))
+        comps = components(links, held)
+        ask = _with_components(_with_components(more.where("x is not null").select("x", "top").distinct(), comps, "top", "comp"), comps, "x", "own")
+        ask = held(ask.where("own != comp").select("x", "comp").distinct(), "ask")
+        links = links.unionByName(held(_against_components(ask, comps, narrow, texts, k, percent), "links"))
         comps = held.keep(components(links, held))
 
     by_class = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
