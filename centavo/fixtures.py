@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.tables import TABLES, read_table
+from .storage import once
+
 VIEWS = {
     "d_account": """
 select concat('A', lpad(cast(c_custkey as string), 8, '0')) as account_id, c_name as display_name,
@@ -63,7 +66,15 @@ select concat('T', lpad(cast(l_orderkey as string), 9, '0'), '-', cast(l_linenum
  case when native_currency='CAD' and l_linenumber=3 then 'USD' end as original_currency,
  case when native_currency='CAD' and l_linenumber=3 and l_partkey % 2 = 0 then cast(0.50 as decimal(14,2)) end as fx_fee_amount_native,
  (direction='fee' and l_partkey % 3 = 0) as is_fx_fee,
- direction, cast(l_shipdate as timestamp) as updated_at from s
+ direction, cast(l_shipdate as timestamp) as updated_at, concat('supplier ', cast(l_suppkey as string)) as merchant_key,
+ (direction='debit' and l_partkey % 97 = 0) as is_reversal, concat(account_id, '-', cast(cast(date_trunc('month', l_shipdate) as date) as string)) as statement_id from s
+""",
+    "d_raw_txn": """
+select transaction_id, case when k % 101 = 0 then cast(amount_native as decimal(18,3)) + cast(0.005 as decimal(4,3)) else cast(amount_native as decimal(18,3)) end as amount_native,
+ case when k % 103 = 0 then 'cad' else currency_native end as currency_native, case when k % 107 = 0 then -original_amount else original_amount end as original_amount,
+ case when k % 109 = 0 then null else original_currency end as original_currency, case when k % 113 = 0 then cast(-1.00 as decimal(14,2)) else fx_fee_amount_native end as fx_fee_amount_native,
+ (is_fx_fee or k % 127 = 0) as is_fx_fee, case when k % 131 = 0 then 'sale' else direction end as direction
+from (select *, cast(substr(transaction_id, 2, 9) as int) as k from d_txn) t
 """,
     "d_statement": """
 with m as (select account_id, currency_native, cast(date_trunc('month', booked_date) as date) as period_start,
@@ -72,38 +83,71 @@ r as (select *, coalesce(sum(total) over (partition by account_id order by perio
   row_number() over (partition by account_id order by period_start) as n from m)
 select concat(account_id, '-', cast(period_start as string)) as statement_id, account_id, period_start,
  last_day(period_start) as period_end, currency_native as currency,
- cast(opening as decimal(14,2)) as opening_balance,
+ case when (k+n) % 17 = 0 then null else cast(opening as decimal(14,2)) end as opening_balance,
  case when (k+n) % 9 = 0 then null else cast(opening + total + case when (k+n) % 13 = 0 then 1 else 0 end as decimal(14,2)) end as closing_balance
 from r where (k+n) % 11 <> 0
 """,
-    "d_recurring_txn": """
-select concat('R', lpad(cast(s_suppkey as string), 6, '0'), '-', lpad(cast(i as string), 2, '0')) as transaction_id,
- concat('supplier ', cast(s_suppkey as string)) as merchant_key,
- date '2000-01-05' + cast(i * case s_suppkey % 4 when 0 then 7 when 1 then 14 when 2 then 30 else 90 end as int) as booked_date,
- cast(round((cast(abs(s_acctbal) as decimal(14,2)) + 1) * case when i = 11 and s_suppkey % 3 = 0 then cast(1.10 as decimal(3,2)) else cast(1.00 as decimal(3,2)) end, 2) as decimal(14,2)) as amount_native
-from supplier cross join (select distinct l_linenumber + 0 as i from lineitem union select distinct l_linenumber + 7 from lineitem) t where i <= 11
+    "d_fx_rate_some": """
+select ccy as base, 'CAD' as quote, as_of,
+ cast(case ccy when 'USD' then cast(1.25 as decimal(18,8)) + cast(month(as_of) as decimal(4,0)) * cast(0.01 as decimal(10,8))
+      else cast(0.00054 as decimal(18,8)) + cast(month(as_of) as decimal(4,0)) * cast(0.00001 as decimal(10,8)) end as decimal(18,8)) as rate,
+ 'synthetic' as source
+from (select distinct cast(l_shipdate as date) as as_of from lineitem) d
+cross join (select 'USD' as ccy union all select 'TZS' as ccy) c
+where not (day(as_of) between 8 and 18 and month(as_of) = 6)
+""",
+    "d_series": """
+select concat('R', lpad(cast(s_suppkey as string), 6, '0'), '-', lpad(cast(i as string), 2, '0')) as transaction_id, a.account_id,
+ cast(date '1998-02-05' + cast(i * case s_suppkey % 4 when 0 then 7 when 1 then 14 when 2 then 30 else 90 end as int) as date) as booked_date,
+ concat('M', lpad(cast(s_suppkey as string), 8, '0')) as merchant_id, concat('plan ', cast(s_suppkey as string)) as merchant_key,
+ cast(case when a.kind = 'credit_card' then price else -price end as decimal(14,2)) as amount_native, a.native_currency as currency_native,
+ case when s_suppkey % 5 = 0 then cast(round(case when a.kind = 'credit_card' then price else -price end * cast(0.72 as decimal(3,2)), 2) as decimal(14,2)) end as original_amount,
+ case when s_suppkey % 5 = 0 then 'USD' end as original_currency, case when s_suppkey % 5 = 1 then cast(0.25 as decimal(14,2)) end as fx_fee_amount_native,
+ 'debit' as direction, a.kind, a.market_code
+from (select s_suppkey, i, cast(round((cast(abs(s_acctbal) as decimal(14,2)) + 1) * case when i = 11 and s_suppkey % 3 = 0 then cast(1.10 as decimal(3,2)) else cast(1.00 as decimal(3,2)) end, 2) as decimal(14,2)) as price
+ from supplier cross join (select distinct l_linenumber + 0 as i from lineitem union select distinct l_linenumber + 7 from lineitem) t where i <= 11) p
+join d_account a on a.account_id = concat('A', lpad(cast(s_suppkey + case when s_suppkey % 7 = 0 then i % 2 else 0 end as string), 8, '0'))
+""",
+    "d_posting": """
+select transaction_id, account_id, booked_date, merchant_id, merchant_key, category_id, amount_native, currency_native, original_amount, original_currency,
+ fx_fee_amount_native, direction, is_reversal, kind, market_code from d_txn join (select account_id, kind, market_code from d_account) a using (account_id)
+union all
+select concat(transaction_id, '-R'), account_id, cast(booked_date + cast(cast(substr(transaction_id, 2, 9) as int) % 5 as int) as date), merchant_id, merchant_key, category_id, amount_native, currency_native,
+ original_amount, original_currency, fx_fee_amount_native, direction, is_reversal, kind, market_code
+ from d_txn join (select account_id, kind, market_code from d_account) a using (account_id) where cast(substr(transaction_id, 2, 9) as int) % 40 = 0
+union all
+select transaction_id, account_id, booked_date, merchant_id, merchant_key, null, amount_native, currency_native, original_amount, original_currency,
+ fx_fee_amount_native, direction, false, kind, market_code from d_series
 """,
 }
 
-_SOURCES = ("customer", "supplier", "part", "orders", "lineitem")
-_NEEDS = {"d_account": (), "d_merchant": (), "d_category": (), "d_fx_rate": (), "d_fx_rate_daily": (), "d_txn": ("d_account",), "d_statement": ("d_txn",), "d_recurring_txn": ()}
+_NEEDS = {"d_txn": ("d_account",), "d_statement": ("d_txn",), "d_raw_txn": ("d_txn",), "d_series": ("d_account",), "d_posting": ("d_account", "d_txn", "d_series")}
+#: Derived at their first use in an application, then read: every query works on the same canonical tables.
+_STAGED = ("d_txn", "d_statement", "d_posting")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table. Its inputs are registered under their own names first."""
-    for source in _SOURCES:
-        spark.read.parquet(f"{sf_dir}/{source}.parquet").createOrReplaceTempView(source)
-    return _view(spark, name)
+    for source in TABLES:
+        read_table(spark, sf_dir, source).createOrReplaceTempView(source)
+    return _view(spark, sf_dir, name)
+
 
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    def build() -> DataFrame:
+        for need in _NEEDS.get(name, ()):
+            _view(spark, sf_dir, need)
+        return spark.sql(VIEWS[name])
 
-def _view(spark: SparkSession, name: str) -> DataFrame:
-    for need in _NEEDS[name]:
-        _view(spark, need)
-    df = spark.sql(VIEWS[name])
+    df = once(spark, f"{sf_dir} {name}", build) if name in _STAGED else build()
     df.createOrReplaceTempView(name)
     return df
 
 
 def ctes(*names: str) -> str:
-    """The statements as common table expressions."""
-    return ", ".join(f"{n} as ({VIEWS[n].strip()})" for n in VIEWS if n in names)
+    """The statements, and those that they need, as common table expressions."""
+    wanted = set(names)
+    for name in reversed(VIEWS):
+        if name in wanted:
+            wanted |= set(_NEEDS.get(name, ()))
+    return ", ".join(f"{n} as ({VIEWS[n].strip()})" for n in VIEWS if n in wanted)

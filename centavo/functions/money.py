@@ -54,6 +54,23 @@ def dedup_hash(account: Column, booked: Column, amount: Column, currency: Column
     return F.sha2(F.concat_ws("\x1f", account, booked.cast("string"), amount.cast(MONEY).cast("string"), F.upper(currency), plain_description(description), F.regexp_replace(F.coalesce(reference, F.lit("")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")), 256)
 
 
+def percent_change4(now: Column, before: Column) -> Column:
+    """Half-even to four places; null when the earlier value is null or zero."""
+    return F.when(before != 0, F.bround((now - before) * 100 / F.abs(before), 4)).cast("decimal(18,4)")
+
+
+def base_price(amount_base: Column, amount_native: Column, fee: Column) -> Column:
+    """The base value without the inline fee's share, half-up; null when pending."""
+    amount, whole = F.abs(amount_base), F.abs(amount_native)
+    net = F.greatest(amount - F.round(F.abs(fee) * amount / whole, 10), F.lit(0))
+    return F.when(amount_base.isNull() | fee.isNull() | (whole == 0), amount).otherwise(F.round(net, 2)).cast(MONEY)
+
+
+def fingerprint(*parts: Column | str) -> Column:
+    """sha-256 of the parts as text, joined by the unit separator."""
+    return F.sha2(F.concat_ws("\x1f", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256)
+
+
 def percent_change(now: Column, before: Column) -> Column:
     """Half-up to two places; null when the earlier value is null or zero."""
     return F.when(before != 0, F.round((now - before) * 100 / F.abs(before), 2)).cast(TOTAL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, RATE, rounded
@@ -10,12 +10,6 @@ from ..functions.money import MONEY, RATE, rounded
 STALE_DAYS = 7
 
 
-def latest_fetch(rates: DataFrame, fetched: str = "fetched_at") -> DataFrame:
-    """One rate a (base, quote, as_of): the latest fetch."""
-    w = Window.partitionBy("base", "quote", "as_of").orderBy(F.col(fetched).desc())
-    return rates.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-
-
 def rate_days(rates: DataFrame, stale_days: int = STALE_DAYS) -> DataFrame:
     """Each day's usable rate: a rate serves its own day and the stale_days after it, unless a later one does. Turns the as-of join into an equi-join."""
     days = rates.select("base", "quote", "as_of", "rate", F.explode(F.sequence("as_of", F.date_add("as_of", stale_days))).alias("day"))
@@ -26,7 +20,8 @@ def as_of_rate(rows: DataFrame, rates: DataFrame, currency: str, quote: str, day
     """Adds <prefix>_rate and <prefix>_rate_date: identity for equal currencies, null when no rate is fresh enough."""
     known = rate_days(rates).select(F.col("base").alias("__b"), F.col("quote").alias("__q"), F.col("day").alias("__d"), F.col("rate_date").alias("__a"), F.col("rate").alias("__r"))
     same = F.col(currency) == F.col(quote)
-    joined = rows.join(known, (F.col(currency) == F.col("__b")) & (F.col(quote) == F.col("__q")) & (F.col(day) == F.col("__d")), "left")
+    needed = F.when(~same, F.col(currency))  # rows in the quote's own currency match nothing; a null key keeps them out of one hot partition
+    joined = rows.join(known, (needed == F.col("__b")) & (F.col(quote) == F.col("__q")) & (F.col(day) == F.col("__d")), "left")
     return joined.withColumn(f"{prefix}_rate", F.when(same, F.lit(1)).otherwise(F.col("__r")).cast(RATE)).withColumn(f"{prefix}_rate_date", F.when(same, F.col(day)).otherwise(F.col("__a"))).drop("__b", "__q", "__d", "__a", "__r")
 
 
@@ -43,8 +38,9 @@ def revalue(rows: DataFrame, rates: DataFrame, base_currency: str) -> DataFrame:
     return now.where(~same).drop("__rate", "__date", "__amount")
 
 
-def requirements(txn: DataFrame, statements: DataFrame, base_currency: str) -> DataFrame:
-    """Distinct (base, quote, day) that valuations need: postings, statements' ends, and purchases' own currencies."""
+def requirements(txn: DataFrame, statements: DataFrame, base_currency: str, accounts: DataFrame | None = None, as_of: str | None = None, switch_to: str | None = None) -> DataFrame:
+    """Distinct (base, quote, day) that valuations need: postings, statements' ends, purchases' own currencies, accounts' currencies on the day
+    as_of, and the pair of a switch of the base currency on that day."""
     base = F.lit(base_currency)
     parts = [
         txn.select(F.col("currency_native").alias("base"), base.alias("quote"), F.col("booked_date").alias("day")),
@@ -52,6 +48,10 @@ def requirements(txn: DataFrame, statements: DataFrame, base_currency: str) -> D
         statements.select(F.col("currency").alias("base"), base.alias("quote"), F.col("period_end").alias("day")),
         txn.select(F.col("original_currency").alias("base"), F.col("currency_native").alias("quote"), F.col("booked_date").alias("day")),
     ]
+    if accounts is not None:
+        parts.append(accounts.select(F.col("native_currency").alias("base"), base.alias("quote"), F.lit(as_of).cast("date").alias("day")))
+        if switch_to:
+            parts.append(accounts.select(base.alias("base"), F.lit(switch_to).alias("quote"), F.lit(as_of).cast("date").alias("day")).distinct())
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

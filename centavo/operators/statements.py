@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import TOTAL, month, rounded, total
+from ..functions.money import TOTAL, rounded, total
 
 _TRUSTED = ("ok", "gap", "pending")
 
 
 def reconcile(statements: DataFrame, txn: DataFrame) -> DataFrame:
-    """opening + postings of the statement's month against closing: ok, mismatch or pending (no closing), with calculated - reported."""
-    sums = txn.groupBy("account_id", month(F.col("booked_date")).alias("period_start")).agg(total(F.col("amount_native")).alias("activity"))
-    rows = statements.join(sums, ["account_id", "period_start"], "left")
+    """opening + the statement's postings (by statement_id) against closing: ok, mismatch or pending (no opening or no closing), with calculated - reported."""
+    sums = txn.where("statement_id is not null").groupBy("statement_id").agg(total(F.col("amount_native")).alias("activity"))
+    rows = statements.join(sums, "statement_id", "left")
     difference = (F.col("opening_balance") + F.coalesce("activity", F.lit(0)) - F.col("closing_balance")).cast(TOTAL)
-    return rows.withColumn("difference", difference).withColumn("balance_status", F.when(F.col("closing_balance").isNull(), "pending").when(F.col("difference") == 0, "ok").otherwise("mismatch"))
+    return rows.withColumn("difference", difference).withColumn("balance_status", F.when(F.col("closing_balance").isNull() | F.col("opening_balance").isNull(), "pending").when(F.col("difference") == 0, "ok").otherwise("mismatch"))
 
 
 def coverage_status(reconciled: DataFrame) -> DataFrame:
@@ -32,11 +32,12 @@ def gaps(checked: DataFrame) -> DataFrame:
 
 def positions(accounts: DataFrame, checked: DataFrame, txn: DataFrame) -> DataFrame:
     """Balance an account: the latest closing plus later postings, else the first opening plus all, else net activity."""
-    latest = checked.where("closing_balance is not null").groupBy("account_id").agg(F.max(F.struct("period_end", "statement_id", "closing_balance", "reconcile_status")).alias("latest"))
-    first = checked.where(F.col("reconcile_status").isin(*_TRUSTED)).groupBy("account_id").agg(F.min(F.struct("period_start", "statement_id", "opening_balance")).alias("first"))
+    closed = F.when(F.col("closing_balance").isNotNull(), F.struct("period_end", "statement_id", "closing_balance", "reconcile_status"))
+    opened = F.when(F.col("reconcile_status").isin(*_TRUSTED) & F.col("opening_balance").isNotNull(), F.struct("period_start", "statement_id", "opening_balance"))
+    ends = checked.groupBy("account_id").agg(F.max(closed).alias("latest"), F.min(opened).alias("first"))
     after = F.coalesce("posted_date", "booked_date") > F.col("latest.period_end")
-    activity = txn.select("account_id", "posted_date", "booked_date", "amount_native").join(latest, "account_id", "left").groupBy("account_id").agg(total(F.col("amount_native")).alias("all"), total(F.when(after, F.col("amount_native"))).alias("later"))
-    rows = accounts.join(latest, "account_id", "left").join(first, "account_id", "left").join(activity, "account_id", "left")
+    activity = txn.select("account_id", "posted_date", "booked_date", "amount_native").join(ends, "account_id", "left").groupBy("account_id").agg(total(F.col("amount_native")).alias("all"), total(F.when(after, F.col("amount_native"))).alias("later"))
+    rows = accounts.join(ends, "account_id", "left").join(activity, "account_id", "left")
     trusted = F.coalesce(F.col("latest.reconcile_status").isin(*_TRUSTED), F.lit(False))
     zero = lambda c: F.coalesce(c, F.lit(0))
     balance = F.when(trusted, F.col("latest.closing_balance") + zero("later")).otherwise(zero("first.opening_balance") + zero("all"))

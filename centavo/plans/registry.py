@@ -22,8 +22,22 @@ def transactions(spark: SparkSession, sf_dir: str, rates: str = "d_fx_rate") ->
     return fx.stamp(rows.withColumn("flow_type", flow(F.col("direction"), F.col("kind"), F.col("amount_native"))), view(rates), BASE)
 
 
-def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cube.monthly(transactions(spark, sf_dir)).where("dimension_type = 'ledger'")
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with repeats and regular series, valued by rates that lack some days."""
+    rows = fixtures.view(spark, sf_dir, "d_posting")
+    return fx.stamp(rows.withColumn("flow_type", flow(F.col("direction"), F.col("kind"), F.col("amount_native"))), fixtures.view(spark, sf_dir, "d_fx_rate_some"), BASE)
+
+
+def _months(spark: SparkSession, sf_dir: str, rates: str = "d_fx_rate") -> DataFrame:
+    return cube.monthly(transactions(spark, sf_dir, rates), ("total",))
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.monthly(transactions(spark, sf_dir)).withColumn("pending_fx_by_currency", cube.pending_text(F.col("pending_fx_by_currency")))
+
+
+def _trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.trends(_months(spark, sf_dir)).withColumn("pending_fx_by_currency", cube.pending_text(F.col("pending_fx_by_currency")))
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +49,8 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _needed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.requirements(fixtures.view(spark, sf_dir, "d_txn"), fixtures.view(spark, sf_dir, "d_statement"), BASE)
+    view = lambda name: fixtures.view(spark, sf_dir, name)
+    return fx.requirements(view("d_txn"), view("d_statement"), BASE, view("d_account"), AS_OF, "TZS")
 
 
 def _fx_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +73,7 @@ def _dedup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.costs import violations
 
-    return violations(transactions(spark, sf_dir)).groupBy("violation").agg(F.count("*").alias("n"))
+    return violations(fixtures.view(spark, sf_dir, "d_raw_txn"))
 
 
 def _affected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +93,10 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("account_id").orderBy("period_start", "statement_id")
-    rows = _checked(spark, sf_dir).where("reconcile_status in ('ok', 'gap', 'pending')")
+    rows = _checked(spark, sf_dir).where("reconcile_status in ('ok', 'gap', 'pending') and opening_balance is not null")
     return rows.withColumn("n", F.row_number().over(w)).where("n = 1").select("account_id", "statement_id", "period_start", "opening_balance")
 
 
-def _recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.recurring(fixtures.view(spark, sf_dir, "d_recurring_txn").withColumnRenamed("amount_native", "price"), F.lit("2001-06-01").cast("date"))
-
-
 def _revalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of the last year rise by a tenth; what changes is output."""
     rates = fixtures.view(spark, sf_dir, "d_fx_rate")
@@ -94,15 +105,15 @@ def _revalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "agg_trends": lambda s, d: cube.trends(_ledger(s, d)),
+    "agg_trends": _trends,
     "src_watermark": lambda s, d: fixtures.view(s, d, "d_txn").agg(F.max("updated_at").alias("watermark"), F.count("*").alias("rows")),
     "join_fx_asof": lambda s, d: transactions(s, d).select("transaction_id", "fx_rate", "fx_rate_date", "amount_base"),
     "join_star": lambda s, d: transactions(s, d).groupBy("kind", "market_code", "flow_type").agg(F.count("*").alias("n"), total(F.col("amount_native")).alias("native")),
-    "agg_monthly": lambda s, d: cube.monthly(transactions(s, d)),
+    "agg_monthly": _monthly,
     "agg_coverage": lambda s, d: cube.coverage(transactions(s, d)),
     "agg_cashflow": lambda s, d: cube.cashflow(transactions(s, d)),
-    "agg_seasonality": lambda s, d: cube.seasonality(cube.monthly(transactions(s, d, "d_fx_rate_daily")).where("dimension_type = 'ledger'"), F.lit(AS_OF).cast("date")),
-    "agg_movers": lambda s, d: (lambda c: cube.movers(c, c.where("dimension_type = 'ledger'"), F.lit(AS_OF).cast("date")))(cube.monthly(transactions(s, d, "d_fx_rate_daily"))),
+    "agg_seasonality": lambda s, d: cube.seasonality(_months(s, d, "d_fx_rate_daily"), F.lit(AS_OF).cast("date")),
+    "agg_movers": lambda s, d: cube.movers(cube.monthly(transactions(s, d, "d_fx_rate_daily"), ("total", "category", "merchant")), F.lit(AS_OF).cast("date")),
     "agg_compare": lambda s, d: cube.compare_years(transactions(s, d), "1997-01-01", "1997-12-31"),
     "agg_reconcile": lambda s, d: _checked(s, d).select("statement_id", "difference", "balance_status"),
     "job_coverage_status": lambda s, d: _checked(s, d).select("statement_id", "covered_until", "reconcile_status"),
@@ -120,47 +131,68 @@ QUERIES: dict[str, Query] = {
     "join_missing_fx": lambda s, d: fx.missing(_needed(s, d), fixtures.view(s, d, "d_fx_rate")),
     "job_fx_gaps": lambda s, d: fx.missing(_needed(s, d), fixtures.view(s, d, "d_fx_rate")).groupBy("base").agg(F.count("*").alias("days")),
     "job_revalue": _revalue,
-    "det_near_duplicate": lambda s, d: detect.near_duplicates(transactions(s, d).withColumn("amount_native", F.round("amount_native", -5).cast("decimal(14,2)"))),
+    "det_near_duplicate": lambda s, d: detect.near_duplicates(postings(s, d)).drop("detector_fingerprint"),
     "det_pending_fx": lambda s, d: detect.pending_fx(transactions(s, d)),
-    "det_recurring": _recurring,
     "fn_dedup_hash": _dedup_hash,
     "val_txn": _valid,
     "job_affected_periods": _affected,
     "srt_page": _page,
 }
 
+
+
+def _mean(total: str, n: str) -> str:
+    """SQL for the exact half-up mean of cents."""
+    return f"cast(sign({total}) * ((cast(abs({total}) * 100 as bigint) * 2 + {n}) // (2 * {n})) * cast(0.01 as decimal(3,2)) as decimal(18,2))"
+
+
+def _median(s: str) -> str:
+    """SQL for the exact half-up median of a sorted list of cents."""
+    two = f"({s}[len({s}) // 2] + {s}[len({s}) // 2 + 1])"
+    return f"cast(case when len({s}) % 2 = 1 then {s}[len({s}) // 2 + 1] when len({s}) > 0 then sign({two}) * ((cast(abs({two}) * 100 as bigint) + 1) // 2) * cast(0.01 as decimal(3,2)) end as decimal(18,2))"
+
+
 _C = lambda *names: "with " + fixtures.ctes(*names)
-_TXN = _C("d_account", "d_txn", "d_fx_rate") + """,
-x as (select t.*, a.kind, a.market_code, a.display_name,
- case when t.direction in ('fee', 'interest') then 'fee' when t.direction = 'payment' then 'transfer' when t.direction = 'refund' then 'refund'
- when a.kind = 'credit_card' and t.amount_native < 0 then 'refund' when a.kind = 'credit_card' then 'spend' when t.amount_native > 0 then 'income' else 'spend' end as flow_type
- from d_txn t join d_account a using (account_id)),
-y as (select x.*, r.as_of, r.rate from x asof left join d_fx_rate r on x.currency_native = r.base and x.booked_date >= r.as_of),
+_VALUED = """
+y as (select x.*, r.as_of, r.rate from x asof left join {rates} r on x.currency_native = r.base and x.booked_date >= r.as_of),
 txn as (select * exclude (as_of, rate), case when currency_native = 'CAD' then booked_date when booked_date - as_of <= 7 then as_of end as fx_rate_date,
  cast(case when currency_native = 'CAD' then 1 when booked_date - as_of <= 7 then rate end as decimal(18,8)) as fx_rate,
  cast(case when currency_native = 'CAD' then amount_native when booked_date - as_of <= 7 then round(amount_native * rate, 2) end as decimal(14,2)) as amount_base from y)"""
+_FLOW = """case when t.direction in ('fee', 'interest') then 'fee' when t.direction = 'payment' then 'transfer' when t.direction = 'refund' then 'refund'
+ when {kind} = 'credit_card' and t.amount_native < 0 then 'refund' when {kind} = 'credit_card' then 'spend' when t.amount_native > 0 then 'income' else 'spend' end as flow_type"""
+#: Valued postings as table txn.
+POSTING = _C("d_posting", "d_fx_rate_some") + ", x as (select t.*, " + _FLOW.format(kind="t.kind") + " from d_posting t)," + _VALUED.format(rates="d_fx_rate_some")
+_TXN = _C("d_account", "d_txn", "d_fx_rate") + """,
+x as (select t.*, a.kind, a.market_code, a.display_name,
+ """ + _FLOW.format(kind="a.kind") + """
+ from d_txn t join d_account a using (account_id)),""" + _VALUED.format(rates="d_fx_rate")
 _CUBE = """,
-dims as (select t.*, s.market_scope, d.dimension_type, d.dimension_key from {txn} t,
+dims as (select t.*, cast(date_trunc('month', booked_date) as date) as period_start, s.market_scope, d.dimension_type, d.dimension_key from txn t,
  lateral (select 'ALL' as market_scope union all select t.market_code where t.market_code is not null) s,
- lateral (select 'ledger' as dimension_type, '' as dimension_key union all select 'account', t.account_id union all select 'category', t.category_id union all select 'merchant', t.merchant_id) d
+ lateral (select 'total' as dimension_type, '' as dimension_key union all select 'account', t.account_id union all select 'category', t.category_id union all select 'merchant', t.merchant_id) d
  where d.dimension_key is not null),
-cube as (select market_scope, dimension_type, dimension_key, cast(date_trunc('month', booked_date) as date) as period_start,
- cast(coalesce(sum(case when flow_type = 'income' then abs(amount_base) end), 0) as decimal(18,2)) as inflow,
- cast(coalesce(sum(case when flow_type in ('spend', 'fee') then abs(amount_base) when flow_type = 'refund' then -abs(amount_base) end), 0) as decimal(18,2)) as outflow,
+cube as (select market_scope, dimension_type, dimension_key, period_start, sum(case when flow_type = 'income' then abs(amount_base) end) as i,
+ sum(case when flow_type in ('spend', 'fee') then abs(amount_base) when flow_type = 'refund' then -abs(amount_base) end) as o,
  count(*) as transaction_count, count(amount_base) as valued_count from dims group by all),
-monthly as (select *, outflow as spending, cast(inflow - outflow as decimal(18,2)) as net, transaction_count - valued_count as pending_count,
- case when transaction_count > valued_count then 'partial' else 'complete' end as coverage_status from cube)"""
-_MONTHLY = _TXN + _CUBE.format(txn="txn")
-_EARLY = _TXN + _CUBE.format(txn="(select * from txn where day(booked_date) < 8)")
+pend as (select market_scope, dimension_type, dimension_key, period_start, string_agg(currency_native || ':' || n, ',' order by currency_native) as p
+ from (select market_scope, dimension_type, dimension_key, period_start, currency_native, count(*) as n from dims where amount_base is null group by all) group by all),
+spine as (select market_scope, 'total' as dimension_type, '' as dimension_key, cast(unnest(generate_series(min(period_start), max(period_start), interval 1 month)) as date) as period_start from cube where dimension_type = 'total' group by 1),
+every as (select market_scope, dimension_type, dimension_key, period_start from cube union select * from spine),
+monthly as (select market_scope, dimension_type, dimension_key, period_start, cast(coalesce(i, 0) as decimal(18,2)) as inflow, cast(coalesce(o, 0) as decimal(18,2)) as outflow,
+ coalesce(transaction_count, 0) as transaction_count, coalesce(valued_count, 0) as valued_count, coalesce(transaction_count - valued_count, 0) as pending_count, coalesce(p, '') as pending_fx_by_currency,
+ cast(coalesce(o, 0) as decimal(18,2)) as spending, cast(coalesce(i, 0) - coalesce(o, 0) as decimal(18,2)) as net, case when transaction_count > valued_count then 'partial' else 'complete' end as coverage_status
+ from every left join cube using (market_scope, dimension_type, dimension_key, period_start) left join pend using (market_scope, dimension_type, dimension_key, period_start))"""
+_MONTHLY = _TXN + _CUBE
+_DAILY = _MONTHLY.replace(fixtures.VIEWS["d_fx_rate"].strip(), fixtures.VIEWS["d_fx_rate_daily"].strip())
 _CHECKED = _C("d_account", "d_txn", "d_statement") + """,
-sums as (select account_id, cast(date_trunc('month', booked_date) as date) as period_start, sum(amount_native) as activity from d_txn group by all),
-rec as (select s.*, cast(opening_balance + coalesce(activity, 0) - closing_balance as decimal(18,2)) as difference from d_statement s left join sums using (account_id, period_start)),
-bal as (select *, case when closing_balance is null then 'pending' when difference = 0 then 'ok' else 'mismatch' end as balance_status,
+sums as (select statement_id, sum(amount_native) as activity from d_txn group by all),
+rec as (select s.*, cast(opening_balance + coalesce(activity, 0) - closing_balance as decimal(18,2)) as difference from d_statement s left join sums using (statement_id)),
+bal as (select *, case when closing_balance is null or opening_balance is null then 'pending' when difference = 0 then 'ok' else 'mismatch' end as balance_status,
  max(period_end) over (partition by account_id order by period_start, period_end, statement_id rows between unbounded preceding and 1 preceding) as covered_until from rec),
 checked as (select *, coalesce(period_start > covered_until + 1, false) as is_gap, case when balance_status = 'ok' and coalesce(period_start > covered_until + 1, false) then 'gap' else balance_status end as reconcile_status from bal)"""
 _POSITION = _CHECKED + """,
 latest as (select * from checked where closing_balance is not null qualify row_number() over (partition by account_id order by period_end desc, statement_id desc) = 1),
-first as (select * from checked where reconcile_status in ('ok', 'gap', 'pending') qualify row_number() over (partition by account_id order by period_start, statement_id) = 1),
+first as (select * from checked where reconcile_status in ('ok', 'gap', 'pending') and opening_balance is not null qualify row_number() over (partition by account_id order by period_start, statement_id) = 1),
 act as (select t.account_id, sum(amount_native) as total, sum(case when coalesce(posted_date, booked_date) > l.period_end then amount_native end) as later from d_txn t left join latest l using (account_id) group by all),
 pos as (select a.account_id, a.kind, a.native_currency, a.credit_limit,
  cast(case when l.reconcile_status in ('ok', 'gap', 'pending') then l.closing_balance + coalesce(later, 0) else coalesce(f.opening_balance, 0) + coalesce(total, 0) end as decimal(18,2)) as current_balance,
@@ -171,18 +203,17 @@ positions as (select *, case when kind = 'credit_card' and credit_limit is not n
  case when kind = 'credit_card' and credit_limit is not null and balance_basis = 'balance' then cast(round(greatest(current_balance, 0) * 100 / credit_limit, 2) as decimal(18,2)) end as utilization_percent from pos)"""
 _NEEDED = _C("d_account", "d_txn", "d_statement", "d_fx_rate") + """,
 needed as (select distinct * from (select currency_native as base, 'CAD' as quote, booked_date as day from d_txn union all select currency, 'CAD', period_start from d_statement
- union all select currency, 'CAD', period_end from d_statement union all select original_currency, currency_native, booked_date from d_txn) where base <> quote),
+ union all select currency, 'CAD', period_end from d_statement union all select original_currency, currency_native, booked_date from d_txn
+ union all select native_currency, 'CAD', date '1998-11-15' from d_account union all select 'CAD', 'TZS', date '1998-11-15' from d_account) where base <> quote),
 missing as (select * from needed n where not exists (select 1 from d_fx_rate r where r.base = n.base and r.quote = n.quote and r.as_of <= n.day and n.day - r.as_of <= 7))"""
+_PCT4 = "cast(case when {b} <> 0 then round_even(cast(({a} - {b}) * 100 as double) / abs({b}), 4) end as decimal(18,4))"
 _PCT = "cast(case when {b} <> 0 then round(({a} - {b}) * 100 / abs({b}), 2) end as decimal(18,2))"
 
 ORACLES: dict[str, str] = {
-    "agg_trends": _MONTHLY + f""", ledger as (select * from monthly where dimension_type = 'ledger'),
-spine as (select market_scope, cast(unnest(generate_series(min(period_start), max(period_start), interval 1 month)) as date) as period_start from ledger group by 1),
-m as (select market_scope, period_start, coalesce(inflow, 0.00::decimal(18,2)) as inflow, coalesce(spending, 0.00::decimal(18,2)) as spending, coalesce(net, 0.00::decimal(18,2)) as net, coalesce(pending_count, 0) as pending_count from spine left join ledger using (market_scope, period_start)),
+    "agg_trends": _MONTHLY + f""", m as (select * from monthly where dimension_type = 'total'),
 l as (select *, lag(spending) over w as b, lag(spending, 12) over w as y, list(spending) over (w rows between 2 preceding and current row) as s from m window w as (partition by market_scope order by period_start))
-select market_scope, period_start, inflow, spending, net, pending_count, cast(spending - b as decimal(18,2)) as change, {_PCT.format(a='spending', b='b')} as change_percent, cast(spending - y as decimal(18,2)) as year_change,
-cast(round(cast(list_sum(s) as decimal(18,2)) / len(s), 2) as decimal(18,2)) as trailing_mean,
-cast(case when len(s) % 2 = 1 then list_sort(s)[len(s) // 2 + 1] else round(cast(list_sort(s)[len(s) // 2] + list_sort(s)[len(s) // 2 + 1] as decimal(20,4)) * 0.5, 2) end as decimal(18,2)) as trailing_median from l""",
+select market_scope, period_start, inflow, outflow, spending, net, transaction_count, valued_count, pending_count, pending_fx_by_currency, coverage_status, cast(spending - b as decimal(18,2)) as change, {_PCT4.format(a='spending', b='b')} as change_percent,
+cast(spending - y as decimal(18,2)) as year_change, {_PCT4.format(a='spending', b='y')} as year_change_percent, {_mean('list_sum(s)', 'len(s)')} as trailing_mean, {_median('list_sort(s)')} as trailing_median from l""",
     "src_watermark": _C("d_account", "d_txn") + " select max(updated_at) as watermark, count(*) as rows from d_txn",
     "join_fx_asof": _TXN + " select transaction_id, fx_rate, fx_rate_date, amount_base from txn",
     "join_star": _TXN + " select kind, market_code, flow_type, count(*) as n, cast(sum(amount_native) as decimal(18,2)) as native from txn group by all",
@@ -192,11 +223,10 @@ cast(case when len(s) % 2 = 1 then list_sort(s)[len(s) // 2 + 1] else round(cast
  when kind <> 'credit_card' and amount_base > 0 then amount_base else 0 end as i, case when flow_type = 'transfer' then 0 when kind = 'credit_card' and amount_base > 0 and direction <> 'payment' then amount_base
  when kind <> 'credit_card' and amount_base < 0 then abs(amount_base) else 0 end as o, case when kind = 'credit_card' and direction = 'payment' then abs(amount_base) else 0 end as p from txn)
 select period, cast(coalesce(sum(i), 0) as decimal(18,2)) as inflow, cast(coalesce(sum(o), 0) as decimal(18,2)) as outflow, cast(coalesce(sum(p), 0) as decimal(18,2)) as card_payments, cast(coalesce(sum(i), 0) - coalesce(sum(o), 0) as decimal(18,2)) as net from c group by 1""",
-    "agg_seasonality": _EARLY + f""", e as (select * from monthly where dimension_type = 'ledger' and coverage_status = 'complete' and period_start < date '{AS_OF[:7]}-01'),
+    "agg_seasonality": _DAILY + f""", e as (select * from monthly where dimension_type = 'total' and coverage_status = 'complete' and period_start < date '{AS_OF[:7]}-01' qualify count(*) over (partition by market_scope) >= 12),
 g as (select market_scope, cast(month(period_start) as int) as month_number, count(*) as observation_count, sum(spending) as total, list_sort(list(spending)) as s from e group by 1, 2)
-select market_scope, month_number, observation_count, cast(round(cast(total as decimal(20,4)) / len(s), 2) as decimal(18,2)) as average_spending,
-cast(case when len(s) % 2 = 1 then s[len(s) // 2 + 1] else round(cast(s[len(s) // 2] + s[len(s) // 2 + 1] as decimal(20,4)) * 0.5, 2) end as decimal(18,2)) as median_spending from g""",
-    "agg_movers": _EARLY + f""", m as (select period_start, row_number() over (order by period_start desc) as n from monthly where dimension_type = 'ledger' and market_scope = 'ALL' and coverage_status = 'complete' and period_start < date '{AS_OF[:7]}-01'),
+select market_scope, month_number, observation_count, {_mean('total', 'len(s)')} as average_spending, {_median('s')} as median_spending from g""",
+    "agg_movers": _DAILY + f""", m as (select period_start, row_number() over (order by period_start desc) as n from monthly where dimension_type = 'total' and market_scope = 'ALL' and coverage_status = 'complete' and period_start < date '{AS_OF[:7]}-01'),
 b as (select dimension_type, dimension_key, cast(sum(case when n = 1 then spending else 0 end) as decimal(18,2)) as current, cast(sum(case when n = 2 then spending else 0 end) as decimal(18,2)) as previous
  from monthly join m using (period_start) where n <= 2 and market_scope = 'ALL' and dimension_type in ('category', 'merchant') group by all)
 select *, cast(current - previous as decimal(18,2)) as change from b order by abs(current - previous) desc, dimension_type, dimension_key limit 20""",
@@ -210,7 +240,7 @@ select *, cast(current - previous as decimal(18,2)) as change, {_PCT.format(a='c
     "det_gap": _CHECKED + " select account_id, statement_id, covered_until + 1 as gap_start, period_start - 1 as gap_end from checked where is_gap",
     "det_mismatch": _CHECKED + " select statement_id, account_id, cast(-difference as decimal(18,2)) as difference from checked where balance_status = 'mismatch'",
     "join_latest_stmt": _C("d_account", "d_txn", "d_statement") + " select account_id, statement_id, period_end, closing_balance from d_statement where closing_balance is not null qualify row_number() over (partition by account_id order by period_end desc, statement_id desc) = 1",
-    "join_first_stmt": _CHECKED + " select account_id, statement_id, period_start, opening_balance from checked where reconcile_status in ('ok', 'gap', 'pending') qualify row_number() over (partition by account_id order by period_start, statement_id) = 1",
+    "join_first_stmt": _CHECKED + " select account_id, statement_id, period_start, opening_balance from checked where reconcile_status in ('ok', 'gap', 'pending') and opening_balance is not null qualify row_number() over (partition by account_id order by period_start, statement_id) = 1",
     "agg_position": _POSITION + " select * from positions",
     "agg_utilization": _POSITION + """ select case when credit_limit is null then 'missing_limit' when balance_basis <> 'balance' then 'unverified_balance' else 'included' end as reason, native_currency, count(*) as accounts,
  cast(coalesce(sum(used_credit), 0) as decimal(18,2)) as used, cast(coalesce(sum(case when used_credit is not null then credit_limit end), 0) as decimal(18,2)) as credit_limit from positions where kind = 'credit_card' group by 1, 2""",
@@ -231,23 +261,15 @@ select transaction_id, f as foreign_amount, market_rate, cast(fee as decimal(14,
     "job_fx_gaps": _NEEDED + " select base, count(*) as days from missing group by 1",
     "job_revalue": _TXN + """ select transaction_id, cast(round(fx_rate * 1.1, 8) as decimal(18,8)) as fx_rate, cast(round(amount_native * cast(round(fx_rate * 1.1, 8) as decimal(18,8)), 2) as decimal(14,2)) as amount_base
  from txn where currency_native <> 'CAD' and fx_rate is not null and fx_rate_date >= date '1998-01-01'""",
-    "det_near_duplicate": _TXN + """, s as (select *, abs(cast(round(amount_native / 100000.0) * 100000 as decimal(14,2))) as amount from txn where flow_type = 'spend' and merchant_id is not null and coalesce(direction not in ('payment', 'refund'), true))
-select a.account_id, a.merchant_id, a.currency_native, a.amount, a.transaction_id as first_transaction_id, b.transaction_id as second_transaction_id, cast(b.booked_date - a.booked_date as int) as days_apart from s a join s b
- on a.account_id = b.account_id and a.merchant_id = b.merchant_id and a.currency_native = b.currency_native and a.amount = b.amount and b.booked_date - a.booked_date between 0 and 3 and (b.booked_date > a.booked_date or a.transaction_id < b.transaction_id)""",
+    "det_near_duplicate": POSTING + """, s as (select *, abs(amount_native) as amount from txn where flow_type = 'spend' and merchant_key is not null and not is_reversal and coalesce(direction not in ('payment', 'refund'), true))
+select a.account_id, a.merchant_key, a.currency_native, a.amount as amount_native, a.transaction_id as first_transaction_id, b.transaction_id as second_transaction_id, b.booked_date as second_booked_date, cast(b.booked_date - a.booked_date as int) as days_apart from s a join s b
+ on a.account_id = b.account_id and a.merchant_key = b.merchant_key and a.currency_native = b.currency_native and a.amount = b.amount and b.booked_date - a.booked_date between 0 and 3 and (b.booked_date > a.booked_date or a.transaction_id < b.transaction_id)""",
     "det_pending_fx": _TXN + " select transaction_id, account_id, booked_date, currency_native, amount_native from txn where amount_base is null",
-    "det_recurring": _C("d_recurring_txn") + """, o as (select *, booked_date - lag(booked_date) over (partition by merchant_key order by booked_date, transaction_id) as gap from d_recurring_txn where amount_native > 0),
-g as (select merchant_key, count(*) as n, max(booked_date) as last_date, list_sort(list(amount_native)) as p, list_sort(list(gap) filter (where gap is not null)) as gaps, count_if(gap between 5 and 9) as weekly, count_if(gap between 12 and 16) as biweekly,
- count_if(gap between 25 and 35) as monthly, count_if(gap between 80 and 100) as quarterly, count_if(gap between 330 and 400) as annual from o group by 1 having min(gap) > 0),
-h as (select *, greatest(weekly, biweekly, monthly, quarterly, annual) as m from g),
-k as (select *, case m when weekly then 'weekly' when biweekly then 'biweekly' when monthly then 'monthly' when quarterly then 'quarterly' else 'annual' end as cadence,
- case when n % 2 = 1 then p[n // 2 + 1] else cast(round(cast(p[n // 2] + p[n // 2 + 1] as decimal(20,4)) * 0.5, 2) as decimal(18,2)) end as e,
- cast(round((gaps[(n - 1) // 2 + (n - 1) % 2] + gaps[(n - 1) // 2 + 1]) / 2.0) as int) as step from h where m * 4 >= (n - 1) * 3)
-select merchant_key, cadence, cast(n as int) as occurrences, cast(e as decimal(18,2)) as expected_amount, last_date, last_date + step as next_date, date '2001-06-01' > last_date + step as overdue,
- cast(round_even(m / (n - 1), 4) as decimal(5,4)) as interval_stability, cast(round_even(len(list_filter(p, lambda x: abs(x - e) * 10 <= e)) / n, 4) as decimal(5,4)) as amount_stability from k where n >= case when cadence = 'annual' then 2 else 3 end""",
     "fn_dedup_hash": _C("d_account", "d_txn") + " select transaction_id, sha256(concat_ws(chr(31), account_id, cast(booked_date as varchar), cast(amount_native as varchar), upper(currency_native), trim(regexp_replace(lower(description_raw), '\\s+', ' ', 'g')), '')) as dedup_hash from d_txn",
-    "val_txn": _TXN + """, v as (select unnest(list_filter([case when (original_amount is null) <> (original_currency is null) then 'original_pair' end, case when sign(original_amount) <> sign(amount_native) then 'original_sign' end,
- case when fx_fee_amount_native < 0 or fx_fee_amount_native > abs(amount_native) then 'fee_range' end, case when is_fx_fee and (fx_fee_amount_native is not null or direction <> 'fee') then 'standalone_fee' end,
- case when amount_base is null then 'pending' end], lambda x: x is not null)) as violation from txn) select violation, count(*) as n from v group by 1""",
+    "val_txn": _C("d_raw_txn") + """, v as (select transaction_id, unnest(list_filter([case when amount_native <> round(amount_native, 2) then 'money_places' end, case when (original_amount is null) <> (original_currency is null) then 'original_pair' end,
+ case when sign(original_amount) <> sign(amount_native) then 'original_sign' end, case when fx_fee_amount_native < 0 or fx_fee_amount_native > abs(amount_native) then 'fee_range' end,
+ case when is_fx_fee and (fx_fee_amount_native is not null or coalesce(direction, '') <> 'fee') then 'standalone_fee' end, case when not regexp_full_match(currency_native, '[A-Z]{3}') then 'currency' end,
+ case when direction not in ('debit', 'credit', 'payment', 'fee', 'refund', 'interest') then 'direction' end], lambda x: x is not null)) as violation from d_raw_txn) select * from v""",
     "job_affected_periods": _C("d_account", "d_txn") + " select distinct cast(date_trunc('month', booked_date) as date) as period_start from d_txn where updated_at > timestamp '1998-06-10'",
     "srt_page": _TXN + " select transaction_id, booked_date, amount_base from txn where contains(description_raw, 'supplier 1') and flow_type = 'spend' order by abs(amount_base) desc nulls last, booked_date desc, transaction_id limit 50 offset 20",
 }

@@ -1 +1 @@
-"""Sources of the transaction engine."""
+"""Sources: canonical tables, statement files."""

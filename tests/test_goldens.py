@@ -24,7 +24,7 @@ def test_stale_rate_stays_pending(spark):
 
 
 def test_near_duplicate_window_is_inclusive(spark):
-    rows = [(f"t{d}", "A", "M", "CAD", D("5.00"), date(2024, 1, d), "spend", "debit") for d in (1, 4, 5)]
-    txn = spark.createDataFrame(rows, "transaction_id string, account_id string, merchant_id string, currency_native string, amount_native decimal(14,2), booked_date date, flow_type string, direction string")
+    rows = [(f"t{d}", "A", "M", "CAD", D("5.00"), date(2024, 1, d), "spend", "debit", False) for d in (1, 4, 5)] + [("r", "A", "M", "CAD", D("5.00"), date(2024, 1, 4), "spend", "debit", True)]
+    txn = spark.createDataFrame(rows, "transaction_id string, account_id string, merchant_key string, currency_native string, amount_native decimal(14,2), booked_date date, flow_type string, direction string, is_reversal boolean")
     found = {(r["first_transaction_id"], r["second_transaction_id"], r["days_apart"]) for r in detect.near_duplicates(txn).collect()}
     assert found == {("t1", "t4", 3), ("t4", "t5", 1)}
