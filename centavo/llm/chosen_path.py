@@ -13,7 +13,8 @@ meet one another. An outsider hands on its best partner in the component alone;
 outsider meets all members of the component on full sets, in blocks of CHUNK by MEMBERS, up to its first link: near misses of a large group
 never become a table of pairs. Only nodes of many components branch on, each level by another token. What is left after DEPTH levels is compared
 across components exhaustively, in blocks, without a cap: branching at 1.25 is critical for a pair at 80 %, which
-more trees lose with every level.
+more trees lose with every level. There too a member hands on its best partner alone; members that have more form groups (those of one
+node belong together), which are compared on full sets, once for all trees, in blocks of CHUNK by CHUNK.
 
 Links are confirmed on full sets. Sketches only discard pairs whose estimate is under EST (five standard deviations under
 80 %). Components are exact once every pair between different components is found. A pair at exactly 80 % is computed to miss all
@@ -204,12 +205,12 @@ def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
     return members.select("node", "id", "comp", "n", "bits").repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, _PAIRS)
 
 
-_FOUND = pa.schema([*_PAIR_SCHEMA, ("x", pa.int64()), ("top", pa.int64())])
+_FOUND = pa.schema([*_PAIR_SCHEMA, ("x", pa.int64()), ("top", pa.int64()), ("node", pa.int64())])
 
 
 def _pairs_of_large(members: DataFrame, percent: int) -> DataFrame:
-    """The same for larger nodes, of (node, top, tops, others, id, comp, n, bits). Of an outsider's partners in a block of the largest component
-    only the best is named; if there are more, x and top say which outsider has them in which component.
+    """The same for larger nodes, of (node, top, tops, others, id, comp, n, bits), but only the best partner of each member outside the largest component. If
+    there are more, x says whose they are, and top (its partners lie in the largest component) or node (they do not) where to look for them.
 
     Rows of a node's largest component are dealt in blocks of their own, which never meet one another."""
 
@@ -222,21 +223,25 @@ def _pairs_of_large(members: DataFrame, percent: int) -> DataFrame:
             sides.append((*(part.column(c).to_numpy() for c in ("id", "comp", "n")), _matrix(part.column("bits"), N_HASHES // 2)))
         (ids, comp, n, bits), (others, theirs, m, y) = sides
         top, inside = t.column("top")[0].as_py(), hi >= -(-t.column("others")[0].as_py() // BLOCK)
+        ways, most, which = np.zeros(len(others), np.int64), np.zeros(len(others), np.int64), np.zeros(len(others), np.int64)
         out: list[tuple] = []
+
+        def tell(x: int, other: int, equal: int, more: bool) -> None:
+            out.append((min(x, other), max(x, other), equal, x if more else None, top if more and inside else None, key[0].as_py() if more and not inside else None))
+
         for i in range(len(ids)):
-            fits = comp[i] != theirs
-            if lo == hi:
-                fits &= ids[i] < others
-            j = np.flatnonzero(fits)
+            j = np.flatnonzero(comp[i] != theirs)
             fits, equal = similar(bits[i][None], y[j], n[i], m[j], percent)
             j, equal = j[fits], equal[fits]
-            if inside and len(j):
+            if len(j):
                 best = equal.argmax()
-                more = len(j) > 1
-                j, equal = j[best : best + 1], equal[best : best + 1]
-            else:
-                more = False
-            out += [(min(ids[i], b), max(ids[i], b), e, ids[i] if more else None, top if more else None) for b, e in zip(others[j].tolist(), equal.tolist(), strict=True)]
+                tell(int(ids[i]), int(others[j[best]]), int(equal[best]), len(j) > 1)
+                if not inside and lo != hi:
+                    better = j[equal > most[j]]
+                    most[better], which[better] = equal[equal > most[j]], ids[i]
+                    ways[j] += 1
+        for j in np.flatnonzero(ways).tolist():
+            tell(int(others[j]), int(which[j]), int(most[j]), bool(ways[j] > 1))
         return pa.Table.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(_FOUND)], schema=_FOUND)
 
     top = F.col("comp") == F.col("top")
@@ -244,7 +249,7 @@ def _pairs_of_large(members: DataFrame, percent: int) -> DataFrame:
     block = F.when(top, other + F.pmod(F.xxhash64("id"), same)).otherwise(F.pmod(F.xxhash64("id"), other)).cast("int")
     meets = F.sequence(F.lit(0), F.when(top, other).otherwise(other + same) - 1)
     rows = members.select("node", "id", "comp", "top", "others", "n", "bits", block.alias("block"), F.explode(meets).alias("with"))
-    return rows.groupBy("node", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).applyInArrow(run, _PAIRS + ", x long, top long")
+    return rows.groupBy("node", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).applyInArrow(run, _PAIRS + ", x long, top long, node long")
 
 
 def _against_components(ask: DataFrame, comps: DataFrame, narrow: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -281,6 +286,44 @@ def _against_components(ask: DataFrame, comps: DataFrame, narrow: DataFrame, tex
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long").distinct()
 
 
+def _within_groups(ask: DataFrame, narrow: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """ask: (id, own, set_id), own the component so far. Links (a, b) that join the components of a set, as far as each block sees them."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        shingle, sets, found, root = Shingler(k), {}, [], {}
+        block, ids, own, n, bits, text = t.column("block").to_numpy(), *(t.column(c).to_numpy() for c in ("id", "own", "n")), _matrix(t.column("bits"), N_HASHES // 2), t.column("text")
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        def members(at: int) -> np.ndarray:
+            if at not in sets:
+                sets[at] = shingle(text[at].as_py())
+            return sets[at]
+
+        left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        for i in left.tolist():
+            j = right[(own[right] != own[i]) & ((ids[right] > ids[i]) | (key[1].as_py() != key[2].as_py()))]
+            fits, equal = similar(bits[i][None], bits[j], n[i], n[j], percent)
+            for at in j[fits][np.argsort(-equal[fits], kind="stable")].tolist():
+                a, b = find(int(own[i])), find(int(own[at]))
+                if a != b:
+                    mine, other = members(i), members(at)
+                    both = len(np.intersect1d(mine, other, assume_unique=True))
+                    if 100 * both >= percent * (len(mine) + len(other) - both):
+                        root[max(a, b)] = min(a, b)
+                        found.append((min(int(ids[i]), int(ids[at])), max(int(ids[i]), int(ids[at]))))
+        return pa.Table.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
+
+    sizes = ask.groupBy("set_id").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
+    full = wanted(texts, ask.select(F.col("id").alias("a"), F.col("id").alias("b"))).join(narrow, "id")
+    rows = ask.join(sizes, "set_id").join(full, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.select("set_id", "id", "own", "n", "bits", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    return rows.groupBy("set_id", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi")).applyInArrow(run, "a long, b long").distinct()
+
+
 def _estimated(pairs: DataFrame, narrow: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those, with est, that sketches and sizes allow."""
 
@@ -335,17 +378,23 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             rows = held(rows.join(per, "node"), "nodes")
             small, done = F.col("others") + F.col("tops") <= SMALL, (F.col("others") <= SMALL) | F.lit(level == DEPTH)
             none = F.lit(None).cast("long")
-            deeper.append(_pairs_of_small(rows.where(small).join(narrow, "id"), percent).select("*", none.alias("x"), none.alias("top")))
+            deeper.append(_pairs_of_small(rows.where(small).join(narrow, "id"), percent).select("*", none.alias("x"), none.alias("top"), none.alias("node")))
             deeper.append(_pairs_of_large(rows.where(~small & done).join(narrow, "id"), percent))
             rows = held(rows.where(~small & ~done).join(classes.select("id", "sig"), "id").select("id", "comp", F.explode(_children(F.col("node"))).alias("node")), "level")
             if rows.isEmpty():
                 break
-        more = held(functools.reduce(DataFrame.unionByName, deeper).groupBy("a", "b", "x", "top").agg(F.max("est").alias("est")), "deeper")
+        more = held(functools.reduce(DataFrame.unionByName, deeper).groupBy("a", "b", "x", "top", "node").agg(F.max("est").alias("est")), "deeper")
         links = links.unionByName(held(verify(held(more.select("a", "b").distinct(), "more"), texts, k, percent), "links"))
         comps = components(links, held)
-        ask = _with_components(_with_components(more.where("x is not null").select("x", "top").distinct(), comps, "top", "comp"), comps, "x", "own")
+        ask = _with_components(_with_components(more.where("top is not null").select("x", "top").distinct(), comps, "top", "comp"), comps, "x", "own")
         ask = held(ask.where("own != comp").select("x", "comp").distinct(), "ask")
         links = links.unionByName(held(_against_components(ask, comps, narrow, texts, k, percent), "links"))
+        comps = components(links, held)
+        ask = _with_components(more.where("node is not null").select(F.col("x").alias("id"), "node").distinct(), comps, "id", "own")
+        ask = ask.join(ask.groupBy("node").agg(F.min("id").alias("first"), F.min("own").alias("c0"), F.max("own").alias("c1")).where("c0 != c1").select("node", "first"), "node")
+        ask = held(ask.select("id", "own", "first").distinct(), "ask")
+        sets = components(ask.select(F.col("id").alias("a"), F.col("first").alias("b")), held).select("id", F.col("component").alias("set_id"))
+        links = links.unionByName(held(_within_groups(ask.select("id", "own").distinct().join(sets, "id"), narrow, texts, k, percent), "links"))
         comps = held.keep(components(links, held))
 
     by_class = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
