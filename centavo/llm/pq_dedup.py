@@ -7,16 +7,19 @@ hold a partner: lists are left out by exact bounds alone (distances from the lis
 centroids, the radii of the balls). Lists are dealt in blocks of about SEARCH_ROWS leaders, and two blocks meet once. In a block, asymmetric
 distances from per-query tables discard what cannot be near even given the stored coding error, and the
 true cosine in double precision decides. Two balls whose angle and radii settle all their members' pairs are
-linked or dropped as wholes, and such links leave a block as counts and as a spanning forest, not as pairs; the rest are compared member by member.
+linked or dropped as wholes, and such links leave a block as counts and as a spanning forest, not as pairs; the rest are compared member by
+member, in blocks too: a ball (at most about BLOCK_ROWS rows) against about COMPARE_ROWS members of the balls that it is open with.
 
 Centroids and codebooks are fitted on at most SAMPLE vectors; all rows are indexed. Links are exactly the pairs with a cosine of at least LINK (recall 1):
 where the bounds exclude no list (vectors without clusters), all leaders meet, in time that grows with the square of their number.
 
-Null, zero and non-finite vectors link with nothing; vectors of another length than most are compared with none. Null ids pass through without a component. Repeated ids are vectors of their own.
+Null, zero and non-finite vectors link with nothing. Vectors of different lengths have no cosine: each length is searched by itself, with a model of
+its own. Null ids pass through without a component. Repeated ids are vectors of their own. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from .graph import components
 
 LINK, SUBSPACES, CODES = 0.9, 8, 64
 SAMPLE, MOST_LISTS, ROUNDS = 16384, 1024, 8
-BLOCK_ROWS, SEARCH_ROWS, QUERY_BLOCKS = 2048, 4096, 4
+BLOCK_ROWS, SEARCH_ROWS, QUERY_BLOCKS, COMPARE_ROWS = 2048, 4096, 4, 8192
 ANGLE = float(np.arccos(LINK))
 EPS, SLACK = 1e-9, 1e-6
 
@@ -58,7 +61,10 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def fit(vectors: DataFrame, n: int) -> dict[str, np.ndarray]:
     """Coarse centroids and residual codebooks from a bounded sample."""
-    rows = vectors.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("x").collect()
+    drawn = F.pmod(F.xxhash64("rid"), F.lit(1 << 30))
+    share = 2 * SAMPLE / n  # tasks send what may be in the sample, not a sample each
+    some = vectors.where(drawn < int(share * (1 << 30))) if share < 1 else vectors
+    rows = some.orderBy(drawn, "rid").limit(SAMPLE).select("x").collect()
     x, rng = np.array([r["x"] for r in rows], np.float64), np.random.default_rng(5)
     x /= np.linalg.norm(x, axis=1)[:, None]
     coarse = kmeans(x, int(np.clip(round(n**0.5), 4, MOST_LISTS)), rng)
@@ -117,7 +123,8 @@ def reachable(x: np.ndarray, own: np.ndarray, radius: np.ndarray, coarse: np.nda
 
 
 def search(model: dict) -> object:
-    """Cogrouped step: a block of indexed leaders against queries. Rows: (0, ball, null, links of each member), (1, id, id: an edge of a component), (2, ball, ball: to compare by members)."""
+    """Cogrouped step: a block of indexed leaders against queries. Rows: (0, ball, null, links of each member), (1, id, id: an edge of a component), (2, ball, ball, their angle in micro-radians: to compare by members)."""
+
     def run(key: tuple, indexed: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = [np.empty((0, 4), np.int64)]
         if len(indexed) and len(queries):
@@ -154,7 +161,7 @@ def search(model: dict) -> object:
                 single = (others[i] == 1) & (size[j] == 1)
                 whole = np.where(single, cos >= LINK, angle + both < ANGLE - 1e-6)
                 undecided = ~single & ~whole & (angle - both <= ANGLE + 1e-6)
-                out.append(np.stack([np.full(undecided.sum(), 2), other[i[undecided]], ids[j[undecided]], np.zeros(undecided.sum(), np.int64)], axis=1))
+                out.append(np.stack([np.full(undecided.sum(), 2), other[i[undecided]], ids[j[undecided]], (angle[undecided] * 1e6).astype(np.int64)], axis=1))
                 i, j = i[whole], j[whole]
                 np.add.at(links, j, others[i])
                 np.add.at(theirs, i, size[j])
@@ -170,31 +177,46 @@ def search(model: dict) -> object:
     return run
 
 
-def _cosines(pairs: DataFrame, vectors: DataFrame, left: str, right: str) -> DataFrame:
-    """Adds cos, in double precision and the same for either order, to pairs of row ids."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = unit(batch.column("__x").to_pylist()), unit(batch.column("__y").to_pylist())
-                keep = [c for c in batch.schema.names if c not in ("__x", "__y")]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.einsum("ij,ij->i", x, y))], names=[*keep, "cos"])
-
-    both = pairs.join(vectors.select(F.col("rid").alias(left), F.col("x").alias("__x")), left).join(vectors.select(F.col("rid").alias(right), F.col("x").alias("__y")), right)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return both.select(*pairs.columns, "__x", "__y").mapInArrow(run, kinds + ", cos double")
+def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Cogrouped step: a ball's members against members of balls. Rows: (0, row id, null, its links), (1, ball, ball: linked)."""
+    out = [np.empty((0, 4), np.int64)]
+    if len(left) and len(right):
+        x, y = unit(left["x"]), unit(right["x"])
+        balls_, mine, theirs = right["b"].to_numpy(), np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for at in range(0, len(x), 256):
+            cos = x[at : at + 256] @ y.T
+            i, j = np.nonzero(np.abs(cos - LINK) < EPS)
+            cos[i, j] = np.einsum("ij,ij->i", x[at + i], y[j])  # the same sum for either order
+            near = cos >= LINK
+            mine[at : at + 256] += near.sum(axis=1)
+            theirs += near.sum(axis=0)
+        for ids, count in ((left["rid"].to_numpy(), mine), (right["rid"].to_numpy(), theirs)):
+            some = count > 0
+            out.append(np.stack([np.zeros(some.sum(), np.int64), ids[some], np.zeros(some.sum(), np.int64), count[some]], axis=1))
+        linked = np.unique(balls_[theirs > 0])
+        out.append(np.stack([np.ones(len(linked), np.int64), np.full(len(linked), int(key[0])), linked, np.zeros(len(linked), np.int64)], axis=1))
+    return pd.DataFrame(np.concatenate(out), columns=["kind", "a", "b", "n"])
 
 
 def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id) a vector, of all vectors."""
-    spark = rows.sparkSession
     rows = stage(rows.select(F.monotonically_increasing_id().alias("rid"), F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("x")), "vectors")
     fine = F.coalesce(F.size("x") > 0, F.lit(False)) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("x", lambda v: v != 0)
     good = rows.where(fine)
-    widths = good.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    if widths is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    good = good.where(F.size("x") == widths["w"]).select("rid", "vec_id", F.transform("x", lambda v: v / F.array_max(F.transform("x", F.abs))).alias("x"))
-    model = fit(good, widths["count"])
+    out = rows.select("rid", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    widths = sorted((r["w"], r["count"]) for r in good.groupBy(F.size("x").alias("w")).count().collect() if r["count"] > 1)
+    if widths:
+        largest = F.get(F.transform(F.array(F.array_max(F.transform("x", F.abs))), lambda m: F.transform("x", lambda v: v / m)), F.lit(0))  # bound once a vector
+        known = [_links(good.where(F.size("x") == w).select("rid", "vec_id", largest.alias("x")), n) for w, n in widths]
+        out = rows.select("rid", "vec_id").join(functools.reduce(DataFrame.unionByName, known), "rid", "left")
+        out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
+    return out.select("vec_id", "n_links", "component_id")
+
+
+def _links(good: DataFrame, n: int) -> DataFrame:
+    """(rid, n_links, component) of n vectors of one length."""
+    spark = good.sparkSession
+    model = fit(good, n)
     n_lists = len(model["coarse"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,21 +284,23 @@ def near_duplicates(rows: DataFrame, id_column: str = "vec_id", vector_column: s
     asked = ready.mapInArrow(probe, "block int, " + kinds).withColumn("from", F.floor(F.col("own") / QUERY_BLOCKS).cast("int")).drop("list")
     index = ready.withColumnRenamed("own", "block").withColumn("from", F.explode(F.sequence(F.lit(0), F.floor(F.col("block") / QUERY_BLOCKS).cast("int"))))
     found = stage(index.groupBy("block", "from").cogroup(asked.groupBy("block", "from")).applyInPandas(search(model), "kind long, a long, b long, n long"), "found")
-    side = lambda n: leaders.select(F.col("ball").alias(n), F.col("least").alias(f"l{n}"))
-    open_ = found.where("kind = 2").select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    edges = found.where("kind = 1").select("a", "b")
-    held = lambda n, m: members.select(F.col("ball").alias(n), F.col("rid").alias(m))
-    between = open_.select("a", "b", "la", "lb").join(held("a", "p"), "a").join(held("b", "q"), "b")
-    between = stage(_cosines(between, members, "p", "q").where(F.col("cos") >= LINK), "member-links")
-
-    by_ball = found.where("kind = 0").groupBy(F.col("a").alias("ball")).agg(F.sum("n").alias("far"))
-    by_row = between.select(F.col("p").alias("rid")).unionByName(between.select(F.col("q").alias("rid"))).groupBy("rid").agg(F.count("*").alias("some"))
     with Stages(spark) as held:
-        comps = held.keep(components(edges.unionByName(between.select(F.col("la").alias("a"), F.col("lb").alias("b"))).where("a is not null and b is not null"), held))
+        size = leaders.select(F.col("ball").alias("b"), "size")
+        open_ = found.where("kind = 2").select("a", "b", (F.col("n") / 1e6).alias("apart"))
+        chunks = open_.join(size, "b").groupBy("a").agg(F.ceil(F.sum("size") / COMPARE_ROWS).cast("int").alias("chunks"))
+        open_ = held(open_.join(chunks, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")).drop("chunks"), "open")
+        left = open_.select("a", "chunk").distinct().join(members.select(F.col("ball").alias("a"), "rid", "x"), "a")
+        right = open_.join(leaders.select(F.col("ball").alias("a"), "radius"), "a").join(members.select(F.col("ball").alias("b"), "rid", "angle", "x"), "b")
+        right = right.where(F.col("apart") - F.col("angle") - F.col("radius") <= ANGLE + 4e-6).select("a", "chunk", "b", "rid", "x").toDF("a", "chunk", "b", "rid", "x")
+        between = stage(left.groupBy("a", "chunk").cogroup(right.groupBy("a", "chunk")).applyInPandas(compare, "kind long, a long, b long, n long"), "member-links")
+        least = lambda c: leaders.select(F.col("ball").alias(c), F.col("least").alias(f"l{c}"))
+        tied = between.where("kind = 1").select("a", "b").join(least("a"), "a").join(least("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        edges = found.where("kind = 1").select("a", "b").unionByName(tied).where("a is not null and b is not null")
+        comps = held.keep(components(edges, held))
+    by_ball = found.where("kind = 0").groupBy(F.col("a").alias("ball")).agg(F.sum("n").alias("far"))
+    by_row = between.where("kind = 0").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("some"))
     by_leader = leaders.select("ball", "size", "least").join(by_ball, "ball", "left").join(comps, F.col("least") == F.col("id"), "left").select("ball", "size", "far", F.coalesce("component", "least").alias("component"))
-    known = members.select("rid", "ball").join(by_leader, "ball").join(by_row, "rid", "left").select("rid", (F.col("size") - 1 + F.coalesce("far", F.lit(0)) + F.coalesce("some", F.lit(0))).alias("n_links"), "component")
-    out = rows.select("rid", "vec_id").join(known, "rid", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
+    return members.select("rid", "ball").join(by_leader, "ball").join(by_row, "rid", "left").select("rid", (F.col("size") - 1 + F.coalesce("far", F.lit(0)) + F.coalesce("some", F.lit(0))).alias("n_links"), "component")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
