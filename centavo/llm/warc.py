@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import new_path, stage, table
 
 LEAST_PAYLOAD, BLOCK_LINES, DATE = 100, 1000, "2024-01-01T00:00:00Z"
+#: Bytes of records that one task indexes or reads back.
+READ_BYTES = 4 << 20
 _PAGES = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 _LINES = pa.schema([("key", pa.string()), ("line", pa.string())])
 _TOP = pa.schema([("first", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
@@ -127,10 +129,16 @@ def write_index(lines: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -
             sink.write(last)
         yield pa.RecordBatch.from_pydict({"first": [directory[0][0]], "file": [path], "at": [at], "size": [len(last)]}, schema=_TOP)
 
-    top = stage(lines.repartitionByRange("key").sortWithinPartitions("key", "line").mapInArrow(run, "first string, file string, at long, size long"), "index-top")
+    top = stage(lines.repartitionByRange(read_parts(lines), "key").sortWithinPartitions("key", "line").mapInArrow(run, "first string, file string, at long, size long"), "index-top")
     return sorted((r["first"], r["file"], r["at"], r["size"]) for r in top.collect())
 
 
+def read_parts(lines: DataFrame) -> int:
+    """Partitions that hold READ_BYTES of records each: index lines are small, what they stand for is not."""
+    held = lines.agg(F.sum(F.get_json_object("line", "$.size").cast("long"))).first()[0] or 0
+    return max(1, -(-held // READ_BYTES))
+
+
 class Index:
     """Lookups in the two levels; remembers the last directory and block."""
 
@@ -163,7 +171,7 @@ class Index:
                 yield json.loads(block[i][1])
 
 
-def read_back(keys: DataFrame, top: list[tuple[str, str, int, int]], folder: str) -> DataFrame:
+def read_back(keys: DataFrame, top: list[tuple[str, str, int, int]], folder: str, parts: int = 1) -> DataFrame:
     """keys: (key). A row for every record found, from the archive alone; a response's payload is digested anew."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(folder)
@@ -180,7 +188,7 @@ def read_back(keys: DataFrame, top: list[tuple[str, str, int, int]], folder: str
                         rows.append((page, int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha256:"), "revisit", int(fields["WARC-Refers-To-Page-ID"])))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PAGES)], schema=_PAGES)
 
-    return keys.distinct().repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return keys.distinct().repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
@@ -194,8 +202,8 @@ def page_keys(pages: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     folder = new_path(spark, "warc")
-    top = write_index(write_archives(pages, folder), folder)
-    return read_back(page_keys(pages), top, folder)
+    lines = write_archives(pages, folder)
+    return read_back(page_keys(pages), write_index(lines, folder), folder, read_parts(lines))
 
 
 ORACLE = f"""
