@@ -3,10 +3,11 @@
 A document is a bag of passages of PASSAGE words. A passage's features are the mean shape of its words (case, marks,
 repeats, lengths) and a mean of their hashed vectors; an encoder maps them to a hidden vector, gated attention
 (tanh times sigmoid) weighs the passages, and a logistic layer scores the weighted sum. All weights are learned
-from document labels, on a sample of at most SAMPLE_DOCS labelled documents outside the held-out fold; every document is scored whole.
+from document labels, on a sample of at most SAMPLE_DOCS labelled documents outside the held-out fold, of each at most TRAIN_PASSAGES
+passages spread over its text; every document is scored whole.
 
 Null and empty texts: one passage of zeros, hence a score too. No labels at all: every score is 0.5. Null and repeated
-ids pass through; of labels that disagree for an id the greatest counts.
+ids pass through; of labels that disagree for an id the greatest counts. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import held_out, small_batches, table
 
 PASSAGE, HASHED, HIDDEN, GATE = 64, 16, 24, 12
+#: Passages of one document that are learned from at most, evenly spread over its whole text; scoring takes all.
+TRAIN_PASSAGES = 64
 SAMPLE_DOCS, EPOCHS, RATE, DECAY, SEED = 6000, 250, 0.02, 1e-4, 7
 SHAPES = 12
 _CACHE_WORDS, BLOCK = 150_000, 64
@@ -127,6 +130,10 @@ def train(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
     return p | fixed
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    return x if len(x) <= TRAIN_PASSAGES else x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(np.int64)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray] | None:
     """docs: (doc_id, text); labels: (doc_id, quality). Learns from a bounded sample (smallest id hashes) outside the held-out fold."""
     out = pa.schema([("doc_id", pa.int64()), ("quality", pa.int64()), ("x", pa.binary())])
@@ -134,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": [encode(t.as_py()).astype("<f4").tobytes() for t in batch.column("text")]}, schema=out)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "x": [_spread(encode(t.as_py())).astype("<f4").tobytes() for t in batch.column("text")]}, schema=out)
 
     usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -146,24 +153,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     return train(bags, np.array([r["quality"] for r in rows]))
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
-    """Adds __score to the documents' columns."""
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, longer if the documents have such a column (names differ by more than case)."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def score(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str = "__score") -> DataFrame:
+    """Adds a score to the documents' columns; it must not be named like one of them."""
+    held = _free(docs, "__text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
-        for batch in small_batches(batches, "__text", 8 << 20):
+        for batch in small_batches(batches, held, 8 << 20):
             if model is None:
                 values = np.full(batch.num_rows, 0.5)
             else:
-                bags = [encode(t.as_py()) for t in batch.column("__text")]
+                bags = [encode(t.as_py()) for t in batch.column(held)]
                 values = forward(model, np.concatenate(bags), np.cumsum([0] + [len(b) for b in bags])[:-1])["score"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "__text"], pa.array(values, pa.float64())], names=[*[c for c in batch.schema.names if c != "__text"], "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*batch.schema.names[:-1], name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("__text", F.col("text")).mapInArrow(run, f"{kinds}, __score double")
+    return docs.withColumn(held, F.col("text")).mapInArrow(run, f"{kinds}, {name} double")
 
 
 def keep_good(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
-    return score(docs, model).where("__score >= 0.5").drop("__score")
+    name = _free(docs, "__score")
+    return score(docs, model, name).where(F.col(name) >= 0.5).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
