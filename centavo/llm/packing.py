@@ -32,19 +32,20 @@ GAP = 0.00001
 
 
 def cut(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = BYTE_BPE, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
-    """A row a piece: full pieces first, then the rest. with_ids adds the ids themselves; added encodes the strings of added tokens as these tokens."""
-    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
-    ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    """A row a piece: full pieces first, then the rest; row numbers a task's documents, so that equal ones can be told apart. with_ids adds the ids themselves; added encodes the strings of added tokens as these tokens."""
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("row", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
+    ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encode_added(vocabulary) if added else encoding(vocabulary).encode_ordinary
+        encode, row = encode_added(vocabulary) if added else encoding(vocabulary).encode_ordinary, 0
         for batch in small_batches(batches, "text", 8 << 20):
             out: list[list] = [[] for _ in fields]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.array(encode(text.as_py() or "") + [END_ID], "<u4")
+                row += 1
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
-                    for column, value in zip(out, (doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), part), strict=False):
+                    for column, value in zip(out, (doc, start, len(part), zlib.crc32(part.tobytes()), len(ids), row, part), strict=False):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(out, fields, strict=True)], schema=pa.schema(fields))
 
@@ -164,16 +165,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Dat
         sequence += times
     places = F.broadcast(spark.createDataFrame(slots, "bin int, lo long, hi long, per_copy long, base long"))
     salts = max(LEAST_SALTS, -(-sum(counts.values()) // SALT_ROWS))
-    rest = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(salts)).cast("int"))
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "ids_crc32", "row"), F.lit(salts)).cast("int"))
     before = rest.groupBy("bin", "salt").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("bin").orderBy("salt")) - F.col("n")).drop("n")
-    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("bin", "salt").orderBy("doc_id", "ids_crc32"))).join(before, ["bin", "salt"])
+    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("bin", "salt").orderBy("doc_id", "ids_crc32", "row"))).join(before, ["bin", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") - 1 + F.col("before")).drop("before", "salt")
     placed = ranked.join(places, "bin").where("rank >= lo and rank < hi")
     placed = placed.withColumn("sequence_id", F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per_copy")))
     held = Window.partitionBy("sequence_id").orderBy(F.desc("bin"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(held), F.lit(0).cast("long")))
     whole = full.withColumn("sequence_id", F.lit(sequence).cast("long") + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return placed.select(*pieces.columns, "sequence_id", "offset").unionByName(whole)
+    return placed.select(*pieces.columns, "sequence_id", "offset").unionByName(whole).drop("row")
 
 
 def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
