@@ -86,6 +86,20 @@ select concat(account_id, '-', cast(period_start as string)) as statement_id, ac
  case when (k+n) % 17 = 0 then null else cast(opening as decimal(14,2)) end as opening_balance,
  case when (k+n) % 9 = 0 then null else cast(opening + total + case when (k+n) % 13 = 0 then 1 else 0 end as decimal(14,2)) end as closing_balance
 from r where (k+n) % 11 <> 0
+""",
+    "d_line": """
+select l.statement_id, l.line_no, l.amount, cast(s.opening_balance + sum(l.amount) over (partition by l.statement_id order by l.line_no rows between unbounded preceding and current row)
+  + case when l.k % 40 = 0 then 1 else 0 end as decimal(18,2)) as running
+from (select statement_id, row_number() over (partition by statement_id order by booked_date, transaction_id) as line_no, amount_native as amount, cast(substr(transaction_id, 2, 9) as int) as k from d_txn) l
+join d_statement s on l.statement_id = s.statement_id
+where s.opening_balance is not null
+""",
+    "d_category_old": """
+select category_id, cast(null as string) as parent_id, name, kind, false as archived, category_id in ('C00', 'C01') as is_protected from d_category
+""",
+    "d_category_new": """
+select category_id, case when category_id = 'C02' then 'C02' when category_id = 'C03' then 'C99' when category_id in ('C04', 'C05') then 'C06' when category_id = 'C07' then 'C08' end as parent_id,
+ case when category_id = 'C00' then 'Other' when category_id = 'C10' then 'CATEGORY 11' else name end as name, case when category_id in ('C05', 'C09') then 'income' else kind end as kind, category_id = 'C08' as archived, is_protected from d_category_old
 """,
     "d_fx_rate_some": """
 select ccy as base, 'CAD' as quote, as_of,
@@ -121,7 +135,7 @@ select transaction_id, account_id, booked_date, merchant_id, merchant_key, null,
 """,
 }
 
-_NEEDS = {"d_txn": ("d_account",), "d_statement": ("d_txn",), "d_raw_txn": ("d_txn",), "d_series": ("d_account",), "d_posting": ("d_account", "d_txn", "d_series")}
+_NEEDS = {"d_txn": ("d_account",), "d_statement": ("d_txn",), "d_raw_txn": ("d_txn",), "d_line": ("d_txn", "d_statement"), "d_category_old": ("d_category",), "d_category_new": ("d_category_old",), "d_series": ("d_account",), "d_posting": ("d_account", "d_txn", "d_series")}
 #: Derived at their first use in an application, then read: every query works on the same canonical tables.
 _STAGED = ("d_txn", "d_statement", "d_posting")
 

@@ -72,7 +72,7 @@ def recurring(txn: DataFrame, as_of: Column, base_currency: str = "CAD", policy:
 def occurrences(series: DataFrame) -> DataFrame:
     """A row an occurrence of each series, numbered from 1 in order of date and id."""
     rows = series.select("market_scope", "detector_fingerprint", "basis", "currency", F.posexplode("occurrences").alias("i", "x"))
-    return rows.select("market_scope", "detector_fingerprint", (F.col("i") + 1).alias("occurrence_number"), F.col("x.transaction_id").alias("transaction_id"), F.col("x.booked_date").alias("occurrence_date"), F.col("x.price").alias("comparison_amount"), F.col("basis").alias("comparison_basis"), F.col("currency").alias("comparison_currency"))
+    return rows.select("market_scope", "detector_fingerprint", (F.col("i") + 1).alias("occurrence_number"), F.col("x.transaction_id").alias("transaction_id"), F.col("x.account_id").alias("account_id"), F.col("x.booked_date").alias("occurrence_date"), F.col("x.price").alias("comparison_amount"), F.col("basis").alias("comparison_basis"), F.col("currency").alias("comparison_currency"))
 
 
 #: Columns of review states: what users decided about a series.

@@ -60,13 +60,6 @@ def net_worth(held: DataFrame, rates: DataFrame, base_currency: str, as_of: str)
     return out.withColumn("is_partial", F.col("missing_fx") > 0)
 
 
-def running_balance(txn: DataFrame) -> DataFrame:
-    """Native balance after each posting of an account, by effective date, then posted, booked and id."""
-    effective = F.coalesce("posted_date", "booked_date")
-    w = Window.partitionBy("account_id").orderBy(effective.asc_nulls_last(), F.col("posted_date").asc_nulls_last(), "booked_date", "transaction_id").rowsBetween(Window.unboundedPreceding, 0)
-    return txn.select("transaction_id", "account_id", F.sum("amount_native").over(w).cast(TOTAL).alias("running_native"))
-
-
 def daily_balance(txn: DataFrame) -> DataFrame:
     """Cumulative base value by day over all accounts (cards negated), up to the first day with a pending row. Days are aggregated first: the unpartitioned window sees days only."""
     signed = F.when(F.col("kind") == "credit_card", -F.col("amount_base")).otherwise(F.col("amount_base"))

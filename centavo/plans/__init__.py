@@ -1 +1,7 @@
-"""Plans of the transaction engine."""
+"""Registered queries over the derived tables, each with equivalent SQL."""
+
+from . import detectors, lifecycle, reads, registry
+
+_MODULES = (registry, detectors, lifecycle, reads)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

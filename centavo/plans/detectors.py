@@ -50,7 +50,7 @@ QUERIES = {
     "det_frequency": lambda s, d: outliers.frequency(postings(s, d), _DATE).select("market_scope", "merchant_key", "flow_type", "period_start", F.col("value").cast("long").alias("transaction_count"), "prior_count", "baseline", "difference", "method", "score"),
     "det_spike": lambda s, d: outliers.spikes(_cube(s, d), _DATE).select("market_scope", "dimension_type", "dimension_key", "period_start", F.col("value").alias("spending"), "prior_count", "baseline", "difference", "method", "score"),
     "det_recurring": lambda s, d: _series(s, d).drop("occurrences"),
-    "win_occurrence_no": lambda s, d: series.occurrences(_series(s, d)),
+    "win_occurrence_no": lambda s, d: series.occurrences(_series(s, d)).drop("account_id"),
     "det_price_increase": lambda s, d: (lambda x: series.price_increases(x, reviews(x), BASE))(_series(s, d)),
     "det_overdue": lambda s, d: (lambda x: series.overdue(x, _DATE, reviews(x)))(_series(s, d)),
     "det_findings": lambda s, d: all_findings(s, d).select("market_scope", "finding_type", "severity", "headline", "account_id", "transaction_id", "series_fingerprint", "detector_fingerprint"),

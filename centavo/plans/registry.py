@@ -125,7 +125,6 @@ QUERIES: dict[str, Query] = {
     "agg_utilization": _utilization,
     "agg_net_worth": lambda s, d: statements.net_worth(_positions(s, d), fixtures.view(s, d, "d_fx_rate"), BASE, "1998-08-05"),
     "agg_balance": lambda s, d: statements.daily_balance(transactions(s, d)),
-    "win_running_native": lambda s, d: statements.running_balance(fixtures.view(s, d, "d_txn")),
     "agg_fx_cost": _fx_cost,
     "set_fx_requirements": _needed,
     "join_missing_fx": lambda s, d: fx.missing(_needed(s, d), fixtures.view(s, d, "d_fx_rate")),
@@ -249,7 +248,6 @@ v as (select case when kind = 'credit_card' then -1 else 1 end * round(current_b
 select cast(coalesce(sum(case when value > 0 then value end), 0) as decimal(18,2)) as assets, cast(coalesce(sum(case when value < 0 then -value end), 0) as decimal(18,2)) as liabilities, cast(coalesce(sum(value), 0) as decimal(18,2)) as net_worth, count(*) - count(value) as missing_fx, count(*) > count(value) as is_partial from v""",
     "agg_balance": _TXN + """, d as (select booked_date, cast(coalesce(sum(case when kind = 'credit_card' then -amount_base else amount_base end), 0) as decimal(18,2)) as delta, count(*) - count(amount_base) as p from txn group by 1),
 w as (select booked_date, delta, cast(sum(delta) over o as decimal(18,2)) as balance, sum(p) over o as seen from d window o as (order by booked_date rows unbounded preceding)) select booked_date, delta, balance from w where seen = 0""",
-    "win_running_native": _C("d_account", "d_txn") + " select transaction_id, account_id, cast(sum(amount_native) over (partition by account_id order by coalesce(posted_date, booked_date) nulls last, posted_date nulls last, booked_date, transaction_id rows unbounded preceding) as decimal(18,2)) as running_native from d_txn",
     "agg_fx_cost": _TXN + """, e as (select t.transaction_id, t.booked_date, abs(original_amount) as f, original_currency as fc, greatest(abs(amount_native) - coalesce(fx_fee_amount_native, 0), 0) as c,
  case when is_fx_fee then abs(amount_native) else coalesce(fx_fee_amount_native, 0) end as fee, currency_native, fx_rate from txn t where original_amount is not null or fx_fee_amount_native is not null or is_fx_fee or fx_rate is null),
 m as (select e.*, r.rate, r.as_of from e asof left join d_fx_rate r on e.fc = r.base and e.booked_date >= r.as_of and e.currency_native = r.quote),
