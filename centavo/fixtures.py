@@ -100,6 +100,24 @@ select category_id, cast(null as string) as parent_id, name, kind, false as arch
     "d_category_new": """
 select category_id, case when category_id = 'C02' then 'C02' when category_id = 'C03' then 'C99' when category_id in ('C04', 'C05') then 'C06' when category_id = 'C07' then 'C08' end as parent_id,
  case when category_id = 'C00' then 'Other' when category_id = 'C10' then 'CATEGORY 11' else name end as name, case when category_id in ('C05', 'C09') then 'income' else kind end as kind, category_id = 'C08' as archived, is_protected from d_category_old
+""",
+    "d_cat": """
+select * from (values ('K01', cast(null as string), 'Groceries', 'spend', false, false), ('K02', null, 'dining', 'spend', false, false), ('K03', null, 'Transport', 'spend', false, false), ('K04', null, 'Travel', 'spend', true, false),
+ ('K05', null, 'Utilities', 'spend', false, false), ('K06', null, 'Health', 'spend', false, false), ('K07', null, 'Entertainment', 'income', false, false), ('K08', null, 'Refunds', 'transfer', false, false), ('K09', null, 'Fees & Interest', 'fee', false, false),
+ ('K10', null, 'Payments', 'transfer', false, false), ('K11', null, 'Transfers', 'transfer', false, false), ('K12', null, 'Income', 'income', false, false), ('K13', null, 'Other', 'spend', false, true), ('K14', 'K01', 'Travel', 'spend', false, false)
+) as t(category_id, parent_id, name, kind, archived, is_protected)
+""",
+    "d_parsed": """
+select concat('P', cast(p_partkey as string)) as external_ref, a.account_id, a.kind, cast(date '1997-01-01' + cast(p_partkey % 500 as int) as date) as booked_date,
+ case when p_partkey % 4 = 0 then cast(date '1997-01-02' + cast(p_partkey % 500 as int) as date) end as posted_date,
+ concat(case p_partkey % 23 when 0 then 'COSTCO Wholesale' when 1 then 'Uber Eats' when 2 then 'Uber trip' when 3 then 'Grand Hotel' when 4 then 'Internet bill' when 5 then 'City Pharmacy' when 6 then 'Netflix' when 7 then 'Annual fee'
+  when 8 then 'Refund from' when 9 then 'Payment - thank you' when 10 then 'E-Transfer to' when 11 then 'Corner cafe' when 12 then 'MARKET' when 13 then 'Salary of' when 14 then 'Interest charge' when 15 then 'wire out' else 'Shop' end,
+  ' ', p_brand, ' no ', cast(p_partkey % 50 as string), ' Ref #', cast(p_partkey as string), '  12345') as description_raw,
+ cast(case when p_size % 3 = 0 then -1 else 1 end * cast(p_retailprice as decimal(12,2)) as decimal(14,2)) as amount_native, a.native_currency as currency_native,
+ case p_size % 7 when 0 then 'credit' when 1 then 'payment' when 2 then 'refund' when 3 then 'fee' else 'debit' end as direction,
+ case when p_partkey % 5 = 0 then cast(12.50 as decimal(14,2)) end as original_amount, case when p_partkey % 5 = 0 then 'USD' end as original_currency,
+ case when p_partkey % 10 = 0 then cast(0.25 as decimal(14,2)) end as fx_fee_amount_native, p_partkey % 11 = 1 as is_fx_fee, concat('file-', cast(p_partkey % 17 as string)) as file, p_partkey as k
+from part join d_account a on a.account_id = concat('A', lpad(cast(p_partkey % 100 + 1 as string), 8, '0'))
 """,
     "d_fx_rate_some": """
 select ccy as base, 'CAD' as quote, as_of,
@@ -135,7 +153,7 @@ select transaction_id, account_id, booked_date, merchant_id, merchant_key, null,
 """,
 }
 
-_NEEDS = {"d_txn": ("d_account",), "d_statement": ("d_txn",), "d_raw_txn": ("d_txn",), "d_line": ("d_txn", "d_statement"), "d_category_old": ("d_category",), "d_category_new": ("d_category_old",), "d_series": ("d_account",), "d_posting": ("d_account", "d_txn", "d_series")}
+_NEEDS = {"d_txn": ("d_account",), "d_statement": ("d_txn",), "d_raw_txn": ("d_txn",), "d_parsed": ("d_account",), "d_line": ("d_txn", "d_statement"), "d_category_old": ("d_category",), "d_category_new": ("d_category_old",), "d_series": ("d_account",), "d_posting": ("d_account", "d_txn", "d_series")}
 #: Derived at their first use in an application, then read: every query works on the same canonical tables.
 _STAGED = ("d_txn", "d_statement", "d_posting")
 
