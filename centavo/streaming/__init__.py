@@ -1 +1 @@
-"""Streaming of the transaction engine."""
+"""Streams of postings: idempotent landing, refreshed months, near-duplicate alerts."""
