@@ -1,41 +1,19 @@
-"""Shared helpers: the shared folder, staged tables and text words."""
+"""Shared helpers: staged tables, folds, batches and text words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but ASCII white space.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests, one machine) a temporary folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = known.get() if known.isDefined() else None
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+from ..storage import delete, new_path, stage
 
+__all__ = ["Stages", "delete", "held_out", "new_path", "small_batches", "stage", "table"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table in the shared folder and reads it again; cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Words are runs of anything but ASCII white space.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 class Stages:
@@ -70,11 +48,6 @@ class Stages:
             delete(self.spark, path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,17 +57,6 @@ def held_out(column: str, modulus: int, remainder: int) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder
 
 
-def per_batch(step: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that gives a batch's columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(step(batch), schema=schema)
-
-    return run
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text of each stays near a bound (one longer text stands alone)."""
     for batch in batches:
