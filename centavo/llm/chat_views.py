@@ -4,8 +4,13 @@ For every participant of a conversation (every role but system) the dialogue is
 assistant, the others as named users and system turns as system. Masks are the character ranges, within the rendered part, of
 what the assistant says: what a model is trained on.
 
-A long dialogue comes in parts of PART turns, so that no task holds a whole one; char_offset says where a part begins. Turns go by
-number, then role and text (null numbers first). Null text: empty. Null role: unknown. Null conversation: one of its own. Repeated rows are turns like others.
+A long dialogue comes in parts of at most PART turns, and its texts are never gathered beyond a part; char_offset says where a part begins.
+It is summed over the parts' lengths alone, in two levels (BLOCK spans of turns, then blocks), so a task sees neither all texts nor all
+parts of a dialogue. Turns go by number, then role and text (null numbers first). Turns of PART successive numbers are ordered in one
+task; so are all turns without a number, the one case in which a task's rows grow with a dialogue.
+
+Null text: empty. Null role: the role unknown, like turns that say so. Null conversation: one of its own. Repeated rows are turns like others. Marks
+of the template within a text stay as they are: masks are by position, so they cannot be mistaken.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PART = 64
+PART, BLOCK = 64, 1024
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -34,11 +39,30 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
     sizes = F.zip_with("heads", "said", lambda h, s: F.struct(F.length(h).alias("head"), F.length(s["text"]).alias("body"), (s["role"] == F.col("perspective")).alias("mine")))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("masks"))
     seen = seen.withColumn("masks", F.aggregate(sizes, none, step, lambda at: at["masks"]))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("span", "sub")
-    seen = seen.withColumn("part", F.row_number().over(before) - 1).withColumn("char_offset", F.coalesce(F.sum(F.length("rendered").cast("long")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # Lengths alone: of each part as each participant sees it, without rendering it.
+    at = ["conv_id", "perspective", "block"]
+    seen = seen.withColumn("block", F.floor(F.col("span") / BLOCK))
+    each = lambda s: (F.length(_label(s["role"])) + F.length(s["text"]) + (len(START) + 1 + len(STOP))).cast("long")
+    sizes = seen.select(*at, "span", "sub", F.aggregate("said", F.lit(0).cast("long"), lambda n, s: n + each(s)).alias("n"))
+    blocks = sizes.groupBy(*at).agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+    earlier = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*at, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("parts").over(earlier), F.lit(0)).alias("p0"))
+    within = Window.partitionBy(*at).orderBy("span", "sub")
+    places = sizes.select(*at, "span", "sub", (F.row_number().over(within) - 1).alias("p1"), F.coalesce(F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n1"))
+    places = _null_safe(places, blocks, at).select(*at, "span", "sub", (F.col("p0") + F.col("p1")).cast("int").alias("part"), (F.col("n0") + F.col("n1")).alias("char_offset"))
+    seen = _null_safe(seen, places, [*at, "span", "sub"])
     return seen.select("conv_id", "perspective", "part", "char_offset", F.size("said").alias("n_turns"), "rendered", "masks")
 
 
+def _null_safe(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which null keys are equal."""
+    held = more.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in more.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(held, same).drop(*[f"__{k}" for k in keys])
+
+
 def _label(role: Column) -> Column:
     return F.when(role == F.col("perspective"), F.lit("assistant")).when(role == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), role))
 
