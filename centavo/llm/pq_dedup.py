@@ -36,6 +36,8 @@ SAMPLE, MOST_LISTS, ROUNDS = 16384, 1024, 8
 BLOCK_ROWS, SEARCH_ROWS, QUERY_BLOCKS, COMPARE_ROWS = 2048, 4096, 4, 8192
 ANGLE = float(np.arccos(LINK))
 EPS, SLACK = 1e-9, 1e-6
+#: Rounding of single-precision sums of table entries; queries that share tables at a time.
+SINGLE, TABLE_QUERIES = 1e-5, 64
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -137,19 +139,27 @@ def search(model: dict) -> object:
             (ids, other), (radius, reach), (size, others), (named, known) = side("ball"), side("radius"), side("size"), side("named")
             here = queries["own"].to_numpy() == int(key[0])
             links, theirs, root = np.zeros(n, np.int64), np.zeros(len(q), np.int64), np.arange(n + len(q))
-            for at in range(0, len(q), 256):
-                part, r = q[at : at + 256], reach[at : at + 256, None]
-                dot = (part @ model["coarse"].T)[:, lists]
-                for p, book, code in zip(np.array_split(part, len(model["books"]), axis=1), model["books"], codes.T, strict=True):
-                    dot += (p @ book.T)[:, code]
-                chord = 2 * (np.sin((ANGLE + r) / 2) * np.cos(radius / 2) + np.cos((ANGLE + r) / 2) * np.sin(radius / 2))
-                close = 1 - 2 * dot + norm <= (chord + error + SLACK) ** 2
-                close &= ~here[at : at + 256, None] | (other[at : at + 256, None] < ids)
-                i, j = np.nonzero(close)
+            coarse, books = model["coarse"].astype(np.float32), [b.astype(np.float32) for b in model["books"]]
+            held = np.empty((n, TABLE_QUERIES), np.float32)
+            for at in range(0, len(q), TABLE_QUERIES):
+                part, r = q[at : at + TABLE_QUERIES], reach[at : at + TABLE_QUERIES, None]
+                # Tables by code and query: a leader's codes pick whole rows, for all queries at once. Leaders run down, queries across.
+                flat = part.T.astype(np.float32)
+                dot, buffer = np.take(coarse @ flat, lists, axis=0), held[:, : len(part)]
+                for p, book, code in zip(np.array_split(flat, len(books)), books, codes.T, strict=True):
+                    dot += np.take(book @ p, code, axis=0, out=buffer if buffer.flags.c_contiguous else None, mode="clip")
+                widest = r.max()  # the bound of the widest ball of the queries; the true one decides below
+                chord = 2 * (np.sin((ANGLE + widest) / 2) * np.cos(radius / 2) + np.cos((ANGLE + widest) / 2) * np.sin(radius / 2))
+                least_dot = (1 + norm - (np.where(ANGLE + widest + radius >= np.pi, 2, chord) + error + SLACK) ** 2) / 2 - SINGLE
+                close = dot >= least_dot[:, None]
+                mine = here[at : at + TABLE_QUERIES]
+                if mine.any():
+                    close &= ~mine | (other[at : at + TABLE_QUERIES] < ids[:, None])
+                j, i = np.nonzero(close)
                 if not len(i):
                     continue
-                some = np.flatnonzero(close.any(axis=0))
-                cos = np.zeros(close.shape)
+                some = np.flatnonzero(close.any(axis=1))
+                cos = np.zeros((len(part), n))
                 cos[:, some] = part @ x[some].T
                 keep = cos[i, j] >= np.cos(ANGLE + r[i, 0] + radius[j]) - EPS
                 i, j = i[keep], j[keep]
@@ -303,6 +313,16 @@ def _links(good: DataFrame, n: int) -> DataFrame:
     return members.select("rid", "ball").join(by_leader, "ball").join(by_row, "rid", "left").select("rid", (F.col("size") - 1 + F.coalesce("far", F.lit(0)) + F.coalesce("some", F.lit(0))).alias("n_links"), "component")
 
 
+#: All pairs and reachable ids: for small tables, as a check.
+ORACLE = f"""
+with recursive g as (select vec_id, cast(embedding as double[]) as x from embeddings),
+v as (select vec_id, x from g where len(x) > 0 and len(list_filter(x, lambda e: e is null or not isfinite(e))) = 0 and list_max(list_transform(x, lambda e: abs(e))) > 0),
+l as (select a.vec_id as u, b.vec_id as v from v a join v b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x)) / sqrt(list_dot_product(b.x, b.x)) >= {LINK}),
+r as (select vec_id as id, vec_id as reached from g union select r.id, l.v from r join l on l.u = r.reached),
+m as (select id, min(reached) as component_id from r group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from g join m on m.id = vec_id left join (select u, count(*) as n from l group by 1) k on k.u = vec_id"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
