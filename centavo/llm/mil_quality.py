@@ -100,6 +100,20 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray) -> dict
     return {"bag": bag, "h": h, "t": t, "s": s, "att": att, "z": z, "score": 1 / (1 + np.exp(-logit))}
 
 
+def gradients(p: dict[str, np.ndarray], fixed: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted cross entropy of the bags' scores, by parameter."""
+    f = forward(p | fixed, x, starts)
+    bag, h, t, s, att = f["bag"], f["h"], f["t"], f["s"], f["att"]
+    g = weight * (f["score"].astype(x.dtype) - y)
+    gz = g[:, None] * p["c"]
+    ga = (gz[bag] * h).sum(axis=1)
+    ge = att * (ga - np.add.reduceat(att * ga, starts)[bag])
+    gt, gs = ge[:, None] * p["a"] * s * (1 - t * t), ge[:, None] * p["a"] * t * s * (1 - s)
+    gh = (att[:, None] * gz[bag] + gt @ p["v"].T + gs @ p["u"].T) * (1 - h * h)
+    xn = (x - fixed["mean"]) / fixed["scale"]
+    return {"w": xn.T @ gh, "b": gh.sum(axis=0), "v": h.T @ gt, "u": h.T @ gs, "a": (t * s).T @ ge, "c": f["z"].T @ g, "d": g.sum()}
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
     """Full-batch Adam; the two classes weigh the same."""
     x = np.concatenate(bags)
@@ -108,20 +122,11 @@ def train(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
     new = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
     p = {"w": new(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN, np.float32), "v": new(HIDDEN, GATE), "u": new(HIDDEN, GATE), "a": new(GATE), "c": new(HIDDEN), "d": np.zeros((), np.float32)}
     fixed = {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 1e-3}
-    xn = (x - fixed["mean"]) / fixed["scale"]
     y = labels.astype(np.float32)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, EPOCHS + 1):
-        f = forward(p | fixed, x, starts)
-        bag, h, t, s, att = f["bag"], f["h"], f["t"], f["s"], f["att"]
-        g = weight * (f["score"].astype(np.float32) - y)
-        gz = g[:, None] * p["c"]
-        ga = (gz[bag] * h).sum(axis=1)
-        ge = att * (ga - np.add.reduceat(att * ga, starts)[bag])
-        gt, gs = ge[:, None] * p["a"] * s * (1 - t * t), ge[:, None] * p["a"] * t * s * (1 - s)
-        gh = (att[:, None] * gz[bag] + gt @ p["v"].T + gs @ p["u"].T) * (1 - h * h)
-        grads = {"w": xn.T @ gh, "b": gh.sum(axis=0), "v": h.T @ gt, "u": h.T @ gs, "a": (t * s).T @ ge, "c": f["z"].T @ g, "d": g.sum()}
+        grads = gradients(p, fixed, x, starts, y, weight)
         for k in p:
             d = grads[k] + DECAY * p[k]
             m1[k] = 0.9 * m1[k] + 0.1 * d

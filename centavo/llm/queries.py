@@ -16,4 +16,4 @@ QUERIES = {
     "op9_lm_scoring": hmm_lm.query,
     "op10_minhash_dedup": chosen_path.query,
 }
-ORACLES = {"op3_chat_formatting": chat_views.ORACLE, "op4_warc": warc.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op3_chat_formatting": chat_views.ORACLE, "op4_warc": warc.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op8_embedding_dedup": pq_dedup.ORACLE, "op10_minhash_dedup": chosen_path.ORACLE}
