@@ -415,8 +415,8 @@ s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to
 e as (select doc_id, len(s) as n, hash(unnest(s)) as h from s),
 c as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
 l as (select a, b from c where 100 * i >= 80 * (na + nb - i)),
-both as (select a as u, b as v from l union all select b, a from l),
-r as (select doc_id as id, doc_id as reached from documents union select r.id, both.v from r join both on both.u = r.reached),
+ends as (select a as u, b as v from l union all select b, a from l),
+r as (select doc_id as id, doc_id as reached from documents union select r.id, ends.v from r join ends on ends.u = r.reached),
 m as (select id, min(reached) as component_id from r group by 1)
 select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join m on m.id = s.doc_id"""
 

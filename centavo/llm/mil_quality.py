@@ -165,22 +165,23 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str = "__score") -> DataFrame:
-    """Adds a score to the documents' columns; it must not be named like one of them."""
-    held = _free(docs, "__text")
+def score(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str = "__score", keep_text: bool = True) -> DataFrame:
+    """Adds a score to the documents' columns; it must not be named like one of them. Texts that are not kept do not come back from the Python workers."""
+    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
-        for batch in small_batches(batches, held, 8 << 20):
+        for batch in small_batches(batches, "text", 8 << 20):
             if model is None:
                 values = np.full(batch.num_rows, 0.5)
             else:
-                bags = [encode(t.as_py()) for t in batch.column(held)]
+                bags = [encode(t.as_py()) for t in batch.column("text")]
                 values = forward(model, np.concatenate(bags), np.cumsum([0] + [len(b) for b in bags])[:-1])["score"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*batch.schema.names[:-1], name])
+            names = [f.name for f in fields]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(values, pa.float64())], names=[*names, name])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn(held, F.col("text")).mapInArrow(run, f"{kinds}, {name} double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return docs.mapInArrow(run, f"{kinds}, {name} double")
 
 
 def keep_good(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
@@ -191,5 +192,5 @@ def keep_good(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score(docs.select("doc_id", "text"), model)
+    scored = score(docs, model, keep_text=False)
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= 0.5, 1).otherwise(0).alias("predicted"))
