@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
@@ -10,11 +10,15 @@ from ..operators import cube, detect, findings, outliers, series, statements
 from .registry import BASE, POSTING, _median, postings
 
 AS_OF = "2001-06-15"
-_DATE = F.lit(AS_OF).cast("date")
+
+
+def _date() -> Column:
+    """As a call: a column needs a session."""
+    return F.lit(AS_OF).cast("date")
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.recurring(postings(spark, sf_dir), _DATE, BASE)
+    return series.recurring(postings(spark, sf_dir), _date(), BASE)
 
 
 def _cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +36,7 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _series(spark, sf_dir)
     checked = statements.coverage_status(statements.reconcile(fixtures.view(spark, sf_dir, "d_statement"), fixtures.view(spark, sf_dir, "d_txn")))
     sources = findings.statement_findings(checked, fixtures.view(spark, sf_dir, "d_account"))
-    return findings.build(postings(spark, sf_dir), _cube(spark, sf_dir), found, sources, _DATE, reviews(found))
+    return findings.build(postings(spark, sf_dir), _cube(spark, sf_dir), found, sources, _date(), reviews(found))
 
 
 def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +51,12 @@ def _prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "win_prior_set": _prior,
     "det_amount_outlier": _amounts,
-    "det_frequency": lambda s, d: outliers.frequency(postings(s, d), _DATE).select("market_scope", "merchant_key", "flow_type", "period_start", F.col("value").cast("long").alias("transaction_count"), "prior_count", "baseline", "difference", "method", "score"),
-    "det_spike": lambda s, d: outliers.spikes(_cube(s, d), _DATE).select("market_scope", "dimension_type", "dimension_key", "period_start", F.col("value").alias("spending"), "prior_count", "baseline", "difference", "method", "score"),
+    "det_frequency": lambda s, d: outliers.frequency(postings(s, d), _date()).select("market_scope", "merchant_key", "flow_type", "period_start", F.col("value").cast("long").alias("transaction_count"), "prior_count", "baseline", "difference", "method", "score"),
+    "det_spike": lambda s, d: outliers.spikes(_cube(s, d), _date()).select("market_scope", "dimension_type", "dimension_key", "period_start", F.col("value").alias("spending"), "prior_count", "baseline", "difference", "method", "score"),
     "det_recurring": lambda s, d: _series(s, d).drop("occurrences"),
     "win_occurrence_no": lambda s, d: series.occurrences(_series(s, d)).drop("account_id"),
     "det_price_increase": lambda s, d: (lambda x: series.price_increases(x, reviews(x), BASE))(_series(s, d)),
-    "det_overdue": lambda s, d: (lambda x: series.overdue(x, _DATE, reviews(x)))(_series(s, d)),
+    "det_overdue": lambda s, d: (lambda x: series.overdue(x, _date(), reviews(x)))(_series(s, d)),
     "det_findings": lambda s, d: all_findings(s, d).select("market_scope", "finding_type", "severity", "headline", "account_id", "transaction_id", "series_fingerprint", "detector_fingerprint"),
 }
 

@@ -9,7 +9,7 @@ from .. import fixtures
 from ..operators import cube, merges, reads, refresh, series, validity
 from ..sources.tables import up_to
 from . import detectors, registry
-from .detectors import _DATE, _series, all_findings, reviews
+from .detectors import _date, _series, all_findings, reviews
 from .registry import _C, _CHECKED, _CUBE, _PCT, _TXN, AS_OF, BASE, POSTING, _checked, _fx_cost, _mean, _median, postings, transactions
 
 _RANGE = ("1999-01-01", "2001-06-15")
@@ -53,7 +53,7 @@ def _saved_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = lambda name: fixtures.view(spark, sf_dir, name)
-    rows = reads.read_recurring(_saved_series(spark, sf_dir), series.occurrences(_series(spark, sf_dir)), view("d_account"), view("d_merchant"), _DATE, *_RANGE)
+    rows = reads.read_recurring(_saved_series(spark, sf_dir), series.occurrences(_series(spark, sf_dir)), view("d_account"), view("d_merchant"), _date(), *_RANGE)
     ids = F.array_join(F.transform("occurrences", lambda x: x["transaction_id"]), ",")
     return rows.withColumn("occurrences", ids).orderBy(*reads.recurring_order())
 
@@ -138,7 +138,7 @@ QUERIES = {
     "srt_topk": lambda s, d: reads.compare(_plain(s, d), "1998-01-01", "1998-12-31", "account", ("spending", "inflow"), "none", 20),
     "agg_earliest": lambda s, d: reads.earliest(_plain(s, d).where("market_code = 'TZ'"), AS_OF),
     "src_snapshot": lambda s, d: up_to(fixtures.view(s, d, "d_txn"), "updated_at", "1998-06-10 00:00:00").groupBy("account_id").agg(F.count("*").alias("n")),
-    "agg_recurring_summary": lambda s, d: reads.recurring_summary(_saved_series(s, d), _DATE, BASE),
+    "agg_recurring_summary": lambda s, d: reads.recurring_summary(_saved_series(s, d), _date(), BASE),
     "agg_recurring_ctx": lambda s, d: reads.series_context(reads.in_range(series.occurrences(_series(s, d)), *_RANGE), fixtures.view(s, d, "d_account")).drop("occurrences"),
     "read_recurring": _recurring,
     "join_finding_ctx": lambda s, d: _findings(s, d).select("market_scope", "detector_fingerprint", "account_id", "account_name", "category_id", "category_name", "merchant_id", "merchant_name", "event_date"),
