@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import delete, new_path, stage
 
-__all__ = ["Stages", "delete", "held_out", "new_path", "small_batches", "stage", "table"]
+__all__ = ["Stages", "delete", "held_out", "new_path", "numbered", "small_batches", "stage", "table"]
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -69,3 +69,21 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: in
             held += n or 0
         if start < len(lengths):
             yield batch.slice(start)
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, held: Stages) -> tuple[DataFrame, DataFrame]:
+    """Rows with their place (from 1) within their group, and the group's pieces: (group, piece, before, total).
+
+    Rows are dealt by ranges of group and order, so that a group of any size lies in pieces of about one partition each; places
+    within a piece and the sizes of the pieces before it give the place. order has to end in a column that tells rows apart.
+    Group columns hold no nulls. Both results are staged in held; rows keep the column piece.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held(rows.repartitionByRange(parts, *group, *order).withColumn("piece", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy(*group, "piece").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(*group)
+    pieces = sizes.select(*group, "piece", F.coalesce(F.sum("n").over(whole.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total"))
+    pieces = held(pieces, "pieces")
+    within = F.row_number().over(Window.partitionBy(*group, "piece").orderBy(*order))
+    out = dealt.withColumn(name, within.cast("long")).join(pieces.select(*group, "piece", "before"), [*group, "piece"])
+    return held(out.withColumn(name, F.col(name) + F.col("before")).drop("before"), name), pieces
