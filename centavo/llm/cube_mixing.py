@@ -115,6 +115,7 @@ def sample(units: DataFrame, held: Stages) -> DataFrame:
     while True:
         counts = units.groupBy("sid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         dealt = units.join(counts, "sid").withColumn("block", F.pmod(F.xxhash64("draw", "at", F.lit(level)), F.col("blocks")).cast("int")).withColumn("level", F.lit(level))
+        dealt = dealt.repartition("sid", "block")  # else all blocks of a source would stay where its count was joined
         units = held(dealt.groupBy("sid", "block").applyInPandas(_fly_block, kind), "flown")
         taken.append(units.where("p = 1").select("unit", "at"))
         units = units.where("p > 0 and p < 1")
