@@ -126,6 +126,7 @@ def _walk(walkers: DataFrame, lists: DataFrame, items: DataFrame, width: int, wa
         left = here.join(blocks, "cluster").join(items.select("rid", "id", "label", "q"), "rid").select("cluster", "block", "segment", "rid", "id", "label", "q").toDF("cluster", "block", "segment", "rid", "id", "label", "q")
         right = live.join(here.select("cluster", "segment").distinct(), "cluster").select(*live.columns, "segment").toDF(*live.columns, "segment")
         pair = ["cluster", "block", "segment"]
+        left, right = left.repartition(*pair), right.repartition(*pair)  # else a cluster could stay in the task of its join
         found = left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(lambda a, b: _answers(a, b, width, wanted), RESULT)
         found = found if best is None else found.unionByName(best.drop("rank"))
         best = held(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most), "best")
