@@ -6,90 +6,144 @@ zero, by Tukey's fences around the quartiles of halves. All statistics are exact
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import TOTAL, month
+from ..functions.order_statistics import robust
 from ..storage import stage
 
 #: Fixed values by sensitivity: least modified z score, least amount difference, IQR multiplier, least count difference.
 SENSITIVITY = {"low": ("5.0", "25.00", "3", 3), "balanced": ("3.5", "10.00", "1.5", 2), "high": ("2.5", "5.00", "1", 1)}
 LEAST_PRIOR = 5
 #: A key with more rows is judged in several tasks.
-CHUNK_ROWS = 50_000
-
-
-class Prior:
-    """A multiset of cents as distinct values and counts; its size in memory is that of the distinct values."""
-
-    def __init__(self, values: np.ndarray, counts: np.ndarray):
-        self.values, self.counts, self.n = values, counts, int(counts.sum())
-
-    def add(self, value: int) -> None:
-        at = int(np.searchsorted(self.values, value))
-        if at < len(self.values) and self.values[at] == value:
-            self.counts[at] += 1
-        else:
-            self.values, self.counts = np.insert(self.values, at, value), np.insert(self.counts, at, 1)
-        self.n += 1
-
-    def statistics(self) -> tuple[int, int, int, int]:
-        """Median, median absolute deviation, lower and upper quartile."""
-        ends = np.cumsum(self.counts)
-        middle = _median(self.values, ends, 0, self.n)
-        apart = np.abs(self.values - middle)
-        order = np.argsort(apart, kind="stable")
-        half = self.n // 2
-        return middle, _median(apart[order], np.cumsum(self.counts[order]), 0, self.n), _median(self.values, ends, 0, half), _median(self.values, ends, self.n - half, half)
-
-
-def _median(values: np.ndarray, ends: np.ndarray, start: int, n: int) -> int:
-    """Half-up median of the n values from a place on; ends: how many values end with each distinct one."""
-    if not n:
-        return 0
-    low, high = (int(values[np.searchsorted(ends, start + k, side="right")]) for k in ((n - 1) // 2, n // 2))
-    both = low + high
-    return (abs(both) + 1) // 2 * (1 if both >= 0 else -1)
-
-
-def _judged(rows: pd.DataFrame) -> pd.DataFrame:
-    """Rows of a key's chunk in order, after the counts of earlier chunks (row null)."""
-    old = rows[rows["row"].isna()].sort_values("cents")
-    new = rows[rows["row"].notna()].sort_values(["day", "tie"], kind="stable")
-    prior = Prior(old["cents"].to_numpy(np.int64), old["times"].to_numpy(np.int64))
-    out = []
-    for row, cents in zip(new["row"].astype("int64").tolist(), new["cents"].tolist(), strict=True):
-        if prior.n >= LEAST_PRIOR:
-            out.append((row, prior.n, *prior.statistics()))
-        prior.add(int(cents))
-    return pd.DataFrame(out, columns=["row", "prior_count", "middle", "mad", "lower", "upper"])
+CHUNK_ROWS = 200_000
+#: Rows that are judged together.
+BATCH_ROWS = 65_536
+#: Quantiles among which the buckets of a hot key's values are cut; more buckets than that would not be evener.
+CUTS = 1000
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group, what came before the chunk first (row -1, weighted), to the statistics of what precedes each row in its group.
+
+    Whole groups are judged together, about BATCH_ROWS rows at a time, whether they are one group or thousands."""
+    names, held, size = ("h1", "h2", "chunk", "row", "cents", "times"), [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in names])
+        size += batch.num_rows
+        if size >= BATCH_ROWS:
+            rows = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.flatnonzero(np.r_[True, _starts(rows)])[-1])
+            if cut:
+                yield _statistics([c[:cut] for c in rows])
+            held, size = [[c[cut:] for c in rows]], len(rows[0]) - cut
+    if size:
+        yield _statistics([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def _starts(rows: list[np.ndarray]) -> np.ndarray:
+    """Whether a row (from the second on) begins a group."""
+    return (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[2][1:] != rows[2][:-1])
+
+
+def _statistics(rows: list[np.ndarray]) -> pa.RecordBatch:
+    row, cents, times = rows[3:]
+    start = np.r_[True, _starts(rows)]
+    left, right = np.flatnonzero(start)[np.cumsum(start) - 1], np.arange(len(row))
+    total = np.r_[0, np.cumsum(times)]
+    asked = np.flatnonzero((row >= 0) & (total[right] - total[left] >= LEAST_PRIOR))
+    found = robust(cents, times, left[asked], right[asked])
+    return pa.RecordBatch.from_arrays([pa.array(row[asked]), *[pa.array(found[c]) for c in ("count", "middle", "mad", "lower", "upper")]], names=["row", "prior_count", "middle", "mad", "lower", "upper"])
+
+
+def _near(edges: list[int], counts: list[int], rows: int) -> list[int]:
+    """Buckets of earlier values that can hold a quartile, the median or the median distance from it while so many rows are added.
+
+    Bucket i holds values from edges[i] to before edges[i + 1]; counts: how many earlier values it holds. A rank of the union lies among the earlier
+    values at most rows places lower. Distances are bounded by what surely lies, and what can lie, around the median."""
+    low, high = np.array(edges[:-1], np.int64), np.array(edges[1:], np.int64) - 1
+    count = np.array(counts, np.int64)
+    ends = np.cumsum(count)
+    n, starts = int(ends[-1]), ends - count
+    wanted = np.zeros(len(count), bool)
+
+    def bounds(share: float) -> tuple[int, int]:
+        first, last = share * n - rows - 2, share * (n + rows) + 2
+        some = (ends > first) & (starts <= last) & (count > 0)
+        wanted[some] = True
+        return int(low[some].min()), int(high[some].max())
+
+    bounds(0.25), bounds(0.75)
+    least, most = bounds(0.5)
+    distances = np.unique(np.abs(np.r_[low - least, high - least, low - most, high - most]))
+    can = lambda d: int(count[(high >= least - d) & (low <= most + d)].sum())
+    must = lambda d: int(count[(low >= most - d) & (high <= least + d)].sum())
+    few, many = n / 2 - rows - 2, (n + rows) / 2 + 2
+    at = bisect.bisect_left(distances, True, key=lambda d: can(int(d)) >= few)
+    small = int(distances[at - 1]) if at else 0
+    at = bisect.bisect_left(distances, True, key=lambda d: must(int(d)) >= many)
+    large = int(distances[at]) if at < len(distances) else int(max(abs(int(low[0])), abs(int(high[-1])))) * 2 + 1
+    for a, b in ((least - large, most - small), (least + small, most + large)):
+        wanted |= (low <= b) & (high >= a) & (count > 0)
+    return np.flatnonzero(wanted).tolist()
+
+
+def _seeds(narrow: DataFrame, days: DataFrame, hot: DataFrame) -> DataFrame:
+    """(h1, h2, chunk, cents, times): what a hot key's chunk has to know of earlier values. Those near a statistic come by value, the others
+    as one value and count a bucket; buckets are about as many as the chunks and hold about as many rows, so all seeds together grow with the rows."""
+    group = ["h1", "h2"]
+    rows = narrow.join(hot, group, "left_semi").join(days.select(*group, "day", "chunk"), [*group, "day"])
+    chunks = days.groupBy(*group, "chunk").agg(F.sum("n").alias("rows"))
+    last = chunks.groupBy(*group).agg((F.max("chunk") + 1).alias("buckets"))
+    cuts = rows.groupBy(*group).agg(F.percentile_approx("cents", [i / CUTS for i in range(1, CUTS)], 4 * CUTS).alias("cuts"), F.min("cents").alias("lo"), F.max("cents").alias("hi")).join(last, group)
+    some = F.transform(F.sequence(F.lit(1), F.least(F.col("buckets"), F.lit(CUTS - 1))), lambda i: F.get("cuts", F.floor((i - 1) * (CUTS - 1) / F.least(F.col("buckets"), F.lit(CUTS - 1))).cast("int")))
+    edges = F.array_sort(F.array_distinct(F.concat(F.array("lo"), F.filter(some, lambda v: v > F.col("lo")), F.array(F.col("hi") + 1))))
+    cuts = cuts.select(*group, "buckets", edges.alias("edges"))
+    placed = rows.groupBy(*group, "cents", "chunk").agg(F.count("*").alias("n")).join(cuts, group).select(*group, "cents", "chunk", "n", (F.size(F.filter("edges", lambda e: e <= F.col("cents"))) - 1).alias("bucket"))
+    placed = stage(placed, "earlier-values")
+    earlier = Window.partitionBy(*group, "bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    grid = cuts.select(*group, F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("chunk"), F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("bucket", "low"))
+    sums = placed.groupBy(*group, "chunk", "bucket").agg(F.sum("n").alias("n"))
+    grid = grid.join(sums, [*group, "chunk", "bucket"], "left").withColumn("before", F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(earlier), F.lit(0)))
+    grid = stage(grid.where("chunk > 0").select(*group, "chunk", "bucket", "low", "before"), "value-buckets")
+    each = grid.groupBy(*group, "chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "before"))), lambda x: x["before"]).alias("counts"))
+    each = each.join(cuts.select(*group, "edges"), group).join(chunks, [*group, "chunk"])
+    near = F.pandas_udf(lambda e, c, r: pd.Series([_near(list(x), list(y), int(z)) for x, y, z in zip(e, c, r, strict=True)]), "array<int>")
+    wanted = stage(each.select(*group, "chunk", F.explode(near("edges", "counts", "rows")).alias("bucket")), "wanted-buckets")
+    exact = placed.withColumnRenamed("chunk", "of").join(wanted, [*group, "bucket"]).where("of < chunk").groupBy(*group, "chunk", "cents").agg(F.sum("n").alias("times"))
+    whole = grid.where("before > 0").join(wanted, [*group, "chunk", "bucket"], "left_anti").select(*group, "chunk", F.col("low").alias("cents"), F.col("before").alias("times"))
+    return exact.unionByName(whole)
 
 
 def prior_statistics(rows: DataFrame, keys: list[str], day: str, tie: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds prior_count, baseline, mad, lower_quartile and upper_quartile of the earlier values of a row's key, in the order of day and
     tie; rows with fewer than LEAST_PRIOR earlier ones go.
 
-    A key with more than chunk_rows rows is cut at days, and each part starts from the counts by value of what lies before
-    it, so no task holds the rows of a hot key; a part is at least one day."""
+    Keys go by two 64-bit hashes, sorted into tasks. A key with more than chunk_rows rows is cut at days, and each part starts from a summary of the values
+    before it (_seeds), so no task holds the rows of a hot key; a part is at least one day."""
     held = stage(rows.withColumn("row", F.monotonically_increasing_id()), "observations")
-    narrow = held.select(*keys, "row", F.col(day).alias("day"), F.col(tie).cast("string").alias("tie"), (F.col(value) * 100).cast("long").alias("cents"))
-    hot = narrow.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows).drop("n")
-    days = narrow.join(hot, keys, "left_semi").groupBy(*keys, "day").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    days = days.select(*keys, "day", F.floor(before / chunk_rows).cast("int").alias("chunk"))
-    dealt = narrow.join(days, [*keys, "day"], "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
-    counts = dealt.join(hot, keys, "left_semi").groupBy(*keys, "cents", "chunk").agg(F.count("*").alias("n"))
-    last = days.groupBy(*keys).agg(F.max("chunk").alias("last"))
-    seen = Window.partitionBy(*keys, "cents").orderBy("chunk")
-    upto = counts.join(last, keys).select(*keys, "cents", F.sum("n").over(seen).alias("times"), (F.col("chunk") + 1).alias("from"), F.coalesce(F.lead("chunk").over(seen), F.col("last")).alias("to"))
-    upto = upto.where(F.col("from") <= F.col("to")).select(*keys, F.explode(F.sequence("from", "to")).alias("chunk"), "cents", "times")
-    none = lambda kind: F.lit(None).cast(kind)
-    parts = dealt.select(*keys, "chunk", "row", "day", "tie", "cents", none("long").alias("times")).unionByName(upto.select(*keys, "chunk", none("long").alias("row"), none("date").alias("day"), none("string").alias("tie"), "cents", "times"))
-    found = parts.groupBy(*keys, "chunk").applyInPandas(_judged, "row long, prior_count long, middle long, mad long, lower long, upper long")
+    group = ["h1", "h2"]
+    narrow = held.select(F.xxhash64(F.lit(1), *keys).alias("h1"), F.xxhash64(F.lit(2), *keys).alias("h2"), "row", F.col(day).alias("day"), F.col(tie).cast("string").alias("tie"), (F.col(value) * 100).cast("long").alias("cents"))
+    hot = stage(narrow.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows).drop("n"), "hot-keys")
+    parts = narrow.withColumn("chunk", F.lit(0)).withColumn("times", F.lit(1).cast("long"))
+    if not hot.isEmpty():
+        days = narrow.join(hot, group, "left_semi").groupBy(*group, "day").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy(*group).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+        days = days.withColumn("before", before).select(*group, "day", "n", F.floor(F.col("before") / chunk_rows).alias("part"))
+        days = stage(days.select(*group, "day", "n", (F.dense_rank().over(Window.partitionBy(*group).orderBy("part")) - 1).alias("chunk")), "days")
+        parts = parts.drop("chunk").join(days.select(*group, "day", "chunk"), [*group, "day"], "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)))
+        seeds = _seeds(narrow, days, hot).select(*group, "chunk", F.lit(-1).cast("long").alias("row"), F.lit(None).cast("date").alias("day"), F.lit(None).cast("string").alias("tie"), "cents", "times")
+        parts = parts.select(seeds.columns).unionByName(seeds)
+    dealt = parts.repartition(*group, "chunk").sortWithinPartitions(*group, "chunk", F.col("row") >= 0, "day", "tie").select(*group, "chunk", "row", "cents", "times")
+    found = dealt.mapInArrow(_judged, "row long, prior_count long, middle long, mad long, lower long, upper long")
     money = lambda c: (F.col(c).cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(TOTAL)
     return held.join(found, "row").select(*rows.columns, "prior_count", money("middle").alias("baseline"), money("mad").alias("mad"), money("lower").alias("lower_quartile"), money("upper").alias("upper_quartile"))
 
