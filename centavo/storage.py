@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _KNOWN: dict[tuple[str, str], tuple[str, object]] = {}
@@ -44,13 +45,46 @@ def delete(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
-def rename(spark: SparkSession, source: str, target: str) -> None:
-    """Replaces target by source; one file or folder, so that readers see the old or the new state."""
-    store, at = _at(spark, source)
-    _, to = _at(spark, target)
-    store.delete(to, True)
-    if not store.rename(at, to):
-        raise OSError(f"{source} could not become {target}")
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, in order; of none, an empty list."""
+    store, at = _at(spark, path)
+    return sorted(x.getPath().getName() for x in store.listStatus(at)) if store.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    store, at = _at(spark, path)
+    stream = store.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file with its whole content, unless there is one of that name: of several callers one succeeds, and readers see all of it or nothing.
+
+    The content is written beside it and then linked (local disk) or renamed without overwriting (any store whose rename is atomic)."""
+    store, at = _at(spark, path)
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+    sink = store.create(fresh, False)
+    sink.write(bytearray(text, "utf-8"))
+    sink.close()
+    try:
+        if store.getUri().getScheme() == "file":
+            local = lambda p: spark._jvm.java.nio.file.Paths.get(store.makeQualified(p).toUri())
+            spark._jvm.java.nio.file.Files.createLink(local(at), local(fresh))
+        else:
+            kind = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+            options = spark._sc._gateway.new_array(kind, 1)
+            options[0] = kind.NONE
+            spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(store.makeQualified(fresh), store.makeQualified(at), options)
+        return True
+    except Py4JJavaError as failed:
+        if "FileAlreadyExists" not in str(failed.java_exception):
+            raise
+        return False
+    finally:
+        store.delete(fresh, False)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

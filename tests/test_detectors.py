@@ -109,7 +109,7 @@ def test_refresh_by_generations(spark, table):
     assert {r["status"] for r in store.current("series", "CAD").collect()} == {"detected"}
     rows = merges.patch(store.current("series", "CAD"), store.current("series", "CAD").select("market_scope", "detector_fingerprint", F.lit("confirmed").alias("status")), ["status"])
     kept = spark.createDataFrame(rows.collect(), rows.schema)
-    store.write("series", 1, kept)
+    store.write("series", store.pointer(), kept)
     counts = {r["market_scope"]: r.asDict() for r in refresh.refresh(store, both, None, "2026-05-05").collect()}
     assert counts["CA"]["aggregate_count"] == 4 and set(counts) == {"ALL", "CA"}
     refresh.refresh(full, both, None, "2026-05-05", "full").collect()
@@ -117,8 +117,7 @@ def test_refresh_by_generations(spark, table):
     assert plain(store) == plain(full)
     assert {(r["status"], r["last_detected_generation"], r["first_date"]) for r in store.current("series", "CAD").collect()} == {("confirmed", 2, date(2026, 1, 1))}
     assert [(r["generation"], r["mode"], r["affected_periods"]) for r in store.runs().orderBy("generation").collect()] == [(1, "full", 3), (2, "incremental", 1)]
-    with pytest.raises(refresh.StaleRun):
-        store.publish(9, refresh.Settings(), 1, None)
+    assert {r["status"] for r in store.runs().collect()} == {"succeeded"}
     with pytest.raises(refresh.StaleRun):
         store.current("cube", "TZS")
 
