@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..functions import text as T
 from ..operators import categorize, ingest
-from ..sources import ofx, statement_files
+from ..sources import exports, intake, ofx, statement_files
 from ..storage import exists, new_path
 from .registry import BASE, _C
 
@@ -31,6 +32,8 @@ def _files(spark: SparkSession, sf_dir: str, kind: str, rows: DataFrame) -> str:
         store.create_dir(root, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if "/" in name:
+                    store.create_dir(f"{root}/{name.rpartition('/')[0]}", recursive=True)
                 with store.open_output_stream(f"{root}/{name}") as sink:
                     sink.write(content.encode())
             yield batch.select(["name"])
@@ -92,25 +95,77 @@ def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def _layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose columns have names of their own and amounts with a decimal comma."""
-    rows = _account_rows(spark, sf_dir)
-    size = F.translate(F.format_number(F.abs("amount_native"), 2), ",.", ".,")
+    """Files whose columns have names of their own and amounts with a decimal comma; some must be refused."""
+    rows, k = _account_rows(spark, sf_dir), F.col("k")
+    comma = lambda c: F.coalesce(F.translate(F.format_number(F.abs(c), 2), ",.", ".,"), F.lit(""))
     debit = (F.col("amount_native") >= 0) == (F.col("kind") == "credit_card")
-    line = F.concat_ws(";", F.date_format("booked_date", "yyyy-MM-dd"), "description_raw", F.when(debit, size).otherwise(""), F.when(~debit, size).otherwise(""))
-    per = rows.groupBy("account_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
-    return per.select(F.concat("account_id", F.lit(".txt")).alias("name"), F.concat(F.lit("Tag;Zweck;Soll;Haben\n"), "body").alias("content"))
+    both = (F.col("transaction_id") == F.min("transaction_id").over(_by_account())) & (k % 23 == 0)
+    rows = rows.withColumn("both", both).withColumn("debit", debit)
+    line = F.concat_ws(";", F.date_format("booked_date", "yyyy-MM-dd"), F.coalesce(F.date_format("posted_date", "yyyy-MM-dd"), F.lit("")), "description_raw", F.when(F.col("debit") | F.col("both"), comma("amount_native")).otherwise(""), F.when(~F.col("debit") | F.col("both"), comma("amount_native")).otherwise(""), F.when(k % 2 == 0, F.lower("currency_native")).otherwise(""), comma("original_amount"), _text(F.col("original_currency")), comma("fx_fee_amount_native"), F.when(F.col("is_fx_fee"), "yes").otherwise(""), "transaction_id")
+    per = rows.groupBy("account_id", "k").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body"))
+    return per.select(F.concat("account_id", F.lit(".txt")).alias("name"), F.concat(F.lit(";".join(_LAYOUT) + "\n"), "body").alias("content"), "k")
+
+
+_LAYOUT = {"Tag": "booked", "Wert": "posted", "Zweck": "description", "Soll": "debit", "Haben": "credit", "Geld": "currency", "Fremd": "original_amount", "Land": "original_currency", "Preis": "fx_fee", "Eigen": "is_fx_fee", "Beleg": "reference"}
 
 
-def _by_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored(kinds: DataFrame) -> DataFrame:
+    """Layouts of all accounts but wallets: a first version with debit for credit, and the right one."""
+    fields = lambda swap: F.create_map(*[x for i, f in enumerate(_LAYOUT.values()) for x in (F.lit(f), F.lit({"debit": 4, "credit": 3}[f] if swap and f in ("debit", "credit") else i))])
+    print_ = statement_files.fingerprint(F.array(*[F.lit(x.lower()) for x in _LAYOUT]), "csv", F.col("kind"), F.col("currency")).alias("fingerprint")
+    some = kinds.where("kind != 'wallet'").select("kind", "currency").distinct()
+    return statement_files.save_layouts(some.select(print_, F.lit(1).alias("version"), fields(True).alias("fields")), some.select(print_, fields(False).alias("fields")))
+
+
+def _by_layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     kinds = _kinds(spark, sf_dir, ".txt")
-    rows = statement_files.read_rows(spark, _files(spark, sf_dir, "layout", _layout_rows(spark, sf_dir)))
-    names = F.array(*[F.lit(x) for x in ("tag", "zweck", "soll", "haben")])
-    fields = lambda **at: F.create_map(*[x for k, v in at.items() for x in (F.lit(k), F.lit(v))])
-    print_ = statement_files.fingerprint(names, "csv", F.col("kind"), F.col("currency")).alias("fingerprint")
-    layouts = kinds.where("kind != 'wallet'").select("kind", "currency").distinct()
-    wrong = layouts.select(print_, F.lit(1).alias("version"), fields(booked=0, description=1, debit=3, credit=2).alias("fields"))
-    stored = statement_files.save_layouts(wrong, layouts.select(print_, fields(booked=0, description=1, debit=2, credit=3).alias("fields")))
-    return statement_files.parse_with_layout(rows, stored, kinds).drop("row_no", "slash_order")
+    rows = statement_files.read_rows(spark, _files(spark, sf_dir, "layout", _layout_rows(spark, sf_dir).drop("k")))
+    return statement_files.parse_with_layout(rows, _stored(kinds), kinds)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One folder with statements in three forms, files of no known form and files of no account: which reader takes each, how it ends, and its postings."""
+    of = lambda rows, *rest: rows.withColumn("k", F.regexp_extract("name", r"(\d+)\.", 1).cast("int")).where((F.col("k") % 4).isin(*rest)).select("name", "content")
+    accounts = fixtures.view(spark, sf_dir, "d_account").select("account_id", F.substring("account_id", 2, 8).cast("int").alias("k"))
+    junk = accounts.where("k % 5 = 0").select(F.concat("account_id", F.lit(".pdf")).alias("name"), F.lit("%PDF-1.4").alias("content"))
+    nobody = accounts.where("k % 6 = 0").select(F.concat(F.lit("X"), "account_id", F.lit(".csv")).alias("name"), F.lit("Date,Description,Debit,Credit\n2001-01-02,x,1.00,\n").alias("content"))
+    files = of(_csv_rows(spark, sf_dir), 0, 1).unionByName(of(_layout_rows(spark, sf_dir), 2)).unionByName(of(_ofx_rows(spark, sf_dir), 3)).unionByName(junk).unionByName(nobody)
+    known = functools.reduce(DataFrame.unionByName, [_kinds(spark, sf_dir, x) for x in (".csv", ".txt", ".ofx", ".pdf")])
+    postings, told = intake.intake(spark, _files(spark, sf_dir, "mixed", files), known, _stored(known))
+    counts = postings.groupBy("file").agg(F.count("*").alias("n_postings"))
+    return told.join(counts, "file", "left").select("file", "reader", F.col("score").cast("decimal(4,2)").alias("score"), "outcome", "reason", F.coalesce("n_postings", F.lit(0)).alias("n_postings"))
+
+
+def _export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export of three sheets a card account; some contradict themselves."""
+    rows, k = _account_rows(spark, sf_dir).where("kind = 'credit_card'"), F.col("k")
+    first = F.col("transaction_id") == F.min("transaction_id").over(_by_account())
+    amount = F.abs("original_amount").cast("string")
+    foreign = F.when(F.col("original_amount").isNull(), "").when(k % 3 == 0, F.concat("original_currency", F.lit(" "), amount)).when((k % 3 == 1) & (F.col("original_currency") == "USD"), F.concat(F.lit("US$"), amount)).otherwise(F.concat(F.lit("$"), amount, F.lit(" "), F.lower("original_currency")))
+    other = F.when(k % 5 == 0, F.concat(F.lit(","), F.when((k % 3 == 0) & first, "another").otherwise(F.concat(F.upper("description_raw"), F.lit(" "))))).otherwise("")
+    line = F.concat(F.date_format("booked_date", "yyyy-MM-dd"), F.lit(","), "description_raw", other, F.lit(","), F.col("amount_native").cast("string"), F.lit(","), foreign, F.lit(","), _text(F.col("fx_fee_amount_native")), F.lit(","), "transaction_id")
+    per = rows.withColumn("line", line).groupBy("account_id", "k").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"), F.min("booked_date").alias("lo"), F.max("booked_date").alias("hi"))
+    day = lambda c: F.date_format(c, "d MMM yyyy")
+    digits = F.lpad(k.cast("string"), 5, "7")
+    cover = F.concat(F.lit("American Express Card / "), day("lo"), F.lit(" to "), day("hi"), F.lit("\nAccount Number,XXXX-XXXXXX-"), digits, F.lit("\n"))
+    sums = F.concat(F.lit("Last billed statement,,"), k.cast("string"), F.lit(".00\nSummary for this billed period,"), (k + 1).cast("string"), F.lit("\n"), F.when(k % 11 == 0, "Summary for this billed period,0.01\n").otherwise(""))
+    ref = F.when(k % 7 == 0, "0000").otherwise(F.right(digits, F.lit(4)))
+    details = F.concat(F.lit("Account Number\n\nXXXX "), ref, F.lit("\nDate,Description"), F.when(k % 5 == 0, ",Merchant").otherwise(""), F.lit(",Amount,Foreign Spend Amount,Commission,Reference\n"), "body", F.lit("\n"))
+    sheets = F.explode(F.map_from_arrays(F.array(*map(F.lit, ("cover", "transaction summary", "transaction details"))), F.array(cover, sums, details))).alias("sheet", "content")
+    return per.select("account_id", sheets).select(F.concat("account_id", F.lit("/"), "sheet", F.lit(".csv")).alias("name"), "content")
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.read_sheets(spark, _files(spark, sf_dir, "exports", _export_rows(spark, sf_dir)))
+
+
+def _exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return exports.parse(_sheets(spark, sf_dir), _kinds(spark, sf_dir, "").drop("currency"))
+
+
+def _agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sheets(spark, sf_dir)
+    return exports.agreed(exports.facts(rows, exports.detail_sheets(rows)))
 
 
 def _ofx_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +294,13 @@ QUERIES = {
     "inf_period": lambda s, d: _parsed(s, d)[1].drop("header_row"),
     "inf_columns": lambda s, d: _parsed(s, d)[2],
     "inf_header": lambda s, d: statement_files.headers(_csv(s, d)),
-    "src_layout_mapped": _by_layout,
+    "src_layout_mapped": lambda s, d: _by_layout(s, d)[0].drop("row_no", "slash_order"),
+    "val_layout": lambda s, d: _by_layout(s, d)[1],
+    "inf_adapter_pick": _mixed,
+    "inf_consistent": _agreed,
+    "inf_equiv_columns": lambda s, d: _exports(s, d)[2],
+    "fn_foreign_spend": lambda s, d: _exports(s, d)[0].select("file", "booked_date", "description_raw", "amount_native", "original_amount", "original_currency", "external_ref"),
+    "src_card_export": lambda s, d: _exports(s, d)[1],
     "src_ofx": lambda s, d: _ofx(s, d)[0].drop("row_no"),
     "val_ofx": lambda s, d: _ofx(s, d)[2],
     "fn_redact": lambda s, d: _csv(s, d).select("file", F.explode("cells").alias("cell")).groupBy("file", T.redacted(F.col("cell")).alias("shape")).agg(F.count("*").alias("n")).where("shape = 'USD' or shape = '<number:negative:2 decimals>'"),
@@ -265,6 +326,8 @@ _K = "cast(substr(account_id, 2) as int)"
 _FILES = _C("d_txn") + f""", f as (select t.*, a.kind, {_K} as k, a.kind = 'credit_card' as card, a.kind = 'credit_card' and {_K} % 2 = 0 as one from d_txn t join d_account a using (account_id)),
 per as (select account_id, any_value(k) as k, any_value(one) as one, any_value(currency_native) as currency, min(booked_date) as lo, max(booked_date) as hi, count_if(day(booked_date) > 12 or day(posted_date) > 12) as clear from f group by 1),
 bad as (select account_id, case when k % 29 = 0 then 'no header' when k % 19 = 0 then 'ambiguous description' when k % 4 = 1 and clear = 0 then 'unresolved slash dates' when k % 23 = 0 and not one then 'debit and credit on a row' end as reason from per)"""
+_EXPORTS = _FILES + """, x as (select account_id, any_value(f.k) as k, min(booked_date) as lo, max(booked_date) as hi, lpad(cast(any_value(f.k) as varchar), 5, '7') as digits,
+ case when any_value(f.k) % 15 = 0 then 'conflicting description columns' when any_value(f.k) % 7 = 0 and right(lpad(cast(any_value(f.k) as varchar), 5, '7'), 4) <> '0000' then 'conflicting account' when any_value(f.k) % 11 = 0 then 'conflicting closing balance' end as why from f where card group by 1)"""
 _KEY = r"""coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(description_raw), '\b(?:ref|reference|txn)(?:\s*[#:]|\s+)[a-z0-9-]+\b', ' ', 'g'), '\d{2,}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ''), 'unknown')"""
 
 
@@ -304,7 +367,20 @@ ORACLES = {
     "inf_period": _FILES + """ select per.account_id || '.csv' as file, lo as period_start, hi as period_end, cast(k as decimal(14,2)) as opening_balance, cast(k + 1 as decimal(14,2)) as closing_balance, currency, '••••' || right(lpad(cast(k as varchar), 9, '7'), 4) as account_ref_masked, case when k % 4 = 1 then 'dmy' end as slash_order from per join bad using (account_id) where reason is null""",
     "inf_columns": _FILES + " select account_id || '.csv' as file, reason from bad where reason is not null",
     "inf_header": _FILES + " select account_id || '.csv' as file, case when k % 29 <> 0 then 5 end as header_row from per",
-    "src_layout_mapped": _FILES + " select account_id || '.txt' as file, booked_date, description_raw, amount_native, case when card then case when amount_native >= 0 then 'debit' else 'credit' end when amount_native < 0 then 'debit' else 'credit' end as direction, 'comma' as separator from f where kind <> 'wallet'",
+    "src_layout_mapped": _FILES + """ select account_id || '.txt' as file, booked_date, posted_date, description_raw, amount_native, currency_native, case when amount_native < 0 then -abs(original_amount) else abs(original_amount) end as original_amount, original_currency, case when not is_fx_fee then fx_fee_amount_native end as fx_fee_amount_native, is_fx_fee,
+ transaction_id as external_ref, case when is_fx_fee then 'fee' when card then case when amount_native >= 0 then 'debit' else 'credit' end when amount_native < 0 then 'debit' else 'credit' end as direction, 'comma' as separator from f where kind <> 'wallet' and k % 23 <> 0""",
+    "val_layout": _FILES + " select distinct account_id || '.txt' as file, 'debit and credit on a row' as reason from f where kind <> 'wallet' and k % 23 = 0",
+    "inf_adapter_pick": _FILES + """, n as (select account_id, count(*) as n from f group by 1), a as (select *, cast(substr(account_id, 2) as int) as k from d_account), o as (
+ select per.account_id || '.csv' as file, case when per.k % 29 <> 0 then 'separated' end as reader, case when per.k % 29 <> 0 then 0.88 else 0.15 end as score, case when per.k % 29 = 0 then 'no reader recognises it' else reason end as reason, n from per join bad using (account_id) join n using (account_id) where per.k % 4 in (0, 1)
+ union all select account_id || '.txt', case when kind <> 'wallet' then 'layout' end, case when kind <> 'wallet' then 0.6 else 0 end, case when kind = 'wallet' then 'no reader recognises it' when k % 23 = 0 then 'debit and credit on a row' end, n from a join n using (account_id) where k % 4 = 2
+ union all select account_id || '.ofx', 'ofx', 0.99, case when k % 13 = 0 then 'investment statement' when k % 17 = 0 and n > 1 then 'repeated transaction id' end, n from a join n using (account_id) where k % 4 = 3
+ union all select account_id || '.pdf', null, 0, 'no reader recognises it', 0 from a where k % 5 = 0 union all select 'X' || account_id || '.csv', null, 0.88, 'no account', 0 from a where k % 6 = 0)
+select file, reader, cast(score as decimal(4,2)) as score, case when reader is null then 'unsupported' when reason is null then 'accepted' else 'refused' end as outcome, reason, case when reason is null then n else 0 end as n_postings from o""",
+    "inf_consistent": _EXPORTS + """ select account_id as file, unnest(['period start', 'period end', 'account', 'opening balance', 'closing balance']) as field, unnest([cast(lo as varchar), cast(hi as varchar), digits, k || '.00', case when k % 11 = 0 then '0.01' else (k + 1) || '.00' end]) as value,
+ unnest([false, false, k % 7 = 0 and right(digits, 4) <> '0000', false, k % 11 = 0]) as conflict from x""",
+    "inf_equiv_columns": _EXPORTS + " select account_id as file, why as reason from x where why is not null",
+    "fn_foreign_spend": _EXPORTS + " select f.account_id as file, booked_date, description_raw, amount_native, case when amount_native < 0 then -abs(original_amount) else abs(original_amount) end as original_amount, original_currency, transaction_id as external_ref from f join x using (account_id) where why is null",
+    "src_card_export": _EXPORTS + " select account_id as file, lo as period_start, hi as period_end, cast(k as decimal(14,2)) as opening_balance, cast(k + 1 as decimal(14,2)) as closing_balance, '••••' || digits as account_ref_masked from x where why is null",
     "src_ofx": _FILES + """, ob as (select account_id, case when k % 13 = 0 then 'investment statement' when k % 17 = 0 and (select count(*) from f where f.account_id = per.account_id) > 1 then 'repeated transaction id' end as why from per)
 select account_id || '.ofx' as file, booked_date, description_raw || case when k % 3 = 0 then '' else ' — A & B' end as description_raw, amount_native, currency_native, case when k % 17 = 0 then 'same' else transaction_id end as external_ref, case direction when 'fee' then 'FEE' when 'payment' then 'PAYMENT' else 'OTHER' end as ofx_transaction_type,
  case when direction = 'fee' then 'fee' when direction = 'payment' and card then 'payment' when card and amount_native < 0 then 'refund' when amount_native > 0 and not card then 'credit' else 'debit' end as direction from f join ob using (account_id) where why is null""",

@@ -51,6 +51,13 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in store.listStatus(at)) if store.exists(at) else []
 
 
+def empty_files(spark: SparkSession, path: str, parts: int = 1) -> list[str]:
+    """Files without content in a folder or under a pattern, by the last parts of their paths. File sources leave them out without a word."""
+    store, at = _at(spark, path)
+    found = store.listStatus(at) if "*" not in path and store.exists(at) else store.globStatus(at) or []
+    return ["/".join(x.getPath().toString().split("/")[-parts:]) for x in found if x.isFile() and x.getLen() == 0 and x.getPath().getName()[0] not in "._"]
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     store, at = _at(spark, path)
     stream = store.open(at)
