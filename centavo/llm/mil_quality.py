@@ -150,7 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
 
     usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out("doc_id", 3, 1)).groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality long, x binary").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "quality", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "quality", "text")  # equal rows of an id count once
+    seen = texts.mapInArrow(run, "doc_id long, quality long, x binary")
+    rows = seen.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(sample_docs).collect()  # an id may have many texts
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
