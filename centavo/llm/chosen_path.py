@@ -368,9 +368,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         best = ends.groupBy("a").agg(F.max(F.struct("est", "o")).alias("m")).select(F.least("a", "m.o").alias("a"), F.greatest("a", "m.o").alias("b")).distinct()
         links = held(verify(held(best, "best"), texts, k, percent), "links")
         comps = components(links, held)
+        def joined(more: DataFrame) -> None:
+            """Confirmed links, and the components with them; the earlier ones are released."""
+            nonlocal links, comps
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                old, comps = comps, components(links, held)
+                held.drop(old)
+
         rest = held(_across(cand, comps), "rest")
-        links = links.unionByName(held(verify(rest, texts, k, percent), "links"))
-        comps = components(links, held)
+        if not rest.isEmpty():
+            joined(held(verify(rest, texts, k, percent), "links"))
 
         rows, deeper = held(_with_components(large, comps, "id", "comp"), "level1"), []
         for level in range(1, DEPTH + 1):
@@ -384,18 +392,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             if rows.isEmpty():
                 break
         more = held(functools.reduce(DataFrame.unionByName, deeper).groupBy("a", "b", "x", "top", "node").agg(F.max("est").alias("est")), "deeper")
-        links = links.unionByName(held(verify(held(more.select("a", "b").distinct(), "more"), texts, k, percent), "links"))
-        comps = components(links, held)
+        if not more.isEmpty():
+            joined(held(verify(held(more.select("a", "b").distinct(), "more"), texts, k, percent), "links"))
         ask = _with_components(_with_components(more.where("top is not null").select("x", "top").distinct(), comps, "top", "comp"), comps, "x", "own")
         ask = held(ask.where("own != comp").select("x", "comp").distinct(), "ask")
-        links = links.unionByName(held(_against_components(ask, comps, narrow, texts, k, percent), "links"))
-        comps = components(links, held)
+        if not ask.isEmpty():
+            joined(held(_against_components(ask, comps, narrow, texts, k, percent), "links"))
         ask = _with_components(more.where("node is not null").select(F.col("x").alias("id"), "node").distinct(), comps, "id", "own")
         ask = ask.join(ask.groupBy("node").agg(F.min("id").alias("first"), F.min("own").alias("c0"), F.max("own").alias("c1")).where("c0 != c1").select("node", "first"), "node")
         ask = held(ask.select("id", "own", "first").distinct(), "ask")
-        sets = components(ask.select(F.col("id").alias("a"), F.col("first").alias("b")), held).select("id", F.col("component").alias("set_id"))
-        links = links.unionByName(held(_within_groups(ask.select("id", "own").distinct().join(sets, "id"), narrow, texts, k, percent), "links"))
-        comps = held.keep(components(links, held))
+        if not ask.isEmpty():
+            sets = components(ask.select(F.col("id").alias("a"), F.col("first").alias("b")), held).select("id", F.col("component").alias("set_id"))
+            joined(held(_within_groups(ask.select("id", "own").distinct().join(sets, "id"), narrow, texts, k, percent), "links"))
+        comps = held.keep(comps)
 
     by_class = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = known.select("id", "n_shingles", "digest").join(by_class, "digest", "left")
