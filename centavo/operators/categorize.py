@@ -153,8 +153,8 @@ def review_proposals(txn: DataFrame, mappings: DataFrame, proposals: DataFrame,
     kept = mappings.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh.select(*mappings.columns))
     status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("accept"), "accepted").when(~F.col("accept"), "rejected").otherwise(F.col("status"))
     after = judged.withColumn("status", status).select(*proposals.columns)
-    free = txn.where("category_source != 'user_transaction'")
-    return learned_category(free, fresh, all_categories).unionByName(txn.where("category_source = 'user_transaction'")), kept, after, all_categories
+    chosen = F.col("category_source").eqNullSafe("user_transaction")
+    return learned_category(txn.where(~chosen), fresh, all_categories).unionByName(txn.where(chosen)), kept, after, all_categories
 
 
 def override(txn: DataFrame, mappings: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
