@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import TOTAL, month, percent_change, plain_description, total
+from ..storage import stage
 
 # --- postings ---------------------------------------------------------------------------------------------------------------
 
@@ -323,7 +324,7 @@ def run_spec(spec: dict, txn: DataFrame, as_of: str, watermark: object = None, *
         rows = rows.where(F.col("market_code") == market)
     if entity:
         rows = rows.where(F.col(f"{entity[0]}_id") == entity[1])
-    first = rows.agg(F.min("booked_date")).first()[0] if spec.get("date") == "all" else None
+    first = rows.agg(F.min("booked_date")).first()[0] if spec.get("date", "all") == "all" else None
     start, end = date_range(spec.get("date", "all"), as_of, first and first.isoformat())
     within = rows.where(F.col("booked_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     most, day = spec.get("limit", 20), F.lit(as_of).cast("date")
@@ -346,8 +347,23 @@ def run_spec(spec: dict, txn: DataFrame, as_of: str, watermark: object = None, *
                 found = found.where(F.col(column) == spec[key])
         return found.orderBy(*finding_order()).limit(most)
     if kind == "fx":
-        from .costs import fx_cost
+        from .costs import fx_cost, fx_cost_totals
 
-        return fx_cost(within, tables["rates"]).agg(F.count("*").alias("rows"), total(F.col("explicit_fee_base")).alias("explicit_fee_base"), total(F.col("estimated_markup_base")).alias("estimated_markup_base"), F.count_if("missing_rate").alias("missing"))
+        return fx_cost_totals(fx_cost(within, tables["rates"]))
     chosen = matching(within, direction=spec.get("direction"), search=spec.get("search"), valuation=spec.get("valuation"))
     return truncated(chosen, order(spec.get("sort", "date_desc")), most)
+
+
+class StaleRates(RuntimeError):
+    """Rates were fetched since what is published was valued."""
+
+
+def run_plan(specs: list[dict], txn: DataFrame, as_of: str, watermark: object = None, rates_at: object = None, published_rates_at: object = None, **tables: DataFrame) -> list[DataFrame]:
+    """One to three queries over one pinned snapshot: postings up to the watermark are written once and each query reads that table. A query of conversion costs
+    is refused when rates were fetched (rates_at) after those that the published generation knew (published_rates_at)."""
+    if not 1 <= len(specs) <= 3:
+        raise ValueError("a plan has one to three queries")
+    if rates_at is not None and any(s.get("dataset") == "fx" for s in specs) and (published_rates_at is None or rates_at > published_rates_at):
+        raise StaleRates("rates have changed since the published generation")
+    pinned = stage(txn if watermark is None else txn.where(F.col("updated_at") <= F.lit(watermark)), "pinned")
+    return [run_spec(s, pinned, as_of, None, **tables) for s in specs]

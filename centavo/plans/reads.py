@@ -83,6 +83,30 @@ def _spec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.run_spec(spec, _plain(spark, sf_dir), "1998-12-31", watermark="1998-11-30 00:00:00")
 
 
+def _occurrence_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("occurrences", F.array_join(F.transform("occurrences", lambda x: x["transaction_id"]), ","))
+
+
+def _one(spark: SparkSession, sf_dir: str, spec: dict, **tables: DataFrame) -> DataFrame:
+    return reads.run_spec(spec, _plain(spark, sf_dir), detectors.AS_OF, **tables)
+
+
+def _spec_recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = lambda name: fixtures.view(spark, sf_dir, name)
+    rows = _one(spark, sf_dir, {"dataset": "recurring", "date": _RANGE, "direction": "spend", "limit": 15}, series=_saved_series(spark, sf_dir), occurrences=series.occurrences(_series(spark, sf_dir)), accounts=view("d_account"), merchants=view("d_merchant"))
+    return _occurrence_ids(rows)
+
+
+def _spec_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three queries over one pinned snapshot: spending by month, the largest postings, conversion costs."""
+    year, market = ("1998-01-01", "1998-12-31"), {"market": "TZ"}
+    specs = [{"dataset": "aggregate", "date": year, "group_by": "month", "metrics": ["spending"], "limit": 12} | market, {"dataset": "transactions", "date": year, "sort": "amount_desc", "limit": 12} | market, {"dataset": "fx", "date": year} | market]
+    months, largest, costs = reads.run_plan(specs, _plain(spark, sf_dir), "1998-12-31", "1998-11-30 00:00:00", rates=fixtures.view(spark, sf_dir, "d_fx_rate"))
+    line = lambda n, key, value: [F.lit(n).alias("query"), key.alias("key"), value.cast("decimal(18,2)").alias("value")]
+    out = months.select(*line(1, F.col("dimension_id"), F.col("spending"))).unionByName(largest.select(*line(2, F.col("transaction_id"), F.col("amount_base"))))
+    return out.unionByName(costs.select(*line(3, F.coalesce("missing_currency", F.lit("all")), F.col("fx_cost_base"))))
+
+
 def _broken_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cube.monthly(postings(spark, sf_dir))
     m = F.month("period_start")
@@ -145,6 +169,12 @@ QUERIES = {
     "read_findings": _findings_page,
     "join_entity": _entities,
     "job_query_spec": _spec,
+    "spec_seasonality": lambda s, d: reads.run_spec({"dataset": "seasonality", "market": "TZ"}, transactions(s, d, "d_fx_rate_daily"), AS_OF),
+    "spec_recurring": _spec_recurring,
+    "spec_findings": lambda s, d: _one(s, d, {"dataset": "findings", "date": ("1999-01-01", "2001-06-15"), "market": "TZ", "status": "new", "limit": 30}, findings=_findings(s, d)).select("finding_type", "severity", "account_name", "merchant_name", "event_date", "detector_fingerprint"),
+    "spec_fx": lambda s, d: _one(s, d, {"dataset": "fx", "date": ("1997-01-01", "1998-12-31"), "market": "CA"}, rates=fixtures.view(s, d, "d_fx_rate")),
+    "spec_transactions": lambda s, d: _one(s, d, {"dataset": "transactions", "date": ("1998-01-01", "1998-12-31"), "market": "CA", "direction": "debit", "valuation": "valued", "sort": "amount_desc", "limit": 15}).select("transaction_id", "amount_base", "rank", "truncated"),
+    "spec_plan": _spec_plan,
     "val_cube": _broken_cube,
     "val_valuation": _wrong_values,
     "val_refs": _wrong_references,
@@ -199,6 +229,15 @@ cx as (select f.market_scope, f.finding_type, f.severity, f.detector_fingerprint
 con as (select cx.*, a.display_name as account_name, c.name as category_name, coalesce(m.canonical_name, sk) as merchant_name from cx left join d_account a on a.account_id = cx.account_id left join d_category c on c.category_id = cx.category_id left join d_merchant m on m.merchant_id = cx.merchant_id)"""
 _ASKED = """asked(kind, term, market) as (values ('account', 'customer#000000001', 'ALL'), ('account', 'CUSTOMER#000000003', 'CA'), ('account', 'Customer#000000001', 'CA'), ('merchant', 'supplier#00000000', 'ALL'), ('category', 'category 7', 'ALL'), ('category', 'the category 1 please', 'ALL'))"""
 
+
+
+def _fx_where(condition: str, columns: str) -> str:
+    """SQL for the totals of conversion costs of some postings."""
+    rows = registry.ORACLES["agg_fx_cost"].replace("from txn t where original_amount", f"from txn t where {condition} and (original_amount").replace("or fx_rate is null),", "or fx_rate is null)),")
+    sums = "count(*) as rows, count_if(missing_rate) as missing, cast(coalesce(sum(explicit_fee_base), 0) as decimal(18,2)) as explicit_fee_base, cast(coalesce(sum(estimated_markup_base), 0) as decimal(18,2)) as estimated_markup_base, cast(coalesce(sum(coalesce(explicit_fee_base, 0) + coalesce(estimated_markup_base, 0)), 0) as decimal(18,2)) as fx_cost_base"
+    return f"select {columns} from (with q as ({rows}) select null as missing_currency, {sums} from q union all select missing_currency, {sums} from q where missing_rate group by 1)"
+
+
 ORACLES = {
     "win_running_native": _OPEN + " select transaction_id, account_id, running_native from led2",
     "win_running_base": _OPEN + " select transaction_id, account_id, running_base from led2",
@@ -240,6 +279,15 @@ r as (select *, min(tier) over (partition by kind, term, market) as best from t
 k as (select *, cast(row_number() over (partition by kind, term, market order by label, id) as int) as rank from r where tier = best)
 select kind, term, market, rank, id, label, choice, tier <= 2 as exact, tier = 3 as matched_outside from k where rank <= 5""",
     "job_query_spec": _NAMED + ", pin as (select * from nm where updated_at <= timestamp '1998-11-30' and market_code = 'TZ')" + _compared("pin", "coalesce(category_id, 'uncategorized')", "coalesce(category_name, 'Uncategorized')", "cast(booked_date + interval 1 year as date)", ("1998-01-01", "1998-12-31"), ("1997-01-01", "1997-12-31"), ("spending", "transaction_count")) + " order by abs(spending - previous_spending) desc, dimension_label, dimension_id limit 10",
+    "spec_seasonality": "select * from (" + registry.ORACLES["agg_seasonality"] + ") where market_scope = 'TZ'",
+    "spec_fx": _fx_where("market_code = 'CA' and booked_date between date '1997-01-01' and date '1998-12-31'", "rows, missing, explicit_fee_base, estimated_markup_base, fx_cost_base, missing_currency"),
+    "spec_transactions": _TXN + """, r as (select transaction_id, amount_base, cast(row_number() over (order by abs(amount_base) desc nulls last, coalesce(posted_date, booked_date) desc, booked_date desc, transaction_id desc) as int) as rank from txn where market_code = 'CA' and direction = 'debit' and amount_base is not null and booked_date between date '1998-01-01' and date '1998-12-31')
+select *, (select count(*) from r) > 15 as truncated from r where rank <= 15""",
+    "spec_plan": f"""with a as (select query, key, value from ({_fx_where("market_code = 'TZ' and updated_at <= timestamp '1998-11-30' and booked_date between date '1998-01-01' and date '1998-12-31'", "3 as query, coalesce(missing_currency, 'all') as key, cast(fx_cost_base as decimal(18,2)) as value")})),
+b as ({_TXN}, p as (select * from txn where market_code = 'TZ' and updated_at <= timestamp '1998-11-30' and booked_date between date '1998-01-01' and date '1998-12-31')
+ select 2 as query, transaction_id as key, cast(amount_base as decimal(18,2)) as value from (select * from p order by abs(amount_base) desc nulls last, coalesce(posted_date, booked_date) desc, booked_date desc, transaction_id desc limit 12)
+ union all select 1, cast(cast(date_trunc('month', booked_date) as date) as varchar), cast(coalesce(sum({_SPENT}), 0) as decimal(18,2)) from p group by 2)
+select * from a union all select * from b""",
     "val_cube": POSTING + _CUBE + """, b as (select market_scope, dimension_type, case when month(period_start) = 5 and dimension_type = 'total' then 'x' else dimension_key end as dimension_key, case when month(period_start) = 7 then period_start + 2 else period_start end as period_start, transaction_count, valued_count, pending_count as real,
  pending_count + case when month(period_start) = 3 then 1 else 0 end as pending_count, coverage_status, inflow, outflow, net + case when month(period_start) = 4 then 1 else 0 end as net from monthly)
 select market_scope, dimension_type, dimension_key, period_start, unnest(list_filter([case when period_start <> date_trunc('month', period_start) then 'first_of_month' end, case when valued_count + pending_count <> transaction_count then 'counts' end, case when (coverage_status = 'partial') <> (pending_count > 0) then 'coverage' end,
@@ -263,3 +311,6 @@ select category_id, unnest(list_filter([case when parent_id = category_id then '
     "val_identity_change": _C("d_txn") + """, n as (select account_id, kind as old_kind, native_currency as old_currency, case when cast(substr(account_id, 2) as int) % 7 = 0 then 'wallet' else kind end as kind, case when cast(substr(account_id, 2) as int) % 11 = 0 then 'EUR' else native_currency end as native_currency from d_account)
 select * from n where (kind <> old_kind or native_currency <> old_currency) and exists (select 1 from d_txn t where t.account_id = n.account_id)""",
 }
+
+ORACLES["spec_recurring"] = f"select * from ({ORACLES['read_recurring']}) where flow_type = 'spend' order by case status when 'detected' then 0 when 'confirmed' then 1 when 'cancelled' then 2 else 3 end, overdue desc, expected_next_date, detector_fingerprint limit 15"
+ORACLES["spec_findings"] = ORACLES["read_findings"].replace("select finding_type, status, severity, account_name, category_name, merchant_name, event_date, detector_fingerprint, (select count(*) from st) as total from st order", "select finding_type, severity, account_name, merchant_name, event_date, detector_fingerprint from st where status = 'new' order").replace("limit 50", "limit 30")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions.money import dedup_hash, flow, month, total
-from ..operators import cube, detect, fx, statements
+from ..operators import costs, cube, detect, fx, statements
 
 BASE, AS_OF = "CAD", "1998-11-15"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "agg_utilization": _utilization,
     "agg_net_worth": lambda s, d: statements.net_worth(_positions(s, d), fixtures.view(s, d, "d_fx_rate"), BASE, "1998-08-05"),
     "agg_balance": lambda s, d: statements.daily_balance(transactions(s, d)),
+    "agg_fx_cost_totals": lambda s, d: costs.fx_cost_totals(_fx_cost(s, d)),
     "agg_fx_cost": _fx_cost,
     "set_fx_requirements": _needed,
     "join_missing_fx": lambda s, d: fx.missing(_needed(s, d), fixtures.view(s, d, "d_fx_rate")),
@@ -252,7 +253,7 @@ w as (select booked_date, delta, cast(sum(delta) over o as decimal(18,2)) as bal
  case when is_fx_fee then abs(amount_native) else coalesce(fx_fee_amount_native, 0) end as fee, currency_native, fx_rate from txn t where original_amount is not null or fx_fee_amount_native is not null or is_fx_fee or fx_rate is null),
 m as (select e.*, r.rate, r.as_of from e asof left join d_fx_rate r on e.fc = r.base and e.booked_date >= r.as_of and e.currency_native = r.quote),
 v as (select *, case when fc is null then null when fc = currency_native then cast(1 as decimal(18,8)) when booked_date - as_of <= 7 then rate end as market_rate from m)
-select transaction_id, f as foreign_amount, market_rate, cast(fee as decimal(14,2)) as explicit_fee_native, cast(round(c - f * market_rate, 2) as decimal(18,2)) as estimated_markup_native,
+select transaction_id, f as foreign_amount, market_rate, cast(round(c / nullif(f, 0), 8) as decimal(24,8)) as bank_rate, cast(round((cast(c as double) / nullif(f * market_rate, 0) - 1) * 100, 4) as decimal(18,4)) as markup_percent, case when fx_rate is null or (f is not null and market_rate is null) then coalesce(fc, currency_native) end as missing_currency, cast(fee as decimal(14,2)) as explicit_fee_native, cast(round(c - f * market_rate, 2) as decimal(18,2)) as estimated_markup_native,
  cast(round(fee * fx_rate, 2) as decimal(18,2)) as explicit_fee_base, cast(round(round(c - f * market_rate, 2) * fx_rate, 2) as decimal(18,2)) as estimated_markup_base, fx_rate is null or (f is not null and market_rate is null) as missing_rate from v""",
     "set_fx_requirements": _NEEDED + " select * from needed",
     "join_missing_fx": _NEEDED + " select * from missing",
@@ -271,3 +272,7 @@ select a.account_id, a.merchant_key, a.currency_native, a.amount as amount_nativ
     "job_affected_periods": _C("d_account", "d_txn") + " select distinct cast(date_trunc('month', booked_date) as date) as period_start from d_txn where updated_at > timestamp '1998-06-10'",
     "srt_page": _TXN + " select transaction_id, booked_date, amount_base from txn where contains(description_raw, 'supplier 1') and flow_type = 'spend' order by abs(amount_base) desc nulls last, booked_date desc, transaction_id limit 50 offset 20",
 }
+
+ORACLES["agg_fx_cost_totals"] = f"""with q as ({ORACLES['agg_fx_cost']}), s as (select *, coalesce(explicit_fee_base, 0) + coalesce(estimated_markup_base, 0) as cost from q)
+select missing_currency, count(*) as rows, count_if(missing_rate) as missing, cast(coalesce(sum(explicit_fee_base), 0) as decimal(18,2)) as explicit_fee_base, cast(coalesce(sum(estimated_markup_base), 0) as decimal(18,2)) as estimated_markup_base, cast(sum(cost) as decimal(18,2)) as fx_cost_base
+ from s group by grouping sets ((), (missing_currency)) having grouping(missing_currency) = 1 or missing_currency is not null"""
