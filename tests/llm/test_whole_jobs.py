@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from centavo.llm import chosen_path, packing, pq_dedup
+from centavo.llm import chosen_path, mil_quality, packing, pq_dedup
 
 
 def test_links_of_a_hot_third_over_many_lists(spark, monkeypatch):
@@ -63,3 +63,14 @@ def test_pairs_just_over_the_bound_in_a_large_group(spark):
     assert sum(x >= 0.8 for line in share for x in line) == 1000  # a text with itself and with its partner
     got = {r["id"]: r["component"] for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()}
     assert got == {i: i // 2 * 2 for i in range(500)}
+
+
+def test_many_texts_of_one_labelled_id(spark, monkeypatch):
+    """The classifier's sample is bounded by rows: thousands of rows of a labelled id, equal and different, do not reach the driver."""
+    seen, train = [], mil_quality.train
+    monkeypatch.setattr(mil_quality, "train", lambda bags, labels: seen.append(len(bags)) or train(bags, labels))
+    hot = next(i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(hot, f"text number {i % 700} of many") for i in range(3000)] + [(i, f"plain words {i}") for i in range(60) if i != hot]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert mil_quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, 50) is not None
+    assert seen == [50]
