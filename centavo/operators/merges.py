@@ -83,3 +83,36 @@ def convert_series(series: DataFrame, rate: str, source: str, target: str, polic
     name = fingerprint(F.col("market_scope"), "recurring", F.col("merchant_key"), F.col("flow_type"), F.col("basis"), target, policy)
     changed = {"expected_amount": money("expected_amount"), "expected_amount_override": money("expected_amount_override"), "detector_fingerprint": F.when(moved, name).otherwise(F.col("detector_fingerprint")), "currency": F.when(moved, target).otherwise(F.col("currency"))}
     return series.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in series.columns], F.when(moved, F.col("detector_fingerprint")).alias("former_fingerprint"))
+
+
+def convert_occurrences(held: DataFrame, converted: DataFrame, rate: str, source: str, target: str) -> DataFrame:
+    """Occurrences follow their series' new fingerprints; amounts compared in the old base currency are converted. converted: what convert_series returned."""
+    moved = converted.where("former_fingerprint is not null").select("market_scope", F.col("former_fingerprint").alias("detector_fingerprint"), F.col("detector_fingerprint").alias("__now"))
+    rows = held.join(moved, SERIES_KEY, "left")
+    priced = F.col("__now").isNotNull() & (F.col("comparison_basis") == "base") & (F.col("comparison_currency") == source)
+    changed = {
+        "detector_fingerprint": F.coalesce("__now", "detector_fingerprint"),
+        "comparison_amount": F.when(priced, F.round(F.col("comparison_amount") * F.lit(rate).cast("decimal(18,8)"), 2)).otherwise(F.col("comparison_amount")).cast("decimal(14,2)"),
+        "comparison_currency": F.when(priced, target).otherwise(F.col("comparison_currency")),
+    }
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in held.columns])
+
+
+def convert_findings(held: DataFrame, converted: DataFrame, target: str, policy: str) -> DataFrame:
+    """Overdue findings of converted series keep their status under the new identity and name the new currency and policy; findings whose
+    meaning depends on the base currency are resolved, to be found anew. Other findings stay."""
+    from ..functions.money import fingerprint
+    from .findings import BASE_SENSITIVE
+
+    moved = converted.where("former_fingerprint is not null").select("market_scope", F.col("former_fingerprint").alias("series_fingerprint"), F.col("detector_fingerprint").alias("__now"))
+    rows = held.join(moved, ["market_scope", "series_fingerprint"], "left")
+    day = F.nullif(F.col("evidence")["expectedNextDate"], F.lit(""))
+    late = F.col("__now").isNotNull() & (F.col("finding_type") == "recurring_overdue") & day.isNotNull()
+    told = F.map_concat(F.map_filter("evidence", lambda k, _: ~k.isin("baseCurrency", "thresholdPolicyVersion")), F.create_map(F.lit("baseCurrency"), F.lit(target), F.lit("thresholdPolicyVersion"), F.lit(policy)))
+    changed = {
+        "series_fingerprint": F.coalesce("__now", "series_fingerprint"),
+        "detector_fingerprint": F.when(late, fingerprint(F.col("market_scope"), fingerprint("recurring_overdue", F.col("__now"), day))).otherwise(F.col("detector_fingerprint")),
+        "evidence": F.when(late, told).otherwise(F.col("evidence")),
+        "status": F.when(F.col("finding_type").isin(*BASE_SENSITIVE), "resolved").otherwise(F.col("status")),
+    }
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in held.columns])

@@ -60,9 +60,36 @@ def net_worth(held: DataFrame, rates: DataFrame, base_currency: str, as_of: str)
     return out.withColumn("is_partial", F.col("missing_fx") > 0)
 
 
-def daily_balance(txn: DataFrame) -> DataFrame:
-    """Cumulative base value by day over all accounts (cards negated), up to the first day with a pending row. Days are aggregated first: the unpartitioned window sees days only."""
-    signed = F.when(F.col("kind") == "credit_card", -F.col("amount_base")).otherwise(F.col("amount_base"))
-    days = txn.groupBy("booked_date").agg(total(signed).alias("delta"), F.count_if(F.col("amount_base").isNull()).alias("pending"))
-    w = Window.orderBy("booked_date").rowsBetween(Window.unboundedPreceding, 0)
-    return days.select("booked_date", "delta", F.sum("delta").over(w).cast(TOTAL).alias("balance"), F.sum("pending").over(w).alias("seen")).where("seen = 0").drop("seen")
+def openings(accounts: DataFrame, checked: DataFrame, rates: DataFrame, base_currency: str) -> DataFrame:
+    """A row an account: its first trusted opening in the base currency, by the rate of that statement's first day (null without either), and whether
+    that opening bears a balance: it is valued, and no statement with a balance fails to reconcile."""
+    from .fx import as_of_rate
+
+    opened = F.when(F.col("reconcile_status").isin(*_TRUSTED) & F.col("opening_balance").isNotNull(), F.struct("period_start", "statement_id", "opening_balance"))
+    wrong = (F.col("reconcile_status") == "mismatch") & (F.col("opening_balance").isNotNull() | F.col("closing_balance").isNotNull())
+    first = checked.groupBy("account_id").agg(F.min(opened).alias("first"), F.bool_or(F.coalesce(wrong, F.lit(False))).alias("wrong"))
+    rows = accounts.select("account_id", "kind", "native_currency").join(first, "account_id", "left")
+    rows = rows.select("account_id", "kind", "native_currency", "wrong", F.col("first.period_start").alias("day"), F.col("first.opening_balance").alias("opening"), F.lit(base_currency).alias("quote"))
+    valued = F.when(F.col("native_currency") == base_currency, F.col("opening")).otherwise(rounded(F.col("opening") * F.col("fx_rate"))).cast(TOTAL)
+    rows = as_of_rate(rows, rates, "native_currency", "quote", "day").withColumn("opening_base", valued)
+    return rows.select("account_id", "kind", "opening_base", (F.col("opening_base").isNotNull() & ~F.coalesce("wrong", F.lit(False))).alias("is_balance"))
+
+
+def balance_series(txn: DataFrame, opened: DataFrame, consolidated: bool = True) -> DataFrame:
+    """The balance in base currency at the end of each day with postings: openings plus all deltas so far, up to the day before the first pending posting.
+
+    One series over all accounts given (cards negated; account_id null), or one an account. basis is balance where every account of the series has an opening that bears it,
+    else net_activity. Postings become one row an account and day first; sums run over a series' months, then over a month's days, so that no task
+    sees more than the months of a series or the days of a month."""
+    signed = lambda c: F.when(F.col("kind") == "credit_card", -F.col(c)).otherwise(F.col(c)) if consolidated else F.col(c)
+    key = ["series"]
+    begin = opened.withColumn("series", F.lit("") if consolidated else F.col("account_id")).groupBy(*key).agg(total(signed("opening_base")).alias("opening"), F.when(F.bool_and("is_balance"), "balance").otherwise("net_activity").alias("basis"))
+    days = txn.groupBy("account_id", F.coalesce("posted_date", "booked_date").alias("day")).agg(F.sum("amount_base").alias("amount"), F.count_if(F.col("amount_base").isNull()).alias("pending"))
+    days = days.join(opened.select("account_id", "kind"), "account_id").withColumn("series", F.lit("") if consolidated else F.col("account_id"))
+    days = days.groupBy(*key, "day").agg(total(signed("amount")).alias("delta"), F.sum("pending").alias("pending")).withColumn("month", F.trunc("day", "month"))
+    earlier = Window.partitionBy(*key).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    months = days.groupBy(*key, "month").agg(F.sum("delta").alias("d"), F.sum("pending").alias("p"))
+    months = months.select(*key, "month", F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("carried"), F.coalesce(F.sum("p").over(earlier), F.lit(0)).alias("waiting")).where("waiting = 0")
+    within = Window.partitionBy(*key, "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    rows = days.withColumn("sofar", F.sum("delta").over(within)).withColumn("seen", F.sum("pending").over(within)).where("seen = 0").join(months, [*key, "month"]).join(begin, key)
+    return rows.select(F.nullif("series", F.lit("")).alias("account_id"), "day", "delta", (F.col("opening") + F.col("carried") + F.col("sofar")).cast(TOTAL).alias("balance"), "basis")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from .. import fixtures
 from ..functions.money import dedup_hash, flow, month, total
 from ..operators import costs, cube, detect, fx, statements
+from ..sources import changes
+from ..sources.tables import read_table
+from ..storage import once_path
 
 BASE, AS_OF = "CAD", "1998-11-15"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +52,30 @@ def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements.positions(fixtures.view(spark, sf_dir, "d_account"), _checked(spark, sf_dir), fixtures.view(spark, sf_dir, "d_txn"))
 
 
+def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources written with their times of change, as a platform keeps them, against a run of earlier marks. Accounts, categories and merchants change with the orders that touch them."""
+    view = lambda name: fixtures.view(spark, sf_dir, name)
+    orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    sold = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+    sources = {
+        "txn": view("d_txn").select("transaction_id", "updated_at"),
+        "statement": view("d_statement").select("statement_id", F.col("period_end").cast("timestamp").alias("updated_at")),
+        "account": orders.groupBy("o_custkey").agg(F.max("o_orderdate").cast("timestamp").alias("updated_at")),
+        "category": sold.groupBy((F.col("l_partkey") % 20).alias("category")).agg(F.max("o_orderdate").cast("timestamp").alias("updated_at")),
+        "merchant": sold.groupBy("l_suppkey").agg(F.max("o_orderdate").cast("timestamp").alias("updated_at")),
+    }
+    rates = view("d_fx_rate").withColumn("fetched_at", (F.col("as_of").cast("timestamp") + F.expr("interval 8 hours")))
+    at = once_path(spark, f"{sf_dir} sources", lambda root: [changes.write_source(df, f"{root}/{name}") for name, df in sources.items()] + [changes.write_source(rates, f"{root}/fx_rate", "fetched_at")])
+    marks = changes.watermarks(spark, {name: f"{at}/{name}" for name in sources}, f"{at}/fx_rate")
+    return changes.freshness(marks, datetime(1998, 12, 1), datetime(1998, 7, 1))
+
+
+def _balance(spark: SparkSession, sf_dir: str, consolidated: bool) -> DataFrame:
+    rates = fixtures.view(spark, sf_dir, "d_fx_rate_daily")
+    opened = statements.openings(fixtures.view(spark, sf_dir, "d_account"), _checked(spark, sf_dir), rates, BASE)
+    return statements.balance_series(transactions(spark, sf_dir, "d_fx_rate_daily"), opened, consolidated)
+
+
 def _needed(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = lambda name: fixtures.view(spark, sf_dir, name)
     return fx.requirements(view("d_txn"), view("d_statement"), BASE, view("d_account"), AS_OF, "TZS")
@@ -106,7 +134,7 @@ def _revalue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "agg_trends": _trends,
-    "src_watermark": lambda s, d: fixtures.view(s, d, "d_txn").agg(F.max("updated_at").alias("watermark"), F.count("*").alias("rows")),
+    "src_watermark": _freshness,
     "join_fx_asof": lambda s, d: transactions(s, d).select("transaction_id", "fx_rate", "fx_rate_date", "amount_base"),
     "join_star": lambda s, d: transactions(s, d).groupBy("kind", "market_code", "flow_type").agg(F.count("*").alias("n"), total(F.col("amount_native")).alias("native")),
     "agg_monthly": _monthly,
@@ -124,7 +152,8 @@ QUERIES: dict[str, Query] = {
     "agg_position": _positions,
     "agg_utilization": _utilization,
     "agg_net_worth": lambda s, d: statements.net_worth(_positions(s, d), fixtures.view(s, d, "d_fx_rate"), BASE, "1998-08-05"),
-    "agg_balance": lambda s, d: statements.daily_balance(transactions(s, d)),
+    "agg_balance": lambda s, d: _balance(s, d, True).drop("account_id"),
+    "agg_balance_accounts": lambda s, d: _balance(s, d, False),
     "agg_fx_cost_totals": lambda s, d: costs.fx_cost_totals(_fx_cost(s, d)),
     "agg_fx_cost": _fx_cost,
     "set_fx_requirements": _needed,
@@ -206,6 +235,13 @@ needed as (select distinct * from (select currency_native as base, 'CAD' as quot
  union all select currency, 'CAD', period_end from d_statement union all select original_currency, currency_native, booked_date from d_txn
  union all select native_currency, 'CAD', date '1998-11-15' from d_account union all select 'CAD', 'TZS', date '1998-11-15' from d_account) where base <> quote),
 missing as (select * from needed n where not exists (select 1 from d_fx_rate r where r.base = n.base and r.quote = n.quote and r.as_of <= n.day and n.day - r.as_of <= 7))"""
+_OPENED = _CHECKED + ", " + fixtures.ctes("d_fx_rate_daily") + ", x as (select t.*, a.kind from d_txn t join d_account a using (account_id))," + _VALUED.format(rates="d_fx_rate_daily") + """,
+fo as (select * from checked where reconcile_status in ('ok', 'gap', 'pending') and opening_balance is not null qualify row_number() over (partition by account_id order by period_start, statement_id) = 1),
+fa as (select a.account_id, a.kind, a.native_currency, fo.period_start, fo.opening_balance, exists (select 1 from checked c where c.account_id = a.account_id and c.reconcile_status = 'mismatch') as wrong from d_account a left join fo using (account_id)),
+opened as (select fa.*, case when native_currency = 'CAD' then opening_balance when period_start - as_of <= 7 then round(opening_balance * rate, 2) end as opening_base from fa asof left join d_fx_rate_daily r on fa.native_currency = r.base and fa.period_start >= r.as_of)"""
+_BALANCE = """(with b as (select {key} as series, coalesce(sum({sign} opening_base), 0) as opening, case when bool_and(opening_base is not null and not wrong) then 'balance' else 'net_activity' end as basis from opened group by 1),
+e as (select {key} as series, coalesce(posted_date, booked_date) as day, cast(coalesce(sum({sign} amount_base), 0) as decimal(18,2)) as delta, count(*) - count(amount_base) as p from txn group by 1, 2)
+select series, day, delta, cast(opening + sum(delta) over w as decimal(18,2)) as balance, basis from e join b using (series) window w as (partition by series order by day rows unbounded preceding) qualify sum(p) over w = 0)"""
 _PCT4 = "cast(case when {b} <> 0 then round_even(cast(({a} - {b}) * 100 as double) / abs({b}), 4) end as decimal(18,4))"
 _PCT = "cast(case when {b} <> 0 then round(({a} - {b}) * 100 / abs({b}), 2) end as decimal(18,2))"
 
@@ -214,7 +250,9 @@ ORACLES: dict[str, str] = {
 l as (select *, lag(spending) over w as b, lag(spending, 12) over w as y, list(spending) over (w rows between 2 preceding and current row) as s from m window w as (partition by market_scope order by period_start))
 select market_scope, period_start, inflow, outflow, spending, net, transaction_count, valued_count, pending_count, pending_fx_by_currency, coverage_status, cast(spending - b as decimal(18,2)) as change, {_PCT4.format(a='spending', b='b')} as change_percent,
 cast(spending - y as decimal(18,2)) as year_change, {_PCT4.format(a='spending', b='y')} as year_change_percent, {_mean('list_sum(s)', 'len(s)')} as trailing_mean, {_median('list_sort(s)')} as trailing_median from l""",
-    "src_watermark": _C("d_account", "d_txn") + " select max(updated_at) as watermark, count(*) as rows from d_txn",
+    "src_watermark": _C("d_account", "d_txn", "d_statement") + """, w as (select greatest((select max(updated_at) from d_txn), (select max(cast(period_end as timestamp)) from d_statement), (select max(o_orderdate) from orders)) as watermark,
+ (select max(o_orderdate) + interval 8 hour from orders where day(o_orderdate) not between 8 and 18) as fx_watermark)
+select watermark, fx_watermark, watermark > timestamp '1998-12-01' as source_changed, fx_watermark > timestamp '1998-07-01' as fx_rates_changed from w""",
     "join_fx_asof": _TXN + " select transaction_id, fx_rate, fx_rate_date, amount_base from txn",
     "join_star": _TXN + " select kind, market_code, flow_type, count(*) as n, cast(sum(amount_native) as decimal(18,2)) as native from txn group by all",
     "agg_monthly": _MONTHLY + " select * from monthly",
@@ -247,8 +285,8 @@ select *, cast(current - previous as decimal(18,2)) as change, {_PCT.format(a='c
     "agg_net_worth": _POSITION + f", {fixtures.ctes('d_fx_rate')}" + """, r as (select base, max_by(rate, as_of) as rate from d_fx_rate where as_of between date '1998-08-05' - 7 and date '1998-08-05' group by 1),
 v as (select case when kind = 'credit_card' then -1 else 1 end * round(current_balance * case when native_currency = 'CAD' then 1.00000000::decimal(18,8) else rate end, 2) as value from positions left join r on r.base = native_currency)
 select cast(coalesce(sum(case when value > 0 then value end), 0) as decimal(18,2)) as assets, cast(coalesce(sum(case when value < 0 then -value end), 0) as decimal(18,2)) as liabilities, cast(coalesce(sum(value), 0) as decimal(18,2)) as net_worth, count(*) - count(value) as missing_fx, count(*) > count(value) as is_partial from v""",
-    "agg_balance": _TXN + """, d as (select booked_date, cast(coalesce(sum(case when kind = 'credit_card' then -amount_base else amount_base end), 0) as decimal(18,2)) as delta, count(*) - count(amount_base) as p from txn group by 1),
-w as (select booked_date, delta, cast(sum(delta) over o as decimal(18,2)) as balance, sum(p) over o as seen from d window o as (order by booked_date rows unbounded preceding)) select booked_date, delta, balance from w where seen = 0""",
+    "agg_balance": _OPENED + " select day, delta, balance, basis from " + _BALANCE.format(sign="case when kind = 'credit_card' then -1 else 1 end *", key="''"),
+    "agg_balance_accounts": _OPENED + " select series as account_id, day, delta, balance, basis from " + _BALANCE.format(sign="", key="account_id"),
     "agg_fx_cost": _TXN + """, e as (select t.transaction_id, t.booked_date, abs(original_amount) as f, original_currency as fc, greatest(abs(amount_native) - coalesce(fx_fee_amount_native, 0), 0) as c,
  case when is_fx_fee then abs(amount_native) else coalesce(fx_fee_amount_native, 0) end as fee, currency_native, fx_rate from txn t where original_amount is not null or fx_fee_amount_native is not null or is_fx_fee or fx_rate is null),
 m as (select e.*, r.rate, r.as_of from e asof left join d_fx_rate r on e.fc = r.base and e.booked_date >= r.as_of and e.currency_native = r.quote),

@@ -112,3 +112,13 @@ def once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> Data
         _KNOWN[key] = (path, df.schema)
     path, schema = _KNOWN[key]
     return spark.read.schema(schema).parquet(path)
+
+
+def once_path(spark: SparkSession, name: str, write: Callable[[str], object]) -> str:
+    """A folder that is filled at its first use in an application."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _KNOWN or not exists(spark, _KNOWN[key][0]):
+        path = new_path(spark, "folder")
+        write(path)
+        _KNOWN[key] = (path, None)
+    return _KNOWN[key][0]
