@@ -287,12 +287,13 @@ def _links(good: DataFrame, n: int) -> DataFrame:
                 own = batch.column("own").to_numpy()
                 lists = reachable(unit(batch.column("x").to_pylist()), batch.column("list").to_numpy(), batch.column("radius").to_numpy(), model["coarse"], gaps, stats)
                 who, block = np.nonzero((lists.astype(np.float32) @ held_in > 0) & (np.arange(last + 1) >= own[:, None]))
-                taken = [batch.column(c).take(pa.array(who)) for c in batch.schema.names]
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *taken], names=["block", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([batch.column("ball").take(pa.array(who)), pa.array(block, pa.int32()), pa.array(own[who] // QUERY_BLOCKS, pa.int32())], names=["ball", "block", "from"])
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema.fields)
-    asked = ready.mapInArrow(probe, "block int, " + kinds).withColumn("from", F.floor(F.col("own") / QUERY_BLOCKS).cast("int")).drop("list")
-    index = ready.withColumnRenamed("own", "block").withColumn("from", F.explode(F.sequence(F.lit(0), F.floor(F.col("block") / QUERY_BLOCKS).cast("int"))))
+    # Which blocks each leader asks, without vectors; an indexed block is copied for those query blocks alone that ask it.
+    asks = stage(ready.mapInArrow(probe, "ball long, block int, from int"), "asks")
+    asked = asks.join(ready.drop("list"), "ball")
+    index = ready.withColumnRenamed("own", "block").join(asks.select("block", "from").distinct(), "block")
+    index = index.toDF(*index.columns)  # names of its own: both sides come from the same tables
     found = stage(index.groupBy("block", "from").cogroup(asked.groupBy("block", "from")).applyInPandas(search(model), "kind long, a long, b long, n long"), "found")
     with Stages(spark) as held:
         size = leaders.select(F.col("ball").alias("b"), "size")
