@@ -5,9 +5,9 @@ assistant, the others as named users and system turns as system. Masks are the c
 what the assistant says: what a model is trained on.
 
 A long dialogue comes in parts of at most PART turns, and its texts are never gathered beyond a part; char_offset says where a part begins.
-It is summed over the parts' lengths alone, in two levels (BLOCK spans of turns, then blocks), so a task sees neither all texts nor all
-parts of a dialogue. Turns go by number, then role and text (null numbers first). Turns of PART successive numbers are ordered in one
-task; so are all turns without a number, the one case in which a task's rows grow with a dialogue.
+It is summed over the parts' lengths alone, in two levels (BLOCK spans of turns, then blocks). Texts move by conversation and span of turn numbers, never by
+conversation alone: that only ids do (a row for PART turns and participant). Turns go by number, then role and text (null numbers first). Turns of PART successive numbers
+are ordered in one task: of a span's numbers that repeat, and of turns without a number, a task sees all. These are the cases in which a task's texts grow with a dialogue.
 
 Null text: empty. Null role: the role unknown, like turns that say so. Null conversation: one of its own. Repeated rows are turns like others. Marks
 of the template within a text stay as they are: masks are by position, so they cannot be mistaken.
@@ -31,7 +31,8 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
     rows = rows.withColumn("sub", F.floor((F.row_number().over(order) - 1) / part))
     parts = rows.groupBy("conv_id", "span", "sub").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("said"))
     people = rows.where("role != 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
-    seen = parts.join(people.withColumnRenamed("conv_id", "__c"), F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
+    spans = rows.select("conv_id", "span").distinct()
+    seen = _null_safe(parts, _null_safe(spans, people, ["conv_id"]), ["conv_id", "span"])  # texts move by conversation and span, ids alone by conversation
     heads = F.transform("said", lambda s: F.concat(F.lit(START), _label(s["role"]), F.lit("\n")))
     seen = seen.withColumn("heads", heads)
     seen = seen.withColumn("rendered", F.concat_ws("", F.zip_with("heads", "said", lambda h, s: F.concat(h, s["text"], F.lit(STOP)))))
