@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from centavo.llm import chosen_path, mil_quality, packing, pq_dedup
+from centavo.llm import chat_views, chosen_path, hmm_lm, mil_quality, packing, pq_dedup
 
 
 def test_links_of_a_hot_third_over_many_lists(spark, monkeypatch):
@@ -74,3 +74,49 @@ def test_many_texts_of_one_labelled_id(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     assert mil_quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, 50) is not None
     assert seen == [50]
+
+
+def test_pieces_of_long_texts(spark, monkeypatch):
+    """The first fit draws from pieces that together are the texts; no piece is longer than the bound, whatever characters it holds."""
+    monkeypatch.setattr(hmm_lm, "PIECE_CHARS", 7)
+    texts = ["aé 𝄞\n b" * 9, "", None, "x" * 14, "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in hmm_lm.score(docs, modulus=2, remainder=5).collect()}
+    assert [got[i]["n_tokens"] for i in range(5)] == [len((t or "").split()) + 1 for t in texts]
+    pieces = hmm_lm.pieces(docs).orderBy("doc_id", "i").collect()
+    assert ["".join(p["text"] or "" for p in pieces if p["doc_id"] == i) for i in range(5)] == [t or "" for t in texts]
+    assert max(len(p["text"] or "") for p in pieces) == 7 and [sum(p["doc_id"] == i for p in pieces) for i in range(5)] == [9, 1, 1, 2, 1]
+
+
+def test_a_dialogue_of_repeated_numbers_and_one_without_an_id(spark):
+    """A third of all turns in one conversation without an id, of which many share a number or have none."""
+    turns = [(None, None if i % 5 == 0 else i // 3, ("user", "helper", "system", None)[i % 4], f"t{i}") for i in range(300)]
+    turns += [(c, i, ("user", "helper")[i % 2], f"c{c}-{i}") for c in range(60) for i in range(10)]
+    seen = chat_views.perspectives(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
+    for conv in (None, 0, 59):
+        mine = sorted(((-1 if t is None else t, r or "unknown", x) for c, t, r, x in turns if c == conv))
+        for who in {r for _, r, _ in mine} - {"system"}:
+            label = lambda r, who=who: "assistant" if r == who else "system" if r == "system" else f"user name={r}"
+            want = "".join(f"<|im_start|>{label(r)}\n{x}<|im_end|>\n" for _, r, x in mine)
+            parts = sorted((p for p in seen if p["conv_id"] == conv and p["perspective"] == who), key=lambda p: p["part"])
+            assert "".join(p["rendered"] for p in parts) == want and all(p["n_turns"] <= chat_views.PART for p in parts)
+            assert [want[p["char_offset"] + m["begin"] : p["char_offset"] + m["end"]] for p in parts for m in p["masks"]] == [x for _, r, x in mine if r == who]
+
+
+def test_indexed_blocks_are_copied_for_those_that_ask(spark, monkeypatch):
+    """Clusters far apart in small blocks: most pairs of blocks are never formed, and the links stay those of brute force."""
+    rng = np.random.default_rng(3)
+    centres = np.linalg.qr(rng.normal(size=(48, 48)))[0]
+    x = np.concatenate([c + 0.045 * rng.normal(size=(40, 48)) for c in centres])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    links = unit @ unit.T >= pq_dedup.LINK
+    np.fill_diagonal(links, False)
+    monkeypatch.setattr(pq_dedup, "SEARCH_ROWS", 32)
+    kept = {}
+    stage = pq_dedup.stage
+    monkeypatch.setattr(pq_dedup, "stage", lambda df, name: kept.setdefault(name, stage(df, name)))
+    got = {r["vec_id"]: r["n_links"] for r in pq_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(len(x))] == links.sum(axis=1).tolist() and 5_000 < links.sum() < 75_000
+    pairs = kept["asks"].select("block", "from").distinct().count()
+    blocks = kept["asks"].select("block").distinct().count()
+    assert blocks > 20 and pairs < blocks * (blocks / pq_dedup.QUERY_BLOCKS + 1) / 4
