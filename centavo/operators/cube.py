@@ -141,14 +141,21 @@ def seasonality(months: DataFrame, as_of: Column, least: int = 12) -> DataFrame:
 
 
 def movers(cube: DataFrame, as_of: Column, most: int = 20) -> DataFrame:
-    """Categories and merchants whose spending moved most between the two latest complete months; keys of either month count."""
+    """Categories and merchants whose spending moved most between the two latest complete months; keys of either month count, those that did not move do not."""
     complete = cube.where((F.col("dimension_type") == "total") & (F.col("market_scope") == "ALL") & (F.col("coverage_status") == "complete") & (F.col("period_start") < month(as_of)))
     months = complete.agg(F.array_sort(F.collect_set("period_start")).alias("m")).select(F.get("m", F.size("m") - 1).alias("now"), F.get("m", F.size("m") - 2).alias("then"))
     rows = cube.where((F.col("market_scope") == "ALL") & F.col("dimension_type").isin("category", "merchant")).crossJoin(F.broadcast(months))
     part = lambda which: total(F.when(F.col("period_start") == F.col(which), F.col("spending")))
     both = rows.where("period_start in (now, then)").groupBy("dimension_type", "dimension_key").agg(part("now").alias("current"), part("then").alias("previous"))
     both = both.withColumn("change", (F.col("current") - F.col("previous")).cast(TOTAL))
-    return both.orderBy(F.abs("change").desc(), "dimension_type", "dimension_key").limit(most)
+    return both.where("change != 0").orderBy(F.abs("change").desc(), "dimension_type", "dimension_key").limit(most)
+
+
+def movers_split(moved: DataFrame, each: int = 5) -> DataFrame:
+    """Of movers(), the largest rises and the largest falls, each by its own rank. The input is a top-k report, so one task ranks a few rows."""
+    side = F.when(F.col("change") > 0, "positive").when(F.col("change") < 0, "negative")
+    w = Window.partitionBy("side").orderBy(F.abs("change").desc(), "dimension_type", "dimension_key")
+    return moved.withColumn("side", side).where("side is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= each)
 
 
 def compare_years(txn: DataFrame, start: str, end: str) -> DataFrame:

@@ -60,6 +60,20 @@ def patch(rows: DataFrame, decisions: DataFrame, columns: list[str], keys: list[
     return rows.join(given, keys, "left").select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
+def review_findings(held: DataFrame, decisions: DataFrame, at: Column, generation: int) -> DataFrame:
+    """Users' decisions about findings of the published generation (market_scope, detector_fingerprint, status): confirming and dismissing note the time of
+    review, resolving the time of resolution, and any other status clears that one. Of several decisions about one finding the greatest status by name holds;
+    null and unknown statuses, and decisions about findings of other generations or unknown ones, change nothing."""
+    known = decisions.where(F.col("status").isin("new", "confirmed", "dismissed", "resolved")).groupBy(*SERIES_KEY).agg(F.max("status").alias("__to"))
+    rows = held.join(known, SERIES_KEY, "left").withColumn("__to", F.when(F.col("last_detected_generation") == generation, F.col("__to")))
+    changed = {
+        "status": F.coalesce("__to", "status"),
+        "reviewed_at": F.when(F.col("__to").isin("confirmed", "dismissed"), at).otherwise(F.col("reviewed_at")),
+        "resolved_at": F.when(F.col("__to") == "resolved", at).when(F.col("__to").isNull(), F.col("resolved_at")),
+    }
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in held.columns])
+
+
 def finding_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("market_scope").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("new", "confirmed", "dismissed", "resolved")])
 

@@ -177,6 +177,16 @@ def compare(txn: DataFrame, start: str, end: str, group_by: str = "total", metri
     return out
 
 
+def range_coverage(txn: DataFrame, start: str, end: str) -> DataFrame:
+    """What a comparison's figures of a range rest on, in one row: postings, valued and pending ones, and the pending ones by currency. Currencies are counted first, so a few rows meet."""
+    rows = txn.where(F.col("booked_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).groupBy("currency_native").agg(F.count("*").alias("n"), F.count("amount_base").alias("valued"))
+    waiting = F.collect_list(F.when(F.col("n") > F.col("valued"), F.struct("currency_native", (F.col("n") - F.col("valued")).alias("pending"))))
+    sums = {name: F.coalesce(F.sum(c), F.lit(0)) for name, c in (("transaction_count", "n"), ("valued_count", "valued"))}
+    out = rows.agg(*[c.alias(n) for n, c in sums.items()], F.map_from_entries(F.sort_array(waiting)).alias("pending_by_currency"))
+    pending = F.col("transaction_count") - F.col("valued_count")
+    return out.select("transaction_count", "valued_count", pending.alias("pending_count"), "pending_by_currency", F.when(pending > 0, "partial").otherwise("complete").alias("coverage_status"))
+
+
 def earliest(txn: DataFrame, otherwise: str) -> DataFrame:
     return txn.agg(F.coalesce(F.min("booked_date"), F.lit(otherwise).cast("date")).alias("earliest"))
 
@@ -188,6 +198,15 @@ def in_range(occurrences: DataFrame, start: str, end: str) -> DataFrame:
     return occurrences.where(F.col("occurrence_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+def series_of(series: DataFrame, occurrences: DataFrame, entity: tuple[str, str], txn: DataFrame) -> DataFrame:
+    """The series about an entity (kind, id): of that merchant, or with an occurrence, among those given, whose posting is of that account or category."""
+    kind, wanted = entity
+    if kind == "merchant":
+        return series.where(F.col("merchant_id") == wanted)
+    ours = txn.where(F.col(f"{kind}_id") == wanted).select("transaction_id")
+    return series.join(occurrences.join(ours, "transaction_id", "left_semi"), ["market_scope", "detector_fingerprint"], "left_semi")
+
+
 def series_context(occurrences: DataFrame, accounts: DataFrame) -> DataFrame:
     """Of a series' occurrences (with account_id): count, ends, the change of the latest price to the one before in percent, the account if it is the only one, and the list."""
     keys = ["market_scope", "detector_fingerprint"]
@@ -221,10 +240,13 @@ def effective_series(series: DataFrame, as_of: Column) -> DataFrame:
     return series.select("*", F.coalesce("cadence_override", "cadence").alias("effective_cadence"), F.coalesce("expected_amount_override", "expected_amount").cast("decimal(14,2)").alias("effective_amount"), due.alias("expected_next_date"), (live & (due < as_of)).alias("is_overdue"), changed.alias("user_corrected"))
 
 
-def read_recurring(series: DataFrame, occurrences: DataFrame, accounts: DataFrame, merchants: DataFrame, as_of: Column, start: str, end: str, scope: str = "ALL", direction: str | None = None, overdue: bool | None = None, price_changed: bool | None = None) -> DataFrame:
-    """Series of a scope with an occurrence in the range, with what happened in the range."""
-    rows = effective_series(series.where(F.col("market_scope") == scope), as_of).drop("account_id")
-    rows = rows.join(series_context(in_range(occurrences, start, end), accounts), ["market_scope", "detector_fingerprint"])
+def read_recurring(series: DataFrame, occurrences: DataFrame, accounts: DataFrame, merchants: DataFrame, as_of: Column, start: str, end: str, scope: str = "ALL", direction: str | None = None, overdue: bool | None = None, price_changed: bool | None = None, entity: tuple[str, str] | None = None, txn: DataFrame | None = None) -> DataFrame:
+    """Series of a scope with an occurrence in the range, with what happened in the range. entity: (account, category or merchant, id); one with an
+    account or category needs the postings (txn) and keeps series of which an occurrence in the range is about it, with all their occurrences of the range."""
+    chosen, within = series.where(F.col("market_scope") == scope), in_range(occurrences, start, end)
+    if entity:
+        chosen = series_of(chosen, within, entity, txn)
+    rows = effective_series(chosen, as_of).drop("account_id").join(series_context(within, accounts), ["market_scope", "detector_fingerprint"])
     if direction:
         rows = rows.where(F.col("flow_type") == direction)
     if overdue is not None:
@@ -271,6 +293,11 @@ def finding_context(found: DataFrame, txn: DataFrame, series: DataFrame, occurre
     return rows.withColumn("merchant_name", F.coalesce("canonical_name", "series_key")).drop("canonical_name", "series_key")
 
 
+def findings_of(found: DataFrame, entity: tuple[str, str]) -> DataFrame:
+    """Findings with their context that are about an entity (account, category or merchant, id), by whichever way finding_context knew it."""
+    return found.where(F.col(f"{entity[0]}_id") == entity[1])
+
+
 def finding_order() -> list[Column]:
     status = F.when(F.col("status") == "new", 0).when(F.col("status") == "confirmed", 1).when(F.col("status") == "dismissed", 2).otherwise(3)
     severity = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
@@ -289,11 +316,16 @@ def entities(accounts: DataFrame, categories: DataFrame, merchants: DataFrame) -
     return rows.withColumn("name", plain_description("label")).withColumn("choice_name", plain_description("choice"))
 
 
+MOST_TERMS = 1000
+
+
 def resolve(terms: DataFrame, known: DataFrame, most: int = 5) -> DataFrame:
     """terms: (kind, term, market). The matches of each term: an exact choice before an exact label before a label that contains the term or is contained in it, at most five
     of the best tier, by label and id; matched_outside tells of accounts of another market than asked for.
 
-    The table of terms is what a user asks, a few rows; it is broadcast, and entities are read once."""
+    The table of terms is what a user asks: at most MOST_TERMS rows, which is checked, are broadcast, so that entities are read once and where they are."""
+    if terms.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"at most {MOST_TERMS} terms are resolved at once")
     asked = terms.withColumn("wanted", plain_description("term"))
     rows = known.join(F.broadcast(asked.withColumnRenamed("kind", "asked")), F.col("kind") == F.col("asked"))
     inside = (F.col("kind") != "account") | (F.col("market") == "ALL") | F.coalesce(F.col("market_code") == F.col("market"), F.lit(False))
@@ -338,10 +370,11 @@ def run_spec(spec: dict, txn: DataFrame, as_of: str, watermark: object = None, *
 
         return cube.seasonality(cube.monthly(within, ("total",)), day).where(F.col("market_scope") == market)
     if kind == "recurring":
-        found = read_recurring(tables["series"], tables["occurrences"], tables["accounts"], tables["merchants"], day, start, end, market, spec.get("direction"), spec.get("overdue"), spec.get("price_changed"))
+        found = read_recurring(tables["series"], tables["occurrences"], tables["accounts"], tables["merchants"], day, start, end, market, spec.get("direction"), spec.get("overdue"), spec.get("price_changed"), entity, txn)
         return found.orderBy(*recurring_order()).limit(most)
     if kind == "findings":
         found = tables["findings"].where((F.col("market_scope") == market) & F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+        found = findings_of(found, entity) if entity else found
         for key, column in (("type", "finding_type"), ("status", "status"), ("severity", "severity")):
             if key in spec:
                 found = found.where(F.col(column) == spec[key])

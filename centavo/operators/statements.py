@@ -48,16 +48,45 @@ def positions(accounts: DataFrame, checked: DataFrame, txn: DataFrame) -> DataFr
     return rows.select("*", F.when(usable, used).cast(TOTAL).alias("used_credit"), F.when(usable, F.col("credit_limit") - F.col("current_balance")).cast(TOTAL).alias("available_credit"), F.when(usable, F.round(used * 100 / F.col("credit_limit"), 2)).cast(TOTAL).alias("utilization_percent"))
 
 
-def net_worth(held: DataFrame, rates: DataFrame, base_currency: str, as_of: str) -> DataFrame:
-    """Assets, liabilities (cards) and net in the base currency; accounts without a fresh rate are counted, not valued."""
+def _valued(held: DataFrame, rates: DataFrame, base_currency: str, as_of: str) -> DataFrame:
     from .fx import as_of_rate
 
-    rows = as_of_rate(held.withColumn("quote", F.lit(base_currency)).withColumn("day", F.lit(as_of).cast("date")), rates, "native_currency", "quote", "day")
-    value = rounded(F.col("current_balance") * F.col("fx_rate"))
-    value = F.when(F.col("kind") == "credit_card", -value).otherwise(value)
-    rows = rows.select(value.alias("value"))
-    out = rows.agg(total(F.when(F.col("value") > 0, F.col("value"))).alias("assets"), total(F.when(F.col("value") < 0, -F.col("value"))).alias("liabilities"), total(F.col("value")).alias("net_worth"), F.count_if(F.col("value").isNull()).alias("missing_fx"))
-    return out.withColumn("is_partial", F.col("missing_fx") > 0)
+    return as_of_rate(held.withColumn("quote", F.lit(base_currency)).withColumn("day", F.lit(as_of).cast("date")), rates, "native_currency", "quote", "day").drop("quote", "day")
+
+
+def contributions(held: DataFrame, rates: DataFrame, base_currency: str, as_of: str) -> DataFrame:
+    """A row an account: its balance's value in the base currency and what it adds to net worth (cards negated), or why it is left out:
+    unverified_balance (mere net activity) before missing_fx_rate."""
+    rows = _valued(held, rates, base_currency, as_of)
+    reason = F.when(F.col("balance_basis") != "balance", "unverified_balance").when(F.col("fx_rate").isNull(), "missing_fx_rate")
+    value = F.when(reason.isNull(), rounded(F.col("current_balance") * F.col("fx_rate"))).cast(TOTAL)
+    share = F.when(F.col("kind") == "credit_card", -F.col("base_value")).otherwise(F.col("base_value")).cast(TOTAL)
+    rows = rows.select("account_id", "kind", "native_currency", "current_balance", "fx_rate", "fx_rate_date", value.alias("base_value"), reason.alias("excluded_reason"))
+    return rows.withColumn("contribution", share)
+
+
+def net_worth(held: DataFrame, rates: DataFrame, base_currency: str, as_of: str) -> DataFrame:
+    """Assets, liabilities and net over the accounts that contribute; those left out are counted by reason and make the figures partial."""
+    rows, value = contributions(held, rates, base_currency, as_of), F.col("contribution")
+    left_out = lambda reason: F.count_if(F.col("excluded_reason") == reason)
+    return rows.agg(total(F.when(value > 0, value)).alias("assets"), total(F.when(value < 0, -value)).alias("liabilities"), total(value).alias("net_worth"), left_out("missing_fx_rate").alias("missing_fx"), left_out("unverified_balance").alias("unverified"), (F.count("excluded_reason") > 0).alias("is_partial"))
+
+
+def credit(held: DataFrame, rates: DataFrame, base_currency: str, as_of: str) -> DataFrame:
+    """A row a card: used, limit and available in the base currency, or why it is left out: missing_credit_limit, unverified_balance, missing_fx_rate, in that order."""
+    rows = _valued(held.where("kind = 'credit_card'"), rates, base_currency, as_of)
+    reason = F.when(F.col("credit_limit").isNull(), "missing_credit_limit").when(F.col("balance_basis") != "balance", "unverified_balance").when(F.col("fx_rate").isNull(), "missing_fx_rate")
+    worth = lambda c: F.when(reason.isNull(), rounded(F.col(c) * F.col("fx_rate"))).cast(TOTAL)
+    return rows.select("account_id", "native_currency", "current_balance", "credit_limit", "used_credit", "fx_rate", worth("used_credit").alias("used_base"), worth("credit_limit").alias("limit_base"), worth("available_credit").alias("available_base"), reason.alias("excluded_reason"))
+
+
+def utilization(cards: DataFrame) -> DataFrame:
+    """One row over the cards of credit(): sums of those that count, their use in percent by unrounded values, and how many count or are left out. Without any, percent is null."""
+    counts = F.col("excluded_reason").isNull()
+    exact = lambda c: F.sum(F.when(counts, F.col(c) * F.col("fx_rate")))
+    sums = [total(F.col(c)).alias(n) for c, n in (("used_base", "used_credit_base"), ("limit_base", "credit_limit_base"), ("available_base", "available_credit_base"))]
+    percent = F.round(exact("used_credit") * 100 / F.nullif(exact("credit_limit"), F.lit(0)), 2).cast(TOTAL)
+    return cards.agg(*sums, percent.alias("utilization_percent"), F.count_if(counts).alias("included_accounts"), F.count("excluded_reason").alias("excluded_accounts"))
 
 
 def openings(accounts: DataFrame, checked: DataFrame, rates: DataFrame, base_currency: str) -> DataFrame:

@@ -12,6 +12,7 @@ from . import detectors, registry
 from .detectors import _date, _series, all_findings, reviews
 from .registry import _C, _CHECKED, _CUBE, _PCT, _TXN, AS_OF, BASE, POSTING, _checked, _fx_cost, _mean, _median, postings, transactions
 
+_OF_ACCOUNT, _OF_MERCHANT = ("account", "A00000003"), ("merchant", "M00000003")
 _RANGE = ("1999-01-01", "2001-06-15")
 
 
@@ -51,6 +52,20 @@ def _saved_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merges.patch(merges.merge_series(refresh._nothing(spark, found, merges.DECISIONS), found, 1), reviews(found), list(merges.DECISIONS))
 
 
+def _recurring_of(spark: SparkSession, sf_dir: str, entity: tuple[str, str]) -> DataFrame:
+    view = lambda name: fixtures.view(spark, sf_dir, name)
+    return _occurrence_ids(reads.read_recurring(_saved_series(spark, sf_dir), series.occurrences(_series(spark, sf_dir)), view("d_account"), view("d_merchant"), _date(), *_RANGE, entity=entity, txn=view("d_posting")))
+
+
+def _reviewed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of two generations, on some of which users decide; those of the earlier generation stay as they are."""
+    digit, last, day = F.substring("detector_fingerprint", 1, 1), F.substring("detector_fingerprint", 2, 1), lambda d: F.lit(d).cast("timestamp")
+    found = all_findings(spark, sf_dir).select("market_scope", "detector_fingerprint", "finding_type").withColumn("last_detected_generation", F.when(last == "7", 1).otherwise(2))
+    held = found.select("*", F.when(last == "3", "resolved").otherwise("new").alias("status"), F.lit(None).cast("timestamp").alias("reviewed_at"), F.when(last == "3", day("2001-05-01")).alias("resolved_at"))
+    said = found.select("market_scope", "detector_fingerprint", F.when(digit == "0", "dismissed").when(digit == "1", "confirmed").when(digit == "2", "resolved").when(digit == "3", "new").alias("status"))
+    return merges.review_findings(held, said, day("2001-06-15"), 2)
+
+
 def _recurring(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = lambda name: fixtures.view(spark, sf_dir, name)
     rows = reads.read_recurring(_saved_series(spark, sf_dir), series.occurrences(_series(spark, sf_dir)), view("d_account"), view("d_merchant"), _date(), *_RANGE)
@@ -155,7 +170,7 @@ QUERIES = {
     "srt_truncated": lambda s, d: reads.truncated(_plain(s, d).where("market_code = 'CA'"), reads.order("amount_asc"), 20).select("transaction_id", "rank", "truncated"),
     "fn_indicators": lambda s, d: reads.indicators(_plain(s, d)).groupBy(F.array_join("indicators", ",").alias("indicators")).agg(F.count("*").alias("n")),
     "job_txn_detail": _detail,
-    "agg_trends_read": lambda s, d: cube.trends_read(cube.monthly(postings(s, d), ("category",)), "category"),
+    "agg_trends_read": lambda s, d: cube.trends_read(cube.monthly(postings(s, d), ("category",)), "category", fixtures.view(s, d, "d_category").select(F.col("category_id").alias("dimension_key"), F.col("name").alias("label"))),
     "agg_summary": lambda s, d: cube.summary(cube.monthly(postings(s, d), ("total",)), "1999-01-01", "1999-12-31"),
     "agg_compare_merchant": lambda s, d: reads.compare(_plain(s, d), "1998-04-01", "1998-06-30", "merchant", comparison="previous_period"),
     "agg_compare_month": lambda s, d: reads.compare(_plain(s, d), "1998-01-01", "1998-12-31", "month", ("spending", "net_cashflow", "pending_fx_count"), "previous_year"),
@@ -165,6 +180,10 @@ QUERIES = {
     "agg_recurring_summary": lambda s, d: reads.recurring_summary(_saved_series(s, d), _date(), BASE),
     "agg_recurring_ctx": lambda s, d: reads.series_context(reads.in_range(series.occurrences(_series(s, d)), *_RANGE), fixtures.view(s, d, "d_account")).drop("occurrences"),
     "read_recurring": _recurring,
+    "flt_recurring": lambda s, d: _recurring_of(s, d, _OF_ACCOUNT),
+    "flt_recurring_merchant": lambda s, d: _recurring_of(s, d, _OF_MERCHANT),
+    "flt_findings": lambda s, d: reads.findings_of(_findings(s, d), ("category", "C13")).select("market_scope", "finding_type", "status", "detector_fingerprint", "event_date"),
+    "job_review_findings": _reviewed_findings,
     "join_finding_ctx": lambda s, d: _findings(s, d).select("market_scope", "detector_fingerprint", "account_id", "account_name", "category_id", "category_name", "merchant_id", "merchant_name", "event_date"),
     "read_findings": _findings_page,
     "join_entity": _entities,
@@ -254,7 +273,7 @@ j as (select c.market_scope, c.dimension_key, c.period_start, c.spending, c.cove
  from c left join c p on p.market_scope = c.market_scope and p.dimension_key = c.dimension_key and p.period_start = c.period_start - interval 1 month left join c e on e.market_scope = c.market_scope and e.dimension_key = c.dimension_key and e.period_start = c.period_start - interval 2 month
  left join c y on y.market_scope = c.market_scope and y.dimension_key = c.dimension_key and y.period_start = c.period_start - interval 1 year)
 select market_scope, dimension_key, period_start, spending, coverage_status, previous_spending, cast(spending - previous_spending as decimal(18,2)) as change, {_PCT.format(a='spending', b='previous_spending')} as change_percent, year_spending, {_PCT.format(a='spending', b='year_spending')} as year_change_percent,
- case when whole then {_mean('(spending + s1 + s2)', '3')} end as trailing_mean, case when whole then {_median('list_sort([spending, s1, s2])')} end as trailing_median from j""",
+ case when whole then {_mean('(spending + s1 + s2)', '3')} end as trailing_mean, case when whole then {_median('list_sort([spending, s1, s2])')} end as trailing_median, l.name as label from j left join ({fixtures.VIEWS['d_category']}) l on l.category_id = j.dimension_key""",
     "agg_summary": POSTING + _CUBE + f""", m as (select * from monthly where dimension_type = 'total'), h as (select * from m where period_start between date '1999-01-01' and date '1999-12-31'),
 s as (select market_scope, cast(sum(inflow) as decimal(18,2)) as inflow, cast(sum(outflow) as decimal(18,2)) as outflow, cast(sum(spending) as decimal(18,2)) as spending, cast(sum(net) as decimal(18,2)) as net, cast(sum(transaction_count) as bigint) as transaction_count, cast(sum(pending_count) as bigint) as pending_count, max(period_start) as latest_month, max_by(spending, period_start) as latest_spending from h group by 1)
 select s.*, p.spending as previous, y.spending as year, {_PCT.format(a='s.latest_spending', b='p.spending')} as change_percent, {_PCT.format(a='s.latest_spending', b='y.spending')} as year_change_percent from s left join m p on p.market_scope = s.market_scope and p.period_start = s.latest_month - interval 1 month left join m y on y.market_scope = s.market_scope and y.period_start = s.latest_month - interval 1 year""",
@@ -312,5 +331,12 @@ select category_id, unnest(list_filter([case when parent_id = category_id then '
 select * from n where (kind <> old_kind or native_currency <> old_currency) and exists (select 1 from d_txn t where t.account_id = n.account_id)""",
 }
 
+_HELD = "exists (select 1 from orr join d_posting t using (transaction_id) where orr.market_scope = sv.market_scope and orr.detector_fingerprint = sv.detector_fingerprint and t.account_id = '" + _OF_ACCOUNT[1] + "')"
+ORACLES["flt_recurring"] = ORACLES["read_recurring"].replace("where market_scope = 'ALL'", f"where sv.market_scope = 'ALL' and {_HELD}")
+ORACLES["flt_recurring_merchant"] = ORACLES["read_recurring"].replace("where market_scope = 'ALL'", f"where sv.market_scope = 'ALL' and sv.merchant_id = '{_OF_MERCHANT[1]}'")
+ORACLES["flt_findings"] = _CONTEXT + " select market_scope, finding_type, case left(detector_fingerprint, 1) when '0' then 'dismissed' when '1' then 'confirmed' when '2' then 'resolved' else 'new' end as status, detector_fingerprint, event_date from con where category_id = 'C13'"
+ORACLES["job_review_findings"] = _CONTEXT + """, h as (select market_scope, detector_fingerprint, finding_type, case when substr(detector_fingerprint, 2, 1) = '7' then 1 else 2 end as last_detected_generation, case when substr(detector_fingerprint, 2, 1) = '3' then 'resolved' else 'new' end as old,
+ case when substr(detector_fingerprint, 2, 1) <> '7' then case left(detector_fingerprint, 1) when '0' then 'dismissed' when '1' then 'confirmed' when '2' then 'resolved' when '3' then 'new' end end as said from con)
+select market_scope, detector_fingerprint, finding_type, last_detected_generation, coalesce(said, old) as status, case when said in ('confirmed', 'dismissed') then timestamp '2001-06-15' end as reviewed_at, case when said = 'resolved' then timestamp '2001-06-15' when said is null and old = 'resolved' then timestamp '2001-05-01' end as resolved_at from h"""
 ORACLES["spec_recurring"] = f"select * from ({ORACLES['read_recurring']}) where flow_type = 'spend' order by case status when 'detected' then 0 when 'confirmed' then 1 when 'cancelled' then 2 else 3 end, overdue desc, expected_next_date, detector_fingerprint limit 15"
 ORACLES["spec_findings"] = ORACLES["read_findings"].replace("select finding_type, status, severity, account_name, category_name, merchant_name, event_date, detector_fingerprint, (select count(*) from st) as total from st order", "select finding_type, severity, account_name, merchant_name, event_date, detector_fingerprint from st where status = 'new' order").replace("limit 50", "limit 30")

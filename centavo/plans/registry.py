@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..functions.money import dedup_hash, flow, month, total
-from ..operators import costs, cube, detect, fx, statements
+from ..operators import costs, cube, detect, fx, reads, statements
 from ..sources import changes
 from ..sources.tables import read_table
 from ..storage import once_path
@@ -93,6 +93,14 @@ def _utilization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy(reason.alias("reason"), "native_currency").agg(F.count("*").alias("accounts"), total(F.col("used_credit")).alias("used"), total(F.when(F.col("used_credit").isNotNull(), F.col("credit_limit"))).alias("credit_limit"))
 
 
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statements.credit(_positions(spark, sf_dir), fixtures.view(spark, sf_dir, "d_fx_rate"), BASE, "1998-08-05")
+
+
+def _moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.movers(cube.monthly(transactions(spark, sf_dir, "d_fx_rate_daily"), ("total", "category", "merchant")), F.lit(AS_OF).cast("date"))
+
+
 def _dedup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fixtures.view(spark, sf_dir, "d_txn")
     return t.select("transaction_id", dedup_hash(F.col("account_id"), F.col("booked_date"), F.col("amount_native"), F.col("currency_native"), F.col("description_raw"), F.lit(None).cast("string")).alias("dedup_hash"))
@@ -141,7 +149,9 @@ QUERIES: dict[str, Query] = {
     "agg_coverage": lambda s, d: cube.coverage(transactions(s, d)),
     "agg_cashflow": lambda s, d: cube.cashflow(transactions(s, d)),
     "agg_seasonality": lambda s, d: cube.seasonality(_months(s, d, "d_fx_rate_daily"), F.lit(AS_OF).cast("date")),
-    "agg_movers": lambda s, d: cube.movers(cube.monthly(transactions(s, d, "d_fx_rate_daily"), ("total", "category", "merchant")), F.lit(AS_OF).cast("date")),
+    "agg_movers": _moved,
+    "agg_movers_split": lambda s, d: cube.movers_split(_moved(s, d)).drop("rank"),
+    "agg_compare_coverage": lambda s, d: reads.range_coverage(transactions(s, d), "1997-01-01", "1997-12-31").withColumn("pending_by_currency", cube.pending_text(F.col("pending_by_currency"))),
     "agg_compare": lambda s, d: cube.compare_years(transactions(s, d), "1997-01-01", "1997-12-31"),
     "agg_reconcile": lambda s, d: _checked(s, d).select("statement_id", "difference", "balance_status"),
     "job_coverage_status": lambda s, d: _checked(s, d).select("statement_id", "covered_until", "reconcile_status"),
@@ -151,6 +161,9 @@ QUERIES: dict[str, Query] = {
     "join_first_stmt": _first,
     "agg_position": _positions,
     "agg_utilization": _utilization,
+    "agg_utilization_accounts": _cards,
+    "agg_utilization_total": lambda s, d: statements.utilization(_cards(s, d)),
+    "agg_net_worth_accounts": lambda s, d: statements.contributions(_positions(s, d), fixtures.view(s, d, "d_fx_rate"), BASE, "1998-08-05"),
     "agg_net_worth": lambda s, d: statements.net_worth(_positions(s, d), fixtures.view(s, d, "d_fx_rate"), BASE, "1998-08-05"),
     "agg_balance": lambda s, d: _balance(s, d, True).drop("account_id"),
     "agg_balance_accounts": lambda s, d: _balance(s, d, False),
@@ -213,6 +226,10 @@ monthly as (select market_scope, dimension_type, dimension_key, period_start, ca
  from every left join cube using (market_scope, dimension_type, dimension_key, period_start) left join pend using (market_scope, dimension_type, dimension_key, period_start))"""
 _MONTHLY = _TXN + _CUBE
 _DAILY = _MONTHLY.replace(fixtures.VIEWS["d_fx_rate"].strip(), fixtures.VIEWS["d_fx_rate_daily"].strip())
+_MOVED = _DAILY + f""", m as (select period_start, row_number() over (order by period_start desc) as n from monthly where dimension_type = 'total' and market_scope = 'ALL' and coverage_status = 'complete' and period_start < date '{AS_OF[:7]}-01'),
+b as (select dimension_type, dimension_key, cast(sum(case when n = 1 then spending else 0 end) as decimal(18,2)) as current, cast(sum(case when n = 2 then spending else 0 end) as decimal(18,2)) as previous
+ from monthly join m using (period_start) where n <= 2 and market_scope = 'ALL' and dimension_type in ('category', 'merchant') group by all),
+c as (select *, cast(current - previous as decimal(18,2)) as change from b)"""
 _CHECKED = _C("d_account", "d_txn", "d_statement") + """,
 sums as (select statement_id, sum(amount_native) as activity from d_txn group by all),
 rec as (select s.*, cast(opening_balance + coalesce(activity, 0) - closing_balance as decimal(18,2)) as difference from d_statement s left join sums using (statement_id)),
@@ -230,6 +247,14 @@ pos as (select a.account_id, a.kind, a.native_currency, a.credit_limit,
 positions as (select *, case when kind = 'credit_card' and credit_limit is not null and balance_basis = 'balance' then greatest(current_balance, 0) end as used_credit,
  case when kind = 'credit_card' and credit_limit is not null and balance_basis = 'balance' then cast(credit_limit - current_balance as decimal(18,2)) end as available_credit,
  case when kind = 'credit_card' and credit_limit is not null and balance_basis = 'balance' then cast(round(greatest(current_balance, 0) * 100 / credit_limit, 2) as decimal(18,2)) end as utilization_percent from pos)"""
+_WORTH = _POSITION + f", {fixtures.ctes('d_fx_rate')}" + """, r as (select base, max_by(rate, as_of) as rate, max(as_of) as day from d_fx_rate where as_of between date '1998-08-05' - 7 and date '1998-08-05' group by 1),
+w as (select p.*, case when native_currency = 'CAD' then 1::decimal(18,8) else rate end as fx_rate, case when native_currency = 'CAD' then date '1998-08-05' else day end as fx_rate_date from positions p left join r on r.base = native_currency)"""
+_DEC = "cast(coalesce({}, 0) as decimal(18,2))"
+_WHY = "case when balance_basis <> 'balance' then 'unverified_balance' when fx_rate is null then 'missing_fx_rate' end"
+_OWED = _WHY.replace("case", "case when credit_limit is null then 'missing_credit_limit'", 1)
+_SHARE = f"""account_id, kind, native_currency, current_balance, fx_rate, fx_rate_date, cast(case when ({_WHY}) is null then round(current_balance * fx_rate, 2) end as decimal(18,2)) as base_value, {_WHY} as excluded_reason,
+ cast(case when ({_WHY}) is null then case when kind = 'credit_card' then -1 else 1 end * round(current_balance * fx_rate, 2) end as decimal(18,2)) as contribution"""
+_CARD = "account_id, native_currency, current_balance, credit_limit, used_credit, fx_rate, " + ", ".join(f"cast(case when ({_OWED}) is null then round({c} * fx_rate, 2) end as decimal(18,2)) as {n}" for c, n in (("used_credit", "used_base"), ("credit_limit", "limit_base"), ("available_credit", "available_base"))) + f", {_OWED} as excluded_reason"
 _NEEDED = _C("d_account", "d_txn", "d_statement", "d_fx_rate") + """,
 needed as (select distinct * from (select currency_native as base, 'CAD' as quote, booked_date as day from d_txn union all select currency, 'CAD', period_start from d_statement
  union all select currency, 'CAD', period_end from d_statement union all select original_currency, currency_native, booked_date from d_txn
@@ -264,10 +289,11 @@ select period, cast(coalesce(sum(i), 0) as decimal(18,2)) as inflow, cast(coales
     "agg_seasonality": _DAILY + f""", e as (select * from monthly where dimension_type = 'total' and coverage_status = 'complete' and period_start < date '{AS_OF[:7]}-01' qualify count(*) over (partition by market_scope) >= 12),
 g as (select market_scope, cast(month(period_start) as int) as month_number, count(*) as observation_count, sum(spending) as total, list_sort(list(spending)) as s from e group by 1, 2)
 select market_scope, month_number, observation_count, {_mean('total', 'len(s)')} as average_spending, {_median('s')} as median_spending from g""",
-    "agg_movers": _DAILY + f""", m as (select period_start, row_number() over (order by period_start desc) as n from monthly where dimension_type = 'total' and market_scope = 'ALL' and coverage_status = 'complete' and period_start < date '{AS_OF[:7]}-01'),
-b as (select dimension_type, dimension_key, cast(sum(case when n = 1 then spending else 0 end) as decimal(18,2)) as current, cast(sum(case when n = 2 then spending else 0 end) as decimal(18,2)) as previous
- from monthly join m using (period_start) where n <= 2 and market_scope = 'ALL' and dimension_type in ('category', 'merchant') group by all)
-select *, cast(current - previous as decimal(18,2)) as change from b order by abs(current - previous) desc, dimension_type, dimension_key limit 20""",
+    "agg_movers": _MOVED + " select * from c where change <> 0 order by abs(change) desc, dimension_type, dimension_key limit 20",
+    "agg_movers_split": _MOVED + """ select *, case when change > 0 then 'positive' else 'negative' end as side from (select * from c where change <> 0 order by abs(change) desc, dimension_type, dimension_key limit 20)
+qualify row_number() over (partition by change > 0 order by abs(change) desc, dimension_type, dimension_key) <= 5""",
+    "agg_compare_coverage": _TXN + """, r as (select currency_native, count(*) as n, count(amount_base) as v from txn where booked_date between date '1997-01-01' and date '1997-12-31' group by 1)
+select cast(sum(n) as bigint) as transaction_count, cast(sum(v) as bigint) as valued_count, cast(sum(n - v) as bigint) as pending_count, coalesce(string_agg(case when n > v then currency_native || ':' || (n - v) end, ',' order by currency_native), '') as pending_by_currency, case when sum(n - v) > 0 then 'partial' else 'complete' end as coverage_status from r""",
     "agg_compare": _TXN + f""", s as (select cast(date_trunc('month', booked_date) as date) as bucket, category_id, 'now' as side, flow_type, amount_base from txn where booked_date between date '1997-01-01' and date '1997-12-31'
  union all select cast(date_trunc('month', booked_date + interval 1 year) as date), category_id, 'then', flow_type, amount_base from txn where cast(booked_date + interval 1 year as date) between date '1997-01-01' and date '1997-12-31'),
 v as (select *, case when flow_type in ('spend', 'fee') then abs(amount_base) when flow_type = 'refund' then -abs(amount_base) end as spent from s),
@@ -282,9 +308,14 @@ select *, cast(current - previous as decimal(18,2)) as change, {_PCT.format(a='c
     "agg_position": _POSITION + " select * from positions",
     "agg_utilization": _POSITION + """ select case when credit_limit is null then 'missing_limit' when balance_basis <> 'balance' then 'unverified_balance' else 'included' end as reason, native_currency, count(*) as accounts,
  cast(coalesce(sum(used_credit), 0) as decimal(18,2)) as used, cast(coalesce(sum(case when used_credit is not null then credit_limit end), 0) as decimal(18,2)) as credit_limit from positions where kind = 'credit_card' group by 1, 2""",
-    "agg_net_worth": _POSITION + f", {fixtures.ctes('d_fx_rate')}" + """, r as (select base, max_by(rate, as_of) as rate from d_fx_rate where as_of between date '1998-08-05' - 7 and date '1998-08-05' group by 1),
-v as (select case when kind = 'credit_card' then -1 else 1 end * round(current_balance * case when native_currency = 'CAD' then 1.00000000::decimal(18,8) else rate end, 2) as value from positions left join r on r.base = native_currency)
-select cast(coalesce(sum(case when value > 0 then value end), 0) as decimal(18,2)) as assets, cast(coalesce(sum(case when value < 0 then -value end), 0) as decimal(18,2)) as liabilities, cast(coalesce(sum(value), 0) as decimal(18,2)) as net_worth, count(*) - count(value) as missing_fx, count(*) > count(value) as is_partial from v""",
+    "agg_utilization_accounts": _WORTH + f" select {_CARD} from w where kind = 'credit_card'",
+    "agg_utilization_total": _WORTH + f""", cards as (select {_CARD} from w where kind = 'credit_card')
+select {_DEC.format("sum(used_base)")} as used_credit_base, {_DEC.format("sum(limit_base)")} as credit_limit_base, {_DEC.format("sum(available_base)")} as available_credit_base,
+ cast(round(sum(case when excluded_reason is null then used_credit * fx_rate end)::double * 100 / nullif(sum(case when excluded_reason is null then credit_limit * fx_rate end), 0), 2) as decimal(18,2)) as utilization_percent,
+ count_if(excluded_reason is null) as included_accounts, count(excluded_reason) as excluded_accounts from cards""",
+    "agg_net_worth_accounts": _WORTH + f" select {_SHARE} from w",
+    "agg_net_worth": _WORTH + f""", v as (select {_SHARE} from w) select {_DEC.format("sum(case when contribution > 0 then contribution end)")} as assets, {_DEC.format("sum(case when contribution < 0 then -contribution end)")} as liabilities, {_DEC.format("sum(contribution)")} as net_worth,
+ count_if(excluded_reason = 'missing_fx_rate') as missing_fx, count_if(excluded_reason = 'unverified_balance') as unverified, count(excluded_reason) > 0 as is_partial from v""",
     "agg_balance": _OPENED + " select day, delta, balance, basis from " + _BALANCE.format(sign="case when kind = 'credit_card' then -1 else 1 end *", key="''"),
     "agg_balance_accounts": _OPENED + " select series as account_id, day, delta, balance, basis from " + _BALANCE.format(sign="", key="account_id"),
     "agg_fx_cost": _TXN + """, e as (select t.transaction_id, t.booked_date, abs(original_amount) as f, original_currency as fc, greatest(abs(amount_native) - coalesce(fx_fee_amount_native, 0), 0) as c,
