@@ -30,9 +30,9 @@ PERIOD = rf"(?i)\bAmerican\s+Express\b.*?/\s*{_LONG_DAY}\s+to\s+{_LONG_DAY}"
 FX_WORDS = ("foreign exchange", "fx fee", "currency conversion", "commission")
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+def read_sheets(spark: SparkSession, path: str, dealt: bool = False) -> DataFrame:
     """(file, sheet, row_no, cells, problem): path/<export>/<sheet>.csv."""
-    rows = S.read_rows(spark, f"{path}/*/*.csv", parts=2)
+    rows = S.read_rows(spark, path if dealt else f"{path}/*/*.csv", parts=2, dealt=dealt)
     name = F.split("file", "/")
     return rows.select(name[0].alias("file"), F.regexp_replace(name[1], r"(?i)\.csv$", "").alias("sheet"), "row_no", "cells", "problem")
 
@@ -115,13 +115,13 @@ def equivalent(body: DataFrame) -> DataFrame:
 def parse(rows: DataFrame, kinds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """kinds: (file, kind). Returns postings, statements (a row an accepted export) and refused exports with the first reason."""
     sheets = stage(detail_sheets(rows), "detail-sheets")
-    cols = columns(rows, sheets)
+    cols = stage(columns(rows, sheets), "columns")
     told = stage(agreed(facts(rows, sheets)), "facts")
     body = rows.join(sheets.where("reason is null").select("file", "sheet", "header_row"), ["file", "sheet"]).where(F.col("row_no") > F.col("header_row")).join(cols.where("reason is null").drop("reason"), "file")
     cell = lambda f: T.filled(F.get("cells", F.try_element_at("fields", F.lit(f)))).alias(f)
     held = stage(body.select("file", "row_no", "cells", "same", *[cell(f) for f in NAMES]).where("booked is not null"), "details")
     nothing = held.select("file", F.array().cast("array<string>").alias("period_days")).distinct()
-    orders = S.slash_orders(held, nothing)
+    orders = stage(S.slash_orders(held, nothing), "slash-orders")
     lines = held.join(orders, "file", "left")
     spent, amount, fee = T.foreign_spend(F.col("foreign")), T.decimal(F.col("amount")), F.abs(T.decimal(F.col("fee")))
     booked, posted = (T.day(F.col(c), F.col("slash_order")) for c in ("booked", "posted"))

@@ -146,9 +146,9 @@ def test_ranges():
 
 def test_monthly_detectors_and_near_duplicates_move_rows_once(spark):
     """A row moves once to be judged, and near duplicates meet among few rows; before, judged rows were joined back, and every row met two buckets."""
-    rows = spark.range(400).selectExpr("concat('t', id) as transaction_id", "'a' as account_id", "'m' as merchant_key", "'CAD' as currency_native", "cast(id as decimal(14,2)) as amount_native", "date_add(date '2020-01-01', cast(id as int)) as booked_date", "'spend' as flow_type", "false as is_reversal", "'debit' as direction", "'CA' as market_code", "cast(id as decimal(14,2)) as amount_base")
+    rows = spark.range(400).selectExpr("concat('t', id) as transaction_id", "'a' as account_id", "concat('m', id div 200) as merchant_key", "'CAD' as currency_native", "cast(id as decimal(14,2)) as amount_native", "date_add(date '2020-01-01', cast(id as int)) as booked_date", "'spend' as flow_type", "false as is_reversal", "'debit' as direction", "'CA' as market_code", "cast(id as decimal(14,2)) as amount_base")
     plan = outliers.amounts(rows)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert plan.count("Exchange") == 1 and "Join" not in plan
     twin = rows.where("transaction_id in ('t127', 't128')").selectExpr("concat(transaction_id, 'x') as transaction_id", "account_id", "merchant_key", "currency_native", "amount_native", "date_add(booked_date, 3) as booked_date", "flow_type", "is_reversal", "direction", "market_code")
     from centavo.operators import detect
 
