@@ -77,3 +77,12 @@ def test_alerts_forget_and_drop_late_rows(spark, source):
     told = jobs.state_report(query)
     assert sum(t["late"] for t in told) == 2  # the late row, on either side
     assert max(t["held"] for t in told) < 2 * 75 and told[-1]["held"] < 2 * 12, told  # of 126 rows on either side
+
+
+def test_slices_of_alerts_are_written_by_many_tasks():
+    """A slice is no single file; before, one task read and wrote each whole slice."""
+    import inspect
+
+    from centavo.plans import streams
+
+    assert "coalesce(1)" not in inspect.getsource(streams._alerts)
