@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 
-from centavo.operators import fx
+from centavo.operators import cube, fx
 
 
 @pytest.fixture
@@ -27,3 +27,15 @@ def test_rates_go_to_the_rows(spark, no_broadcast):
     out = fx.stamp(rows, rates, "CAD")
     assert "SortMergeJoin" not in _plan(out)
     assert {r["transaction_id"]: r["amount_base"] for r in out.collect()} == {"a": Decimal("3.00"), "b": None, "c": Decimal("2.00"), "d": None}
+
+
+def test_months_anew_are_those_of_the_whole_cube(spark):
+    """A market without postings in an affected month still has that month, since it lies within the market's span."""
+    day = lambda m: date(2000, m, 5)
+    rows = [("x", "TZ", day(1)), ("x", "TZ", day(5)), ("y", "CA", day(3)), ("y", "CA", day(4))]
+    txn = spark.createDataFrame([(a, "C1", "M1", market, d, "spend", Decimal("1.00"), "CAD") for a, market, d in rows], "account_id string, category_id string, merchant_id string, market_code string, booked_date date, flow_type string, amount_base decimal(14,2), currency_native string")
+    months = spark.createDataFrame([(date(2000, m, 1),) for m in (3, 5)], "period_start date")
+    got = cube.monthly_of(txn, months)
+    want = cube.monthly(txn).join(months, "period_start", "left_semi").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.where("market_scope = 'TZ' and dimension_type = 'total' and period_start = '2000-03-01' and transaction_count = 0").count() == 1
