@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 
-from centavo.operators import cube, fx
+from centavo.operators import costs, cube, fx, reads
 
 
 @pytest.fixture
@@ -39,3 +39,22 @@ def test_months_anew_are_those_of_the_whole_cube(spark):
     want = cube.monthly(txn).join(months, "period_start", "left_semi").select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert got.where("market_scope = 'TZ' and dimension_type = 'total' and period_start = '2000-03-01' and transaction_count = 0").count() == 1
+
+
+def test_days_of_balances_do_not_ask_for_statements(spark, no_broadcast):
+    rows = [("t1", "x", "s1", date(2000, 1, 2), None, Decimal("1.00")), ("t0", "x", "s2", date(2000, 1, 2), None, Decimal("2.00")), ("t2", "x", None, date(2000, 1, 2), None, Decimal("4.00")), ("t3", "x", "s2", date(2000, 1, 3), None, Decimal("8.00"))]
+    txn = spark.createDataFrame([(*r, r[-1]) for r in rows], "transaction_id string, account_id string, statement_id string, booked_date date, posted_date date, amount_native decimal(14,2), amount_base decimal(14,2)")
+    starts = spark.createDataFrame([("s1", date(2000, 1, 1)), ("s2", date(1999, 12, 1))], "statement_id string, statement_start date")
+    opened = spark.createDataFrame([("x", Decimal("100.00"), Decimal("100.00"))], "account_id string, opening_balance decimal(14,2), opening_base decimal(14,2)")
+    out = reads.running_balances(txn, opened, starts)
+    assert {r["transaction_id"]: r["running_native"] for r in out.collect()} == {"t0": Decimal("102.00"), "t1": Decimal("103.00"), "t2": Decimal("107.00"), "t3": Decimal("115.00")}
+    joins = out._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins == 3  # statements once, days with openings, rows with days
+
+
+def test_costs_are_told_in_place(spark, no_broadcast):
+    rows = spark.createDataFrame([("a", "CAD", date(2000, 1, 9), Decimal("-9.00"), Decimal("-6.00"), "USD", Decimal("0.50"), False, Decimal("1")), ("b", "CAD", date(2000, 1, 9), Decimal("-9.00"), None, None, None, False, Decimal("1"))], "transaction_id string, currency_native string, booked_date date, amount_native decimal(14,2), original_amount decimal(14,2), original_currency string, fx_fee_amount_native decimal(14,2), is_fx_fee boolean, fx_rate decimal(18,8)")
+    rates = spark.createDataFrame([("USD", "CAD", date(2000, 1, 2), Decimal("1.25"))], "base string, quote string, as_of date, rate decimal(18,8)")
+    (row,) = costs.with_cost(rows, rates).collect()
+    assert (row["transaction_id"], row["amount_native"], row["market_rate"], row["estimated_markup_native"]) == ("a", Decimal("-9.00"), Decimal("1.25000000"), Decimal("1.00"))
+    assert costs.fx_cost(rows, rates).columns[:3] == ["transaction_id", "foreign_amount", "market_rate"]
