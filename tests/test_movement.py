@@ -6,6 +6,8 @@ from decimal import Decimal
 import pytest
 
 from centavo.operators import costs, cube, fx, reads
+from centavo.plans import streams
+from centavo.storage import names
 
 
 @pytest.fixture
@@ -58,3 +60,23 @@ def test_costs_are_told_in_place(spark, no_broadcast):
     (row,) = costs.with_cost(rows, rates).collect()
     assert (row["transaction_id"], row["amount_native"], row["market_rate"], row["estimated_markup_native"]) == ("a", Decimal("-9.00"), Decimal("1.25000000"), Decimal("1.00"))
     assert costs.fx_cost(rows, rates).columns[:3] == ["transaction_id", "foreign_amount", "market_rate"]
+
+
+def test_a_streams_source_is_written_by_all_tasks(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def read(spark, path, schema, files):
+        raise Seen(sum(x.endswith(".parquet") for x in names(spark, path)), files)
+
+    monkeypatch.setattr(streams.jobs, "read_files", read)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with pytest.raises(Seen) as seen:
+            streams._refreshed(spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert seen.value.args == (9, 5)
