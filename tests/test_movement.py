@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 
-from centavo.operators import costs, cube, fx, reads
+from centavo.operators import costs, cube, fx, merges, reads
 from centavo.plans import streams
 from centavo.storage import names
 
@@ -62,6 +62,13 @@ def test_costs_are_told_in_place(spark, no_broadcast):
     assert costs.fx_cost(rows, rates).columns[:3] == ["transaction_id", "foreign_amount", "market_rate"]
 
 
+def test_first_findings_are_new_and_wait_for_nothing(spark, no_broadcast):
+    found = spark.createDataFrame([("ALL", "f1"), ("ALL", "f1"), ("CA", "f1")], "market_scope string, detector_fingerprint string").dropDuplicates()
+    out = merges.first_findings(found, 3)
+    assert "Join" not in _plan(out)
+    assert sorted(map(tuple, out.collect())) == [("ALL", "f1", "new", 3), ("CA", "f1", "new", 3)]
+
+
 def test_a_streams_source_is_written_by_all_tasks(spark, monkeypatch):
     class Seen(Exception):
         pass
