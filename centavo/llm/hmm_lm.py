@@ -2,9 +2,10 @@
 
 Words are counted over the training documents (partial counts a block, then a shuffle). The model's symbols are the words whose count
 reaches a bar that at most VOCABULARY words reach, and one class for all rarer words, within which a word has a smoothed share
-of its own. STATES latent states are first trained on at most START_PIECES pieces of documents, then FULL_ROUNDS Baum-Welch rounds take
-expected counts over every training document: each task runs scaled forward-backward recursions over its documents,
-and its counts are summed by symbol across partitions. The scaled forward recursion gives a text's exact likelihood.
+of its own. Every document is written once as symbols. All training comes from every training document: START_ROUNDS rounds take each as a
+whole from one of STATES states (a mixture, without a recursion), and from there FULL_ROUNDS Baum-Welch rounds take expected counts: each task
+runs scaled forward-backward recursions over its documents, and its counts are summed by symbol across partitions. The scaled forward
+recursion gives a text's exact likelihood.
 
 Frequent words' counts are sent to every task (bounded by VOCABULARY); rarer words of a document are looked up by a join.
 
@@ -14,7 +15,8 @@ Null and empty texts: the end token alone. No training documents: every known co
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,10 @@ from pyspark.sql import functions as F
 from .common import held_out, small_batches, stage, table
 
 STATES, VOCABULARY, FULL_ROUNDS = 6, 60_000, 2
-#: The first fit takes at most so many pieces of so many characters, drawn by hash from all pieces of all training documents.
-START_PIECES, PIECE_CHARS, START_ROUNDS, SEED = 600, 20_000, 12, 3
-BLOCK_BYTES = 8 << 20
+START_ROUNDS, SEED = 2, 3
+PIECE_CHARS = 20_000
+#: Texts, and symbols of texts, that are worked on together.
+BLOCK_BYTES, SYMBOL_BYTES = 8 << 20, 4 << 20
 #: The end of a text: no word holds a space.
 END = b" "
 #: Added to expected counts, a share of the symbol's count over all states.
@@ -66,18 +69,27 @@ def frequent(counts: DataFrame, most: int) -> tuple[dict[bytes, int], int]:
     return {bytes(r["word"]): r["c"] for r in words}, bar
 
 
+def encode(text: str | None, symbols: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
+    """A text's symbols, and its words of the rare class, whose symbol follows all others."""
+    words, rare = tokens(text), len(symbols)
+    ids = np.fromiter(map(symbols.get, words, repeat(rare)), np.dtype("<i4"), len(words))
+    return ids, [words[i] for i in np.flatnonzero(ids == rare).tolist()]
+
+
 class Sequences:
     """A block's documents as symbol sequences, longest first, to be stepped through together."""
 
     def __init__(self, texts: list[str | None], symbols: dict[bytes, int]):
-        rare = len(symbols)
-        self.rare: list[list[bytes]] = []
-        rows = []
-        for text in texts:
-            words = tokens(text)
-            ids = np.fromiter((symbols.get(w, rare) for w in words), np.int32, len(words))
-            rows.append(ids)
-            self.rare.append([words[i] for i in np.flatnonzero(ids == rare)])
+        self._lay([encode(text, symbols)[0] for text in texts])
+
+    @classmethod
+    def of(cls, coded: pa.Array) -> Sequences:
+        """Of documents written as symbols."""
+        self = cls.__new__(cls)
+        self._lay([np.frombuffer(x, "<i4") for x in coded.to_pylist()])
+        return self
+
+    def _lay(self, rows: list[np.ndarray]) -> None:
         self.lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         self.order = np.argsort(-self.lengths, kind="stable")
         sizes = self.lengths[self.order]
@@ -88,6 +100,7 @@ class Sequences:
         for place, k in enumerate(self.order.tolist()):
             flat[starts[: len(rows[k])] + place] = rows[k]
         self.flat = flat  # by step, then document
+        self.place = np.arange(len(flat)) - np.repeat(starts[:-1], self.active)  # the document of each, in the order of lengths
 
 
 def forward(model: dict[str, np.ndarray], seq: Sequences, keep: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -106,8 +119,7 @@ def forward(model: dict[str, np.ndarray], seq: Sequences, keep: bool = False) ->
         if keep:
             alphas[a : a + n] = alpha
     logs = np.zeros(len(seq.order))
-    place = np.arange(len(seq.flat)) - np.repeat(seq.starts[:-1], seq.active)
-    logs[seq.order] = np.bincount(place, np.log(scale), len(seq.order))
+    logs[seq.order] = np.bincount(seq.place, np.log(scale), len(seq.order))
     return logs, alphas, scale
 
 
@@ -132,6 +144,17 @@ def expect(model: dict[str, np.ndarray], seq: Sequences) -> tuple[np.ndarray, np
     return counts, moves * move, gammas[: seq.active[0]].sum(axis=0)
 
 
+def belong(model: dict[str, np.ndarray], seq: Sequences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts as of expect(), without moves, where one state emits all of a document and all states are as likely before."""
+    emit, size = np.log(model["emit"]), len(seq.order)
+    k = emit.shape[1]
+    logs = np.stack([np.bincount(seq.place, emit[:, s][seq.flat], size) for s in range(k)], axis=1)
+    share = np.exp(logs - logs.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    counts = np.stack([np.bincount(seq.flat, share[:, s][seq.place], len(emit)) for s in range(k)], axis=1)
+    return counts, np.zeros((k, k)), share.sum(axis=0)
+
+
 def maximise(counts: np.ndarray, moves: np.ndarray, begins: np.ndarray, totals: np.ndarray) -> dict[str, np.ndarray]:
     """Parameters from expected counts; totals: the symbols' counts over all training documents."""
     share = (totals + 0.5) / (totals + 0.5).sum()
@@ -154,63 +177,50 @@ def _pack(model: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """(doc_id, i, text): texts in pieces of at most PIECE_CHARS characters, cut in one pass over a text; what follows sees pieces, never whole texts."""
+    """(doc_id, i, text): texts in pieces of at most PIECE_CHARS characters, cut in one pass over a text. Training takes whole documents and does not use them."""
     cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE_CHARS}}}"), F.lit(0))
     return docs.select("doc_id", F.posexplode(F.when(F.size(cut) > 0, cut).otherwise(F.array("text"))).alias("i", "text"))
 
 
-def train(docs: DataFrame, symbols: dict[bytes, int], totals: np.ndarray) -> dict[str, np.ndarray]:
-    """docs: (doc_id, text), training documents alone."""
-    sc = docs.sparkSession.sparkContext
-    names, model = sc.broadcast(symbols), first_model(totals)
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for batch in batches for t in batch.column("text").to_pylist()]
-        if texts:
-            now, seq = model, Sequences(texts, names.value)
-            for _ in range(START_ROUNDS):
-                now = maximise(*expect(now, seq), totals)
-            yield pa.RecordBatch.from_pydict({"name": list(now), "value": [v.astype("<f8").tobytes() for v in now.values()]}, schema=pa.schema([("name", pa.string()), ("value", pa.binary())]))
-
-    drawn = F.pmod(F.xxhash64("doc_id", "i", "text"), F.lit(1 << 30))
-    some = pieces(docs)
-    total = docs.agg(F.sum(F.greatest(F.ceil(F.length(F.coalesce("text", F.lit(""))) / PIECE_CHARS), F.lit(1)))).first()[0]
-    share = 4 * START_PIECES / max(total or 0, 1)  # tasks send what may be among the first, not START_PIECES each
-    if share < 1:
-        some = some.where(drawn < int(share * (1 << 30)))
-    few = some.orderBy(drawn, "doc_id", "i").limit(START_PIECES).select("text")
-    got = {r["name"]: np.frombuffer(bytes(r["value"]), "<f8") for r in few.coalesce(1).mapInArrow(start, "name string, value binary").collect()}
-    if got:
-        model = {k: got[k].reshape(v.shape) for k, v in model.items()}
-
-    for _ in range(FULL_ROUNDS):
+def gather(coded: DataFrame, size: int, work: Callable[[Sequences], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of a block's expected counts over all documents given."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = pa.schema([("part", pa.int32()), ("id", pa.int32()), ("v", pa.list_(pa.float64()))])
+        counts, moves, begins = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
+        for batch in small_batches(batches, "ids", SYMBOL_BYTES):
+            for held, more in zip((counts, moves, begins), work(Sequences.of(batch.column("ids"))), strict=True):
+                held += more
+        if begins.any():  # one row a symbol and task
+            used = np.flatnonzero(counts.any(axis=1))
+            values = [*counts[used], *moves, begins]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(used) + [1] * STATES + [2], pa.int32()), pa.array([*used.tolist(), *range(STATES), 0], pa.int32()), pa.array(values, pa.list_(pa.float64()))], schema=out)
+
+    rows = coded.select("ids").mapInArrow(step, "part int, id int, v array<double>")
+    # One row a symbol: at most VOCABULARY + 1, and STATES + 1 more.
+    sums = rows.groupBy("part", "id").agg(*[F.sum(F.get("v", F.lit(s))).alias(f"s{s}") for s in range(STATES)]).collect()
+    counts, moves, begins = np.zeros((size, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
+    for r in sums:
+        v = [r[f"s{s}"] for s in range(STATES)]
+        if r["part"] == 0:
+            counts[r["id"]] = v
+        elif r["part"] == 1:
+            moves[r["id"]] = v
+        else:
+            begins[:] = v
+    return counts, moves, begins
+
+
+def train(coded: DataFrame, totals: np.ndarray) -> dict[str, np.ndarray]:
+    """coded: (ids), all training documents and no others."""
+    sc, model = coded.sparkSession.sparkContext, first_model(totals)
+    for work in [belong] * START_ROUNDS + [expect] * FULL_ROUNDS:
         sent = sc.broadcast(_pack(model))
-
-        def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            out = pa.schema([("part", pa.int32()), ("id", pa.int32()), ("v", pa.list_(pa.float64()))])
-            counts, moves, begins = np.zeros((len(totals), STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
-            for batch in small_batches(batches, "text", BLOCK_BYTES):
-                for held, more in zip((counts, moves, begins), expect(sent.value, Sequences(batch.column("text").to_pylist(), names.value)), strict=True):
-                    held += more
-            if begins.any():  # one row a symbol and task
-                used = np.flatnonzero(counts.any(axis=1))
-                values = [*counts[used], *moves, begins]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(used) + [1] * STATES + [2], pa.int32()), pa.array([*used.tolist(), *range(STATES), 0], pa.int32()), pa.array(values, pa.list_(pa.float64()))], schema=out)
-
-        rows = docs.select("text").mapInArrow(step, "part int, id int, v array<double>")
-        # One row a symbol: at most VOCABULARY + 1, and STATES + 1 more.
-        sums = rows.groupBy("part", "id").agg(*[F.sum(F.get("v", F.lit(s))).alias(f"s{s}") for s in range(STATES)]).collect()
-        counts, moves, begins = np.zeros((len(totals), STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
-        for r in sums:
-            v = [r[f"s{s}"] for s in range(STATES)]
-            if r["part"] == 0:
-                counts[r["id"]] = v
-            elif r["part"] == 1:
-                moves[r["id"]] = v
-            else:
-                begins[:] = v
-        if sums:
-            model = maximise(counts, moves, begins, totals)
+        found = gather(coded, len(totals), lambda seq, work=work, sent=sent: work(sent.value, seq))
+        if not found[2].any():
+            return model
+        now = maximise(*found, totals)
+        model = now if work is expect else now | {"move": model["move"]}
     return model
 
 
@@ -228,27 +238,38 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, vocabulary: int
     symbols = {w: i for i, w in enumerate(words)}
     top = np.array([known[w] for w in words], float)
     rare_n, rare_v = n - int(top.sum()), v - int((top > 0).sum())
-    model = train(learn, symbols, np.append(top, rare_n))
+    names = spark.sparkContext.broadcast(symbols)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a document: its symbols, and its rare words."""
+        word = pa.struct([("word", pa.binary()), ("times", pa.int64())])
+        out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("rare", pa.list_(word))])
+        for batch in small_batches(batches, "text", BLOCK_BYTES):
+            ids, rare = zip(*(encode(text.as_py(), names.value) for text in batch.column("text")), strict=True)
+            each = [Counter(x) for x in rare]
+            flat = pa.StructArray.from_arrays([pa.array([w for x in each for w in x], pa.binary()), pa.array([c for x in each for c in x.values()], pa.int64())], fields=list(word))
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array([x.tobytes() for x in ids], pa.binary()), rare.cast(out.field("rare").type)], schema=out)
+
+    keyed = docs.withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "held_out", "text")
+    coded = stage(keyed.mapInArrow(write, "key long, doc_id long, held_out boolean, ids binary, rare array<struct<word:binary,times:bigint>>"), "symbols")
+    model = train(coded.where(~F.col("held_out")), np.append(top, rare_n))
     base = np.append(np.log10((top + 0.5) / (n + 0.5 * (v + 1))), 0.0)
-    sent, names = spark.sparkContext.broadcast({"model": _pack(model), "base": base, "known": np.append(top > 0, False)}), spark.sparkContext.broadcast(symbols)
+    sent = spark.sparkContext.broadcast({"model": _pack(model), "base": base, "known": np.append(top > 0, False)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a document and a row a rare word of it, told apart by word."""
-        out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))])
+        out = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
         held = sent.value
-        for batch in small_batches(batches, "text", BLOCK_BYTES):
-            seq = Sequences(batch.column("text").to_pylist(), names.value)
+        for batch in small_batches(batches, "ids", SYMBOL_BYTES):
+            seq = Sequences.of(batch.column("ids"))
             logs, _, _ = forward(held["model"], seq)
-            place = seq.order[np.arange(len(seq.flat)) - np.repeat(seq.starts[:-1], seq.active)]
-            size = len(seq.order)
+            place, size = seq.order[seq.place], len(seq.order)
             base = np.bincount(place, held["base"][seq.flat], size)
             seen = np.bincount(place, held["known"][seq.flat], size).astype(np.int64)
-            rare = [[{"word": w, "times": c} for w, c in Counter(x).items()] for x in seq.rare]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(seq.lengths), pa.array(seen), pa.array(base), pa.array(logs / np.log(10)), pa.array(rare, out.field("rare").type)], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), batch.column("held_out"), pa.array(seq.lengths), pa.array(seen), pa.array(base), pa.array(logs / np.log(10))], schema=out)
 
-    keyed = docs.withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "held_out", "text")
-    scored = stage(keyed.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,times:bigint>>"), "scored")
-    rest = scored.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.times")
+    scored = coded.select("key", "doc_id", "held_out", "ids").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    rest = coded.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.times")
     c = F.coalesce("c", F.lit(0))
     rest = rest.join(counts, "word", "left").groupBy("key").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"),
@@ -256,7 +277,7 @@ def score(docs: DataFrame, modulus: int = 5, remainder: int = 1, vocabulary: int
         F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(rare_n + 0.5 * (rare_v + 1)))).alias("rare_score"),
     )
     zero = lambda name: F.coalesce(name, F.lit(0))
-    return scored.drop("rare").join(rest, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base")).alias("base_score"), (F.col("score") + zero("rare_score")).alias("score"))
+    return scored.join(rest, "key", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("rare_base")).alias("base_score"), (F.col("score") + zero("rare_score")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,3 +120,37 @@ def test_indexed_blocks_are_copied_for_those_that_ask(spark, monkeypatch):
     pairs = kept["asks"].select("block", "from").distinct().count()
     blocks = kept["asks"].select("block").distinct().count()
     assert blocks > 20 and pairs < blocks * (blocks / pq_dedup.QUERY_BLOCKS + 1) / 4
+
+
+def test_training_takes_every_document(spark, monkeypatch):
+    """All rounds see all training documents, also those beyond what a first fit on some of them would draw."""
+    seen, gather = [], hmm_lm.gather
+
+    def counted(coded, size, work):
+        found = gather(coded, size, work)
+        seen.append((round(float(found[0].sum())), round(float(found[2].sum()))))
+        return found
+
+    monkeypatch.setattr(hmm_lm, "gather", counted)
+    docs = spark.createDataFrame([(i, None if i % 50 == 0 else f"a word{i % 7} b" * (i % 3)) for i in range(1500)], "doc_id long, text string").repartition(3)
+    got = hmm_lm.score(docs).collect()
+    learned = [r for r in got if not r["held_out"]]
+    assert len(learned) > 1000 and learned[0]["train_tokens"] == sum(r["n_tokens"] for r in learned)
+    assert seen == [(learned[0]["train_tokens"], len(learned))] * (hmm_lm.START_ROUNDS + hmm_lm.FULL_ROUNDS)
+
+
+def test_a_document_of_one_state_is_the_mixtures_posterior():
+    rng = np.random.default_rng(5)
+    model = {"emit": rng.dirichlet(np.ones(4), 2).T, "move": np.eye(2), "begin": np.array([0.5, 0.5])}
+    texts, symbols = ["a b a", "b", None, "a z"], {b"a": 0, b"b": 1, hmm_lm.END: 2}
+    counts, begins = np.zeros((4, 2)), np.zeros(2)
+    for t in texts:
+        ids, rare = hmm_lm.encode(t, symbols)
+        assert rare == ([b"z"] if t == "a z" else [])
+        share = model["emit"][ids].prod(axis=0)
+        share /= share.sum()
+        begins += share
+        for i in ids:
+            counts[i] += share
+    got = hmm_lm.belong(model, hmm_lm.Sequences(texts, symbols))
+    assert np.allclose(got[0], counts) and np.allclose(got[2], begins) and not got[1].any()
