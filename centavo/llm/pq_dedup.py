@@ -4,7 +4,8 @@ Vectors that lie within half the link angle of a leader form a ball: any two of
 near copies is counted without its pairs. Balls are formed in bounded blocks of the coarse lists. Ball leaders are indexed:
 coarse inverted lists, the residual coded in SUBSPACES codes of CODES words. Every leader is compared with every list that can
 hold a partner: lists are left out by exact bounds alone (distances from the list's centroid, the plane between two
-centroids, the radii of the balls). Lists are dealt in blocks of about SEARCH_ROWS leaders, and two blocks meet once. In a block, asymmetric
+centroids, the radii of the balls). Lists are dealt in blocks of about SEARCH_ROWS leaders, and two blocks meet once: blocks are written once, and the task in which
+they meet reads them, so that no vector is copied or shuffled for a meeting, however many there are. In a block, asymmetric
 distances from per-query tables discard what cannot be near even given the stored coding error, and the
 true cosine in double precision decides. Two balls whose angle and radii settle all their members' pairs are
 linked or dropped as wholes, and such links leave a block as counts and as a spanning forest, not as pairs; the rest are compared member by
@@ -25,10 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, stage, table
+from .common import Stages, delete, new_path, stage, table
 from .graph import components
 
 LINK, SUBSPACES, CODES = 0.9, 8, 64
@@ -125,7 +128,7 @@ def reachable(x: np.ndarray, own: np.ndarray, radius: np.ndarray, coarse: np.nda
 
 
 def search(model: dict) -> object:
-    """Cogrouped step: a block of indexed leaders against queries. Rows: (0, ball, null, links of each member), (1, id, id: an edge of a component), (2, ball, ball, their angle in micro-radians: to compare by members)."""
+    """Step: a block of indexed leaders against queries. Rows: (0, ball, null, links of each member), (1, id, id: an edge of a component), (2, ball, ball, their angle in micro-radians: to compare by members)."""
 
     def run(key: tuple, indexed: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = [np.empty((0, 4), np.int64)]
@@ -187,6 +190,35 @@ def search(model: dict) -> object:
     return run
 
 
+def read_block(root: str, block: int) -> pd.DataFrame:
+    """The leaders of a block that was written in a folder of its own."""
+    store, at = fs.FileSystem.from_uri(root)
+    files = [f.path for f in store.get_file_info(fs.FileSelector(f"{at}/own={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
+    parts = []
+    for path in files:
+        with store.open_input_file(path) as source:
+            parts.append(pq.ParquetFile(source).read().to_pandas())
+    return pd.concat(parts, ignore_index=True).assign(own=block) if parts else pd.DataFrame()
+
+
+def meetings(root: str, model: dict) -> object:
+    """Step: rows (block, from) to what search() finds between a block and those leaders of the blocks of from that ask it. A task holds one block and QUERY_BLOCKS others at a time."""
+    kinds = pa.schema([(c, pa.int64()) for c in ("kind", "a", "b", "n")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meet, last, others = search(model), None, None
+        for batch in batches:
+            for block, group in zip(batch.column("block").to_pylist(), batch.column("from").to_pylist(), strict=True):
+                if group != last:
+                    parts = [x for i in range(QUERY_BLOCKS) if len(x := read_block(root, group * QUERY_BLOCKS + i))]
+                    last, others = group, pd.concat(parts, ignore_index=True)
+                    bits = np.unpackbits(np.stack([np.frombuffer(a, np.uint8) for a in others["asks"]]), axis=1)
+                found = meet((block, group), read_block(root, block), others[bits[:, block] == 1].reset_index(drop=True))
+                yield from pa.Table.from_pandas(found, kinds, preserve_index=False).to_batches()
+
+    return run
+
+
 def compare(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Cogrouped step: a ball's members against members of balls. Rows: (0, row id, null, its links), (1, ball, ball: linked)."""
     out = [np.empty((0, 4), np.int64)]
@@ -286,15 +318,28 @@ def _links(good: DataFrame, n: int) -> DataFrame:
                 batch = whole_batch.slice(start, 1024)
                 own = batch.column("own").to_numpy()
                 lists = reachable(unit(batch.column("x").to_pylist()), batch.column("list").to_numpy(), batch.column("radius").to_numpy(), model["coarse"], gaps, stats)
-                who, block = np.nonzero((lists.astype(np.float32) @ held_in > 0) & (np.arange(last + 1) >= own[:, None]))
-                yield pa.RecordBatch.from_arrays([batch.column("ball").take(pa.array(who)), pa.array(block, pa.int32()), pa.array(own[who] // QUERY_BLOCKS, pa.int32())], names=["ball", "block", "from"])
-
-    # Which blocks each leader asks, without vectors; an indexed block is copied for those query blocks alone that ask it.
-    asks = stage(ready.mapInArrow(probe, "ball long, block int, from int"), "asks")
-    asked = asks.join(ready.drop("list"), "ball")
-    index = ready.withColumnRenamed("own", "block").join(asks.select("block", "from").distinct(), "block")
-    index = index.toDF(*index.columns)  # names of its own: both sides come from the same tables
-    found = stage(index.groupBy("block", "from").cogroup(asked.groupBy("block", "from")).applyInPandas(search(model), "kind long, a long, b long, n long"), "found")
+                bits = np.packbits((lists.astype(np.float32) @ held_in > 0) & (np.arange(last + 1) >= own[:, None]), axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b.tobytes() for b in bits], pa.binary())], names=[*batch.schema.names, "asks"])
+
+    # Which blocks each leader asks, a bit a block, goes with the leader; a block is written once, in a folder of its own.
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema.fields)
+    root = new_path(spark, "blocks")
+    ready.repartition("own").mapInArrow(probe, kinds + ", asks binary").write.option("compression", "zstd").partitionBy("own").parquet(root)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column("own").to_numpy()
+                asked = np.unpackbits(np.stack([np.frombuffer(a, np.uint8) for a in batch.column("asks").to_pylist()]), axis=1)
+                for group in np.unique(own // QUERY_BLOCKS):
+                    block = np.flatnonzero(asked[own // QUERY_BLOCKS == group].any(axis=0))
+                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(np.full(len(block), group), pa.int32())], names=["block", "from"])
+
+    asks = stage(spark.read.schema("asks binary, own int").parquet(root).mapInArrow(pairs, "block int, from int").distinct(), "asks")
+    tasks = min((last + 1) * (last // QUERY_BLOCKS + 1), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism))
+    dealt_pairs = asks.repartition(tasks, "block", "from").sortWithinPartitions("from", "block")
+    found = stage(dealt_pairs.mapInArrow(meetings(root, model), "kind long, a long, b long, n long"), "found")
+    delete(spark, root)
     with Stages(spark) as held:
         size = leaders.select(F.col("ball").alias("b"), "size")
         open_ = found.where("kind = 2").select("a", "b", (F.col("n") / 1e6).alias("apart"))

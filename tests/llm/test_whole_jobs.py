@@ -154,3 +154,18 @@ def test_a_document_of_one_state_is_the_mixtures_posterior():
             counts[i] += share
     got = hmm_lm.belong(model, hmm_lm.Sequences(texts, symbols))
     assert np.allclose(got[0], counts) and np.allclose(got[2], begins) and not got[1].any()
+
+
+def test_blocks_of_leaders_meet_without_being_shuffled(spark, monkeypatch):
+    """Tasks read the blocks that meet; before, leaders and blocks were copied into a shuffle for every meeting, with the square of their number."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    x[100:120] = x[:20] * 2
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= pq_dedup.LINK).sum(axis=1) - 1
+    monkeypatch.setattr(pq_dedup, "SEARCH_ROWS", 16)
+    plans, stage = {}, pq_dedup.stage
+    monkeypatch.setattr(pq_dedup, "stage", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and stage(df, name))
+    got = {r["vec_id"]: r["n_links"] for r in pq_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert got == dict(enumerate(want.tolist()))
+    assert "CoGroup" not in plans["found"] and "Join" not in plans["found"]
